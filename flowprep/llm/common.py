@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,47 +110,42 @@ def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[tuple[str, Col
     return arrow_map(src, run, schema)
 
 
-#: Bits in the filter of row keys that goes to the executors: 2 MB, whatever the number of keys.
-FILTER_BITS = 1 << 24
+#: Bits in a filter that goes to the executors: 4 MB, whatever the number of keys.
+FILTER_BITS = 1 << 25
 FILTER_HASHES = 3
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size over 64-bit keys; a full one lets everything pass, so results never depend on it."""
+    """A Bloom filter of fixed size over hashes of 64 bits. One that is full lets everything pass: results never depend
+    on it, only how many rows a later exact join has to move."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @staticmethod
-    def of(keys: DataFrame, column: str) -> KeyFilter:
-        """Bits are set on the executors; at most FILTER_BITS / 64 words reach the driver."""
-        at = [F.pmod(F.xxhash64(F.lit(i), quoted(column)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
-        bits = keys.select(F.explode(F.array(*at)).alias("b")).select(F.expr("b div 64").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
+    def of(hashes: DataFrame, column: str) -> KeyFilter:
+        """Bits are gathered on the executors; at most FILTER_BITS / 64 words reach the driver."""
+        at = [F.shiftrightunsigned(quoted(column), 19 * i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_HASHES)]
+        bits = hashes.select(F.explode(F.array(*at)).alias("b")).select(F.expr("b div 64").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
         got = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
         words = np.zeros(FILTER_BITS // 64, np.int64)
         words[got["w"].to_numpy()] = got["m"].to_numpy()
-        return KeyFilter(words)
+        return KeyFilter(words.view(np.uint64))
 
-    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-        """The rows that may hold one of the keys, and the rows that surely hold none."""
-        at = [F.pmod(F.xxhash64(F.lit(i), quoted(column)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
-        words = self.words
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out, h = np.ones(len(hashes), bool), hashes.view(np.uint64)
+        for i in range(FILTER_HASHES):
+            b = (h >> np.uint64(19 * i)) & np.uint64(FILTER_BITS - 1)
+            out &= (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+        return out
 
-        @F.pandas_udf("boolean")
-        def maybe(a, b, c):
-            out = np.ones(len(a), bool)
-            for x in (a, b, c):
-                v = x.to_numpy()
-                out &= (words[v >> 6] >> (v & 63)) & 1 == 1
-            import pandas as pd
-
-            return pd.Series(out)
-
-        hit = maybe(*at)
-        return df.where(hit), df.where(~hit)
+    def split(self, df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows of df whose hash may be among the keys, and the rows whose hash surely isn't."""
+        ship(df.sparkSession)
+        shared = df.sparkSession.sparkContext.broadcast(self)
 
+        @F.pandas_udf("boolean")
+        def maybe(h: pd.Series) -> pd.Series:
+            return pd.Series(shared.value.has(h.to_numpy()))
 
-def chunks(items: Sequence, n: int) -> Iterator[list]:
-    it = iter(items)
-    while part := list(itertools.islice(it, n)):
-        yield part
+        return df.where(maybe(key)), df.where(~maybe(key))

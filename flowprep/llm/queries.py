@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licences, lines, media, packing, quality, sentencepieces, token_counts
+from . import chat, jaccard, licences, lines, media, packing, passages, quality, sentencepieces, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,9 @@ QUERIES = {
         sentencepieces.op2_sentencepiece,
         quality.op3_quality_rules,
         media.op4_media,
+        passages.op5_substring_dedup,
         token_counts.op6_token_counts,
+        jaccard.op7_jaccard_join,
         chat.op8_chat_format,
         licences.op9_licences,
         packing.op10_best_fit_packing,
