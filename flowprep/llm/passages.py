@@ -243,14 +243,14 @@ def drop_passages(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     docs = df.withColumns({"__id": doc_key(id_col), "__row": F.xxhash64(F.coalesce(quoted(text_col).cast("string"), F.lit("")))})
     cuts = spans(keyed(df, text_col, id_col), k, window).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "cuts")
     maybe, whole = KeyFilter.of(cuts.select(F.xxhash64("__id", "__row").alias("h")), "h").split(docs, F.xxhash64("__id", "__row"))
-    place = df.columns.index(text_col)
+    columns, place = df.columns, df.columns.index(text_col)
 
     def cut(batches):
         for batch in batches:
             for part in text_blocks(batch, place):
-                texts = [t.as_py() if not c.is_valid else b" ".join(kept_words(t.as_py(), c)[0]) for t, c in zip(part.column(place).cast(pa.binary()), part.column(len(df.columns)), strict=True)]
+                texts = [t.as_py() if not c.is_valid else b" ".join(kept_words(t.as_py(), c)[0]) for t, c in zip(part.column(place).cast(pa.binary()), part.column(len(columns)), strict=True)]
                 new = pa.array(texts, pa.binary()).cast(part.column(place).type)
-                yield pa.RecordBatch.from_arrays([new if i == place else part.column(i) for i in range(len(df.columns))], names=df.columns)
+                yield pa.RecordBatch.from_arrays([new if i == place else part.column(i) for i in range(len(columns))], names=columns)
 
     joined = maybe.join(cuts, ["__id", "__row"], "left").select(*[quoted(c) for c in df.columns], F.col("cuts").alias("__cuts"))
     return whole.select(*[quoted(c) for c in df.columns]).unionByName(arrow_map(joined, cut, df.schema))
