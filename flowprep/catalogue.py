@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import schema as S
+from .ml import explain, net, trees
 from .operators import dedup, labels, metrics, monitor, prep, profile, ranking, sampling, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,7 +122,7 @@ def scalar_strings(spark, sf_dir):
     return kept.groupBy(F.col("o_orderstatus").alias("file")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("urgent"), F.sha2(F.max("o_orderpriority"), 256).alias("digest"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 4) AS norm2, len(embedding) AS dim, round(list_max(embedding), 6) AS top FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 4) AS norm2, len(embedding) AS dim, round(list_max(embedding)::DOUBLE, 6) AS top FROM embeddings")
 def array_functions(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
     norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
@@ -748,3 +750,54 @@ def dimension_joins(spark, sf_dir):
     r, n, c, o = (read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
     j = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
     return j.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("o_orderkey").alias("n_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+
+
+# Models over the embeddings: label 0 against the others. Trees and networks have no SQL.
+
+
+def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") < 5).cast("int").alias("y"))
+
+
+def _net(spark: SparkSession, sf_dir: str):
+    """A small network fitted on a bounded sample (at most 4096 rows)."""
+    rows = sampling.plain_sample(_binary(spark, sf_dir), "vec_id", 1, 4096).toPandas()
+    x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(float)
+    n = net.Net(net.Shape(64, cnn_filters_1=4, cnn_filters_2=4, cnn_dense=16, mlp_units_1=32, mlp_units_2=16, fusion_dim=16, dropout=0.0), 3)
+    for _ in net.epochs(n, net.Adam(0.003), x, y, 1, 15, 128):
+        pass
+    return n, x
+
+
+@query()
+def gbt_tree_shap(spark, sf_dir):
+    """Mean attributions of a boosted surrogate, ranked."""
+    df = _binary(spark, sf_dir)
+    ensemble = trees.Ensemble.of(trees.fit_surrogate(df.withColumnRenamed("x", "features"), label="y", trees=8, depth=3), spark)
+    values = explain.with_attributions(df, "vec_id", "x", 64, ensemble.attributions)
+    named = values.select(F.concat(F.lit("f"), F.lpad(F.col("feature").cast("string"), 2, "0")).alias("feature"), "value")
+    return ranking.ranked(ranking.importance(named))
+
+
+@query()
+def net_forward(spark, sf_dir):
+    """The network's scores."""
+    n, _ = _net(spark, sf_dir)
+    return explain.with_scores(_binary(spark, sf_dir), "vec_id", "x", 64, lambda m: 1 / (1 + np.exp(-n.forward(m)[0]))).withColumn("score", F.round("score", 6))
+
+
+@query()
+def permutation_importance(spark, sf_dir):
+    """The drop of macro F1 by feature, for the first components."""
+    n, _ = _net(spark, sf_dir)
+    return explain.permutation_importance(_binary(spark, sf_dir), "vec_id", "x", "y", 64, lambda m: 1 / (1 + np.exp(-n.forward(m)[0])), [0, 1, 2], 3)
+
+
+@query()
+def expected_gradients(spark, sf_dir):
+    """Mean attributions of the network, ranked."""
+    n, x = _net(spark, sf_dir)
+    values = explain.with_attributions(_binary(spark, sf_dir), "vec_id", "x", 64, lambda m: net.expected_gradients(n, m, x[:200], 8))
+    named = values.select(F.concat(F.lit("f"), F.lpad(F.col("feature").cast("string"), 2, "0")).alias("feature"), "value")
+    return ranking.ranked(ranking.importance(named))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions.columns import finite
 
 
@@ -68,11 +70,6 @@ def normal_quantile(p: np.ndarray) -> np.ndarray:
 
 def quantile_normal(value: Column, grid: Sequence[float]) -> Column:
     """A value's place in a fitted grid of quantiles, as a normal score (a pandas function: there is no built-in)."""
-    import pandas as pd
-
-    from ..cluster import ship
-    from pyspark.sql import SparkSession
-
     ship(SparkSession.getActiveSession())
     xs = np.asarray(grid, float)
     ps = np.linspace(0, 1, len(xs))
