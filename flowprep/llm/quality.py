@@ -160,7 +160,10 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     known = labels.select(quoted(id_col).alias("__id"), quoted(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
     passed = stats.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
     rows = passed.join(known, quoted(id_col) == F.col("__id")).select("__y", "__id", *STATS)  # the base rules settle the others
-    picked = rows.orderBy(F.xxhash64("__id"), "__id", *STATS).limit(fit_rows).toPandas()  # bounded by fit_rows
+    n = rows.count()
+    place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
+    low = (1 << 30) if n <= 4 * fit_rows else int((1 << 30) * 2 * fit_rows / n)  # about twice as many as are wanted
+    picked = rows.where(place < low).orderBy(place, "__id", *STATS).limit(fit_rows).toPandas()  # bounded by fit_rows
     if not len(picked):
         return Judge()
     forest = IsolationForest(features(picked[list(STATS)].to_numpy(np.int64)))
