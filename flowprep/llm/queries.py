@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op1_line_dedup": lines.SQL, "op8_chat_format": chat.SQL}
+SQL = {"op1_line_dedup": lines.SQL, "op5_substring_dedup": passages.SQL, "op7_jaccard_join": jaccard.SQL, "op8_chat_format": chat.SQL}
