@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_even, order_key, ratio
+from .ranks import RANK, SIZE, digest_block, with_ranks
 from .splits import THINNED, TRAIN, VAL
 
 
+def shuffled(df: DataFrame, stream: Sequence[str], key: str, seed: int | str) -> DataFrame:
+    """df with ranks in each stream's reproducible shuffle."""
+    return with_ranks(df.withColumn("__m", order_key(seed, key)), stream, [F.col("__m"), F.col(key)], digest_block(F.col("__m"))).drop("__m")
+
+
 def thin_attacks(df: DataFrame, stream: Sequence[str], key: str, seed: int, per_benign: float, splits: Sequence[int] = (TRAIN, VAL), y: str = "y") -> DataFrame:
     """df with attacks beyond per_benign for each benign row of their split marked THINNED, in proportion within each stream.
 
@@ -19,20 +25,18 @@ def thin_attacks(df: DataFrame, stream: Sequence[str], key: str, seed: int, per_
     sums = df.groupBy("split").agg(F.count_if(F.col(y) == 0).alias("__b"), F.count_if(F.col(y) == 1).alias("__a"))
     budget = F.col("__b") * F.lit(float(per_benign))
     rates = sums.select("split", F.when(F.col("split").isin(*splits) & (F.col("__a") > budget), ratio(budget, F.col("__a"))).alias("__rate"))
-    w = Window.partitionBy("split", y, *stream)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(order_key(seed, key), key)), "__n": F.count("*").over(w)}).join(F.broadcast(rates), "split")  # one row a split
-    keep = F.least(F.col("__n"), F.greatest(F.lit(1), half_even(F.col("__n") * F.col("__rate"))))
-    thinned = F.col("__rate").isNotNull() & (F.col(y) == 1) & (F.col("__r") > keep)
-    return ranked.withColumn("split", F.when(thinned, THINNED).otherwise(F.col("split"))).drop("__r", "__n", "__rate")
+    ranked = shuffled(df, ["split", y, *stream], key, seed).join(F.broadcast(rates), "split")  # one row a split
+    keep = F.least(F.col(SIZE), F.greatest(F.lit(1), half_even(F.col(SIZE) * F.col("__rate"))))
+    thinned = F.col("__rate").isNotNull() & (F.col(y) == 1) & (F.col(RANK) > keep)
+    return ranked.withColumn("split", F.when(thinned, THINNED).otherwise(F.col("split"))).drop(RANK, SIZE, "__rate")
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, seed: int, size: int) -> DataFrame:
     """About `size` rows in the classes' proportions, one of each class at least; all rows if there are no more."""
     total = df.agg(F.count("*").alias("__total"))
-    w = Window.partitionBy(label)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(order_key(seed, key), key)), "__n": F.count("*").over(w)}).join(F.broadcast(total))  # one row
-    take = F.least(F.col("__n"), F.greatest(F.lit(1), half_even(F.lit(size) * F.col("__n") / F.col("__total"))))
-    return ranked.where((F.col("__total") <= size) | (F.col("__r") <= take)).drop("__r", "__n", "__total")
+    ranked = shuffled(df, [label], key, seed).join(F.broadcast(total))  # one row
+    take = F.least(F.col(SIZE), F.greatest(F.lit(1), half_even(F.lit(size) * F.col(SIZE) / F.col("__total"))))
+    return ranked.where((F.col("__total") <= size) | (F.col(RANK) <= take)).drop(RANK, SIZE, "__total")
 
 
 def plain_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
@@ -41,9 +45,6 @@ def plain_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
 
 
 def batches(df: DataFrame, key: str, seed: int, epoch: int, size: int) -> DataFrame:
-    """df with batch: numbers of shuffled mini-batches of `size` rows. Ranks are made within 256 ranges of the shuffle."""
-    mixed = df.withColumn("__m", order_key(f"{seed}|{epoch}", key)).withColumn("__b", F.substring("__m", 1, 2))
-    sizes = mixed.groupBy("__b").agg(F.count("*").alias("__c"))
-    before = sizes.select("__b", (F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).alias("__before"))
-    ranked = mixed.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__m", key))).join(F.broadcast(before), "__b")
-    return ranked.withColumn("batch", F.floor((F.col("__before") + F.col("__r") - 1) / size).cast("long")).drop("__m", "__b", "__r", "__before")
+    """df with batch: numbers of shuffled mini-batches of `size` rows."""
+    ranked = shuffled(df, [], key, f"{seed}|{epoch}")
+    return ranked.withColumn("batch", F.floor((F.col(RANK) - 1) / size).cast("long")).drop(RANK, SIZE)

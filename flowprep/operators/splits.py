@@ -1,17 +1,18 @@
 """Train, validation and test splits, and what is reported about them.
 
 Splits are codes: 0 train, 1 validation, 2 test, -1 duplicate or out of scope, -2 thinned out. A cut is made by a row's
-rank among its stream and the stream's size; the rank is a window, the size comes from the same sort.
+rank among its stream and the stream's size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, half_even, order_key, ratio, uniform
+from .ranks import RANK, SIZE, digest_block, time_block, with_ranks
 
 # The codes and the shares.
 TRAIN, VAL, TEST, LEFT_OUT, THINNED = 0, 1, 2, -1, -2
@@ -29,38 +30,32 @@ def cut(rank: Column, n: Column, train: float, val: float, each: bool) -> Column
     return F.when(rank <= first, TRAIN).when(rank <= first + second, VAL).otherwise(TEST)
 
 
-def by_rank(df: DataFrame, stream: Sequence[str], order: Sequence[Column], train: float, val: float, each: bool) -> DataFrame:
-    w = Window.partitionBy(*stream)
-    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(*order)), "__n": F.count("*").over(w)})
-    return ranked.withColumn("split", cut(F.col("__rank"), F.col("__n"), train, val, each)).drop("__rank", "__n")
+def by_rank(df: DataFrame, stream: Sequence[str], time: str, position: str, train: float, val: float, each: bool) -> DataFrame:
+    ranked = with_ranks(df, stream, [F.col(time).asc_nulls_first(), F.col(position)], time_block(df, time))
+    return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, each)).drop(RANK, SIZE)
 
 
 def temporal_stratified(df: DataFrame, file: str, label: str, time: str, position: str, train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
     """Each (file, label) stream is cut in the order of time; rows without a time come first."""
-    return by_rank(df, [file, label], [F.col(time).asc_nulls_first(), F.col(position)], train, val, True)
+    return by_rank(df, [file, label], time, position, train, val, True)
 
 
 def temporal_within_file(df: DataFrame, file: str, time: str, position: str, train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
-    return by_rank(df, [file], [F.col(time).asc_nulls_first(), F.col(position)], train, val, False)
+    return by_rank(df, [file], time, position, train, val, False)
 
 
 def by_capture_day(df: DataFrame, day: str, test_day: str, stream: Sequence[str], order: Sequence[str], train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
     """The test day is the test split; the other days are cut into train and validation."""
-    w = Window.partitionBy(*stream, F.col(day) == test_day)
-    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(*[F.col(o).asc_nulls_first() for o in order])), "__n": F.count("*").over(w)})
-    first = half_even(F.col("__n") * F.lit(train / (train + val)))
-    return ranked.withColumn("split", F.when(F.col(day) == test_day, TEST).when(F.col("__rank") <= first, TRAIN).otherwise(VAL)).drop("__rank", "__n")
+    ranked = with_ranks(df.withColumn("__test", F.col(day) == test_day), [*stream, "__test"], [F.col(o).asc_nulls_first() for o in order], time_block(df, order[0]))
+    first = half_even(F.col(SIZE) * F.lit(train / (train + val)))
+    return ranked.withColumn("split", F.when(F.col("__test"), TEST).when(F.col(RANK) <= first, TRAIN).otherwise(VAL)).drop(RANK, SIZE, "__test")
 
 
 def random_cut(df: DataFrame, key: str, seed: int, train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
-    """An exact cut of a reproducible permutation of all rows. Rows rank within 256 ranges of the permutation, and the
-    ranges' sizes are summed up, so no task sorts everything."""
-    mixed = df.withColumn("__m", order_key(seed, key)).withColumn("__b", F.substring("__m", 1, 2))
-    sizes = mixed.groupBy("__b").agg(F.count("*").alias("__c"))  # at most 256 rows
-    order = Window.orderBy("__b")
-    places = sizes.select("__b", (F.sum("__c").over(order) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    ranked = mixed.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("__m", key))).join(F.broadcast(places), "__b")
-    return ranked.withColumn("split", cut(F.col("__r") + F.col("__before"), F.col("__n"), train, val, False)).drop("__m", "__b", "__r", "__c", "__before", "__n")
+    """An exact cut of a reproducible permutation of all rows."""
+    mixed = df.withColumn("__m", order_key(seed, key))
+    ranked = with_ranks(mixed, [], [F.col("__m"), F.col(key)], digest_block(F.col("__m")))
+    return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, False)).drop("__m", RANK, SIZE)
 
 
 def assign_groups(sizes: Sequence[tuple[str, int]], train: float = SHARES[0], val: float = SHARES[1]) -> dict[str, int]:
