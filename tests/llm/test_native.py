@@ -123,11 +123,14 @@ def jaccard_rows():
     return rows
 
 
-def test_jaccard_as_brute_force(spark, docs, pairs):
+def test_jaccard_as_brute_force(spark, docs, pairs, monkeypatch):
     assert got(jaccard.jaccard_components(docs)) == wanted(brute.components(pairs))
     rows = jaccard_rows()
     df = spark.createDataFrame(rows, TWO)
     assert got(jaccard.jaccard_components(df)) == wanted(brute.components(rows))
+    monkeypatch.setattr(jaccard, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    assert got(jaccard.jaccard_components(df)) == wanted(brute.components(rows))  # long lists, in many blocks
     assert got(jaccard.jaccard_components(df, n=2, percent=60, counted=1.0, rounds=0)) == wanted(brute.components(rows, 2, 60))
 
 
