@@ -2,22 +2,28 @@
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more. The join is exact:
 
-1. Documents with equal sets form a class (one row each so far); classes are joined instead of documents.
-2. All tokens (64-bit shingle hashes) are put in one order, frequent ones last. Every task counts the tokens it meets in
-   a fixed table of counters and reports those met repeatedly; the most frequent overall, at most `ordered` of them, go
-   to the executors. Any order gives the same links; a better one gives shorter lists.
+1. Documents with equal sets form a class; classes are joined instead of documents.
+2. All tokens (64-bit shingle hashes) are put in one order. Those in the lowest `counted` part of the hash range are
+   counted over the whole corpus; of these, tokens of one document come first, then shared ones by their count, then
+   all other tokens. Executors know the shared ones by a filter of fixed size and the most frequent ones, at most
+   `ordered`, by a list. Any order gives the same links; this one makes most documents' lists empty.
 3. A set of at most x tokens is small. Linked small sets of sizes s and t share at least o(s, t) tokens, so they share
    a subset of that size: small sets emit all their subsets of the sizes that can matter. Larger sets (and those
-   small ones that can link to larger ones) emit their first s - ceil(0.8 s) + 1 tokens, of which linked sets share one.
-   x is the boundary where the subsets emitted and the lists scanned cost least, from the histogram of small sizes.
-4. Keys that only one class has are dropped: counted first, behind a filter of fixed size that keeps their rows from
-   being shuffled, then exactly.
-5. Links are looked for in rounds. In each list the class with the most shared keys is a pivot; every other class is
-   verified against the pivot that most of its lists name, so a group of n near copies costs n pairs, not n squared.
+   small ones that can link to larger ones) emit their first s - ceil(0.8 s) + 1 tokens, of which linked sets share one;
+   tokens that only one document has needn't be emitted. x is the boundary where the subsets emitted and the lists
+   scanned cost least, from the histogram of small sizes and the mean length of a list.
+4. Keys that only one class has are dropped by an exact join.
+5. Links are looked for in rounds. In each list the class with the most shared keys is a pivot; in the first round
+   every other class is verified against the pivot that most of its lists name, in the next ones against its nearest
+   class of another component in each long list. So a group of n near copies costs a few n pairs, not n squared.
    Links are contracted to components, and lists within one component are done.
-6. Whatever is left is joined in full: in each unfinished list, classes outside the pivot's component meet all classes
-   of other components. Pairs whose shared keys and places (prefix and positional bounds) can't reach the needed
-   overlap go; the others are verified on their sets. So every link is either found or joins a component already one.
+6. Whatever is left is joined in full: in unfinished lists, classes outside the pivot's component meet all classes of
+   other components. So every link is either found or lies within a component already known. Two sets of sizes s and
+   t that link share at least o(s, t) - max(rest) keys, where rest is what a set has beyond its prefix. So a class
+   with d keys in unfinished lists has no partner in bands of sizes where more than d are needed, and where v are needed
+   it may leave out its v - 1 longest lists. Short lists are joined; long ones are compared by sketches, block by block.
+7. Pairs are verified in two steps. Each class has a parity sketch of about two bits a token; sets differ by at least
+   as many tokens as their sketches differ by bits, so most wrong pairs go without a look at the sets.
 
 Cases: a document with fewer words than a shingle has its whole word sequence as its one element; one without words
 has an empty set and is linked with nothing, its component is its own id; repeated rows are documents of one id; a
@@ -29,14 +35,16 @@ tokens are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import itertools
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowprep.cluster import ship
+
 from .common import NULL_ID, KeyFilter, arrow_map, doc_key, flat_map_texts, quoted, written
 from .components import components
 from .textarrays import mix, power_table, windows, words_of
@@ -45,10 +53,8 @@ U = np.uint64
 BASE = 0xD6E8FEB86659FD93
 #: Sets of up to so many tokens may be small; their subsets are few enough to be listed.
 SMALL_MOST = 12
-#: A task's table of counters, and after how many tokens it starts anew.
-COUNTERS = 1 << 22
-#: A token that a task has met so often is reported.
-REPORTED = 4
+#: A sketch has at least so many bits, else the power of two above twice the size of its set.
+SKETCH_LEAST = 256
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -111,88 +117,95 @@ def combos(s: int, c: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(s), c)), np.int64).reshape(-1, c)
 
 
-class Order:
-    """Tokens with a known count come after all others, by count; ties by value."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens at each place of a bitmap whose size is a power of two."""
+    bits = max(SKETCH_LEAST, 1 << (2 * len(tokens)).bit_length())
+    return np.packbits((np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        at = np.argsort(tokens)
-        self.tokens, self.counts = tokens[at], counts[at]
 
-    def sort(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return tokens
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        weight = np.where(self.tokens[at] == tokens, self.counts[at], 0)
-        return tokens[np.argsort(weight, kind="stable")]
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer sketch is folded to the shorter one's size."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    fold = np.bitwise_xor.reduce(a.reshape(-1, n), axis=0) ^ np.bitwise_xor.reduce(b.reshape(-1, n), axis=0)
+    return int(np.bitwise_count(fold).sum())
 
 
-def emitted(tokens: np.ndarray, order: Order, most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set and their places: from 1 for tokens, 0 for subsets."""
+class Order:
+    """One order of all tokens: counted ones of one document, counted ones that are shared, by count, and the others; ties by value."""
+
+    def __init__(self, counted: float, shared: KeyFilter, tokens: np.ndarray, counts: np.ndarray):
+        at = np.argsort(tokens)
+        self.below, self.shared, self.tokens, self.counts = U(min(int(counted * (1 << 64)), (1 << 64) - 1)), shared, tokens[at], counts[at].astype(np.int64)
+
+    def prefix(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first n of a sorted set: those that another document may have, and their places from 1."""
+        known = tokens < self.below
+        weight = np.where(known, 0, 1 << 62)
+        weight[known & self.shared.has(tokens)] = 1
+        if len(self.tokens):
+            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+            frequent = (self.tokens[at] == tokens) & (weight == 1)
+            weight[frequent] = 1 + self.counts[at[frequent]]
+        first = np.argsort(weight, kind="stable")[:n]
+        places = np.flatnonzero(weight[first] > 0)
+        return tokens[first[places]], places + 1
+
+
+def subset_keys(tokens: np.ndarray, most: int, percent: int) -> np.ndarray:
     s = len(tokens)
-    keys, places = [], []
-    if 0 < s <= most:
-        mixed = mix(tokens)
-        for c in subset_sizes(s, most, percent):
-            k = mix(mixed[combos(s, c)].sum(axis=1) + U(c) * U(0x9E3779B97F4A7C15))
-            keys.append(k)
-            places.append(np.zeros(len(k), np.int64))
-    if s >= -(-percent * (most + 1) // 100):
-        p = order.sort(tokens)[: prefix_length(s, percent)]
-        keys.append(p)
-        places.append(np.arange(1, len(p) + 1))
-    if not keys:
-        return tokens[:0], np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(places)
+    if not 0 < s <= most:
+        return tokens[:0]
+    mixed = mix(tokens)
+    return np.concatenate([tokens[:0], *(mix(mixed[combos(s, c)].sum(axis=1) + U(c << 56)) for c in subset_sizes(s, most, percent))])
+
+
+LONG = T.LongType()
+KEYS = T.StructType([T.StructField(n, LONG) for n in ("kind", "a", "b", "c", "d")] + [T.StructField("sketch", T.BinaryType())])
 
 
 def longs(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.LongType()) for n in names])
+    return T.StructType([T.StructField(n, LONG) for n in names])
 
 
-def scan_sets(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """Rows (kind, a, b, c): 0, document, class, size; 1, frequent token, count; 2, token of a small set's prefix, size."""
-    state = {"seen": 0, "table": None}
+def count_keys(docs: DataFrame, text_col: str, n: int, percent: int, counted: float) -> DataFrame:
+    """(k): the counted tokens and the subset keys of every set; -s for every set of a small size s."""
+    below = U(min(int(counted * (1 << 64)), (1 << 64) - 1))
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        if state["table"] is None or state["seen"] > COUNTERS:
-            state.update(seen=0, table=np.zeros(COUNTERS, np.uint16))
-        sets = shingle_sets(part.column(1), n)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        classes = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
-        rows = [(np.zeros(len(sets), np.int64), part.column(0).to_numpy(zero_copy_only=False), classes, sizes)]
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        slot = (tokens & U(COUNTERS - 1)).astype(np.int64)
-        state["table"][slot] += counts.astype(np.uint16)
-        state["seen"] += len(tokens)
-        often = state["table"][slot] >= REPORTED
-        rows.append((np.ones(int(often.sum()), np.int64), tokens[often].view(np.int64), counts[often], counts[often]))
-        for s in sets:
+        keys = []
+        for s in shingle_sets(part.column(0), n):
+            keys.append(s[: np.searchsorted(s, below)].view(np.int64))
             if 0 < len(s) <= SMALL_MOST:
-                p = s[: prefix_length(len(s), percent)]
-                rows.append((np.full(len(p), 2), p.view(np.int64), np.full(len(p), len(s)), np.full(len(p), len(s))))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows, strict=True)], names=["kind", "a", "b", "c"])
-
-    return flat_map_texts(docs, text_col, [("__id", F.col("__id"))], longs("kind", "a", "b", "c"), fn)
-
-
-def emit_keys(docs: DataFrame, text_col: str, n: int, percent: int, order: Order, most: int, only: KeyFilter | None) -> DataFrame:
-    """Rows (k) or, behind a filter of keys, rows (k, c, s, place)."""
-    shared = docs.sparkSession.sparkContext.broadcast((order, only))
-
-    def fn(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        order, only = shared.value
-        sets = shingle_sets(part.column(0), n)
-        got = [emitted(s, order, most, percent) for s in sets]
-        keys = np.concatenate([g[0] for g in got]) if got else np.zeros(0, U)
-        if only is None:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["k"])
-        hit = np.flatnonzero(only.has(keys))
-        of = np.repeat(np.arange(len(sets)), [len(g[0]) for g in got])[hit]
-        classes = np.array([class_of(s) for s in sets], np.int64)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in (keys[hit].view(np.int64), classes[of], sizes[of], np.concatenate([g[1] for g in got])[hit])], names=["k", "c", "s", "place"])
+                keys += [subset_keys(s, SMALL_MOST, percent).view(np.int64), np.array([-len(s)])]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["k"])
+
+    return flat_map_texts(docs, text_col, [], longs("k"), fn)
 
-    return flat_map_texts(docs, text_col, [], longs("k") if only is None else longs("k", "c", "s", "place"), fn)
+
+def emit_keys(docs: DataFrame, text_col: str, n: int, percent: int, order: Order, most: int) -> DataFrame:
+    """KEYS rows: kind 0 with a document, its class, its size and its sketch; kind 1 with a key, the class, its size and the place."""
+    handed = docs.sparkSession.sparkContext.broadcast(order)  # of fixed size
+
+    def fn(part: pa.RecordBatch) -> pa.RecordBatch:
+        order, sets = handed.value, shingle_sets(part.column(1), n)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        classes = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+        zeros = np.zeros(len(sets), np.int64)
+        cols = [[zeros], [part.column(0).to_numpy(zero_copy_only=False)], [classes], [sizes], [zeros]]
+        for i, s in enumerate(sets):
+            small = subset_keys(s, most, percent)
+            small = small[order.shared.has(small)]
+            keys, places = order.prefix(s, prefix_length(len(s), percent)) if len(s) >= -(-percent * (most + 1) // 100) else (s[:0], zeros[:0])
+            m = len(small) + len(keys)
+            if m:
+                for c, v in zip(cols, (np.ones(m, np.int64), np.concatenate([small, keys]).view(np.int64), np.full(m, classes[i]), np.full(m, len(s)), np.concatenate([np.zeros(len(small), np.int64), places])), strict=True):
+                    c.append(v)
+        flat = [pa.array(np.concatenate(c).astype(np.int64)) for c in cols]
+        sketches = pa.array([sketch(s) for s in sets] + [None] * (len(flat[0]) - len(sets)), pa.binary())
+        return pa.RecordBatch.from_arrays([*flat, sketches], names=KEYS.names)
+
+    return flat_map_texts(docs, text_col, [("__id", F.col("__id"))], KEYS, fn)
 
 
 def sets_of_classes(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -206,7 +219,22 @@ def sets_of_classes(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -
 
     schema = T.StructType([*longs("id", "c"), T.StructField("tokens", T.BinaryType())])
     found = flat_map_texts(maybe, text_col, [("__id", F.col("__id"))], schema, fn)
-    return written(found.join(wanted, ["c", "id"]).select("c", "tokens").dropDuplicates(["c"]), "sets")
+    return found.join(wanted, ["c", "id"]).select("c", "tokens").dropDuplicates(["c"])
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't forbid the similarity."""
+    left, right = (sketches.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in ("a", "b"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for s, t, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                ok.append(sketch_distance(x.as_py(), y.as_py()) <= s + t - 2 * needed(s, t, percent))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return arrow_map(both, run, longs("a", "b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,57 +254,145 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both, run, longs("a", "b"))
 
 
-def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, ordered: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+def least_shared(s: str, t: str, percent: int) -> str:
+    """SQL for the least number of shared prefix tokens of linked sets of sizes s and t."""
+    up = lambda x, y: f"(({x}) + {y} - 1) div {y}"
+    return f"({up(f'{percent} * ({s} + {t})', 100 + percent)} - greatest({up(f'{percent} * {s}', 100)}, {up(f'{percent} * {t}', 100)}) + 1)"
+
+
+#: Bands of sizes to the factor e; neighbours differ by 5 %.
+BANDS = 20
+
+
+def band(x: str) -> str:
+    return f"cast(floor(ln(greatest({x}, 1D)) * {BANDS}) as int)"
+
+
+def shared_in_band(percent: int) -> str:
+    """SQL for a lower bound of the keys that a set of size s shares with any it links with in a band of sizes.
+
+    In the partner's size the need rises up to s and falls beyond, so one of the band's ends has the least.
+    """
+    r, a = percent / 100, percent / (100 + percent)
+    need = lambda t: f"({a}D * (s + {t}) - {r}D * greatest(cast(s as double), {t}))"
+    low, high = f"greatest(exp(band / {BANDS}D), {r}D * s)", f"least(exp((band + 1) / {BANDS}D), s / {r}D)"
+    return f"greatest(1, cast(ceil(least({need(low)}, {need(high)}) - 1e-6D) as int))"
+
+
+#: Lists of more classes are compared by sketches in blocks of BLOCK by BLOCK classes instead of being joined.
+LONG_LIST, BLOCK = 64, 4096
+
+
+def compare_block(percent: int, nearest: bool, group: pa.Table) -> pa.Table:
+    """Pairs of probing and other classes of one block whose sketches allow a link, or each probing class's nearest alone."""
+    probing = group.column("probing").to_numpy(zero_copy_only=False)
+    c, root, s, place = (group.column(n).to_numpy(zero_copy_only=False) for n in ("c", "root", "s", "place"))
+    raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sketch").combine_chunks()]
+    words = min(map(len, raw))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in raw])
+    other = np.flatnonzero(~probing)
+    c2, root2, s2, place2, bits2 = c[other], root[other], s[other], place[other], bits[other]
+    pairs: list[np.ndarray] = []
+    for i in np.flatnonzero(probing).tolist():
+        both = s[i] + s2
+        need = -(-percent * both // (100 + percent))
+        ok = (root2 != root[i]) & (100 * np.minimum(s[i], s2) >= percent * np.maximum(s[i], s2))
+        if place[i]:
+            ok &= np.minimum(place[i], place2) + np.minimum(s[i] - place[i], s2 - place2) >= need
+        at = np.flatnonzero(ok)
+        apart = np.bitwise_count(bits2[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(apart <= (both - 2 * need)[at])
+        at = at[near[np.argmin(apart[near]) :][:1] if nearest and len(near) else near]
+        pairs.append(np.stack([np.minimum(c[i], c2[at]), np.maximum(c[i], c2[at])], axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+
+def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """(a, b) of classes in different components that may be linked, from rows (k, c, s, place, root, pivot_root, members).
+
+    With nearest, a long list gives one pair for each probing class; else all pairs are given.
+    """
+    own = Window.partitionBy("c", F.col("place") == 0)
+    r = percent / 100
+    few = open_.where("root <> pivot_root").withColumns({"open_keys": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("members", "k"))})
+    every = few.withColumn("band", F.explode(F.expr(f"sequence({band(f'{r}D * s')}, {band(f's / {r}D')})")))
+    every = every.where(f"place = 0 or rank <= open_keys - {shared_in_band(percent)} + 1")
+    probes, others = every.select("k", "band", "c", "root", "s", "place", "members"), open_.select("k", F.expr(band("s")).alias("band"), "c", "root", "s", "place", "members")
+
+    # short lists: their pairs are at most LONG_LIST times their rows
+    one = probes.where(f"members <= {LONG_LIST}").select("k", "band", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa"), F.col("place").alias("pa"))
+    other = others.where(f"members <= {LONG_LIST}").select("k", "band", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("s").alias("sb"), F.col("place").alias("pb"))
+    reach = f"pa = 0 or (least(pa, pb) + least(sa - pa, sb - pb)) * {100 + percent} >= {percent} * (sa + sb)"
+    met = one.join(other, ["k", "band"]).where(f"ra <> rb and 100 * least(sa, sb) >= {percent} * greatest(sa, sb) and ({reach})")
+    short = likely(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches, percent)
+
+    # long lists: probing rows of block i meet other rows of block j in a group of their own; most lists are one block
+    met_by = others.join(probes.select("k", "band").distinct(), ["k", "band"], "left_semi")
+    blocks = f"cast(ceil(members / {BLOCK}D) as int)"
+    spread, mine, first = F.explode(F.expr(f"sequence(0, {blocks} - 1)")), F.pmod(F.xxhash64("c"), F.expr(blocks)).cast("int"), F.lit(0)
+    parts = []
+    for side, flag in ((probes, True), (met_by, False)):
+        i, j = ("i", "j") if flag else ("j", "i")
+        columns = ("k", "band", "c", "root", "s", "place", F.lit(flag).alias("probing"))
+        parts.append(side.where(f"members > {LONG_LIST} and members <= {BLOCK}").select(*columns, first.alias(i), first.alias(j)))
+        parts.append(side.where(f"members > {BLOCK}").select(*columns, mine.alias(i), spread.alias(j)))
+    both = reduce(DataFrame.unionByName, parts).join(sketches.select("c", "sketch"), "c")
+    ship(open_.sparkSession)
+    long = both.groupBy("k", "band", "i", "j").applyInArrow(lambda group: compare_block(percent, nearest, group), longs("a", "b"))
+    return short.unionByName(long).distinct()
+
+
+def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: float, ordered: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
     """(id, class, size) of every document, and (node, root) of every class that is linked."""
-    scan = written(scan_sets(docs, text_col, n, percent), "scan")
-    members = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("c"), F.col("c").cast("long").alias("n"))
-    frequent = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("m")).where(f"m >= {2 * REPORTED}").orderBy(F.desc("m"), "a").limit(ordered).toArrow()
-    order = Order(frequent["a"].to_numpy().view(U), frequent["m"].to_numpy())
-    sizes = {r["c"]: r["m"] for r in scan.where(f"kind = 0 and c between 1 and {SMALL_MOST}").groupBy("c").agg(F.count("*").alias("m")).collect()}
-    lists = scan.where("kind = 2").agg(F.count("*").alias("m"), F.approx_count_distinct("a").alias("d")).first()
-    most = boundary(sizes, lists["m"] / max(lists["d"], 1), percent)
-
-    texts = docs.where(F.length(quoted(text_col)) > 0)
-    shared = emit_keys(texts, text_col, n, percent, order, most, None).groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    only = KeyFilter.of(shared, "k")
-    rows = written(emit_keys(texts, text_col, n, percent, order, most, only).distinct(), "keys")
+    counts = written(count_keys(docs, text_col, n, percent, counted).groupBy("k").agg(F.count("*").alias("m")).where("m > 1 or k < 0 and k >= -100"), "counts")
+    sizes = {-r["k"]: r["m"] for r in counts.where("k < 0 and k >= -100").collect()}  # at most SMALL_MOST rows
+    shared = counts.where("k >= 0 or k < -100")
+    frequent = shared.where("m > 2").orderBy(F.desc("m"), "k").limit(ordered).toArrow()
+    mean = shared.agg(F.avg("m")).first()[0] or 0.0
+    most = boundary(sizes, mean, percent)
+    order = Order(counted, KeyFilter.of(shared, "k"), frequent["k"].to_numpy().view(U), frequent["m"].to_numpy())
+    scan = written(emit_keys(docs, text_col, n, percent, order, most), "keys")
+    members = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("c"), F.col("c").alias("n"))
+    rows = scan.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("c"), F.col("c").alias("s"), F.col("d").alias("place"))
     real = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    rows = written(rows.join(real, "k"), "shared")
+    rows = written(rows.join(written(real, "real"), "k").distinct(), "shared")
     if rows.isEmpty():
         return members, None
     degree = rows.groupBy("c").agg(F.count("*").alias("degree"))
-    one = members.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
-    sets = sets_of_classes(docs, text_col, n, degree.select("c").join(one, "c"))
     rows = written(rows.join(degree, "c"), "lists")
+    nodes = rows.select("c").distinct()
+    known = scan.where("kind = 0 and c > 0").select(F.col("b").alias("c"), F.col("a").alias("id"), F.col("c").alias("n"), "sketch")
+    known = written(known.join(nodes, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     edges = roots = None
-    for turn in range(rounds + 1):
+    for turn in range(rounds + 2):
         now = rows.withColumn("root", F.col("c")) if roots is None else rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        # the pivot: the class with the most shared keys; later rounds try others
-        rank = F.struct("degree", "c") if turn % 2 == 0 else F.struct(F.xxhash64("c", F.lit(turn)), "c")
-        best = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("c", "root"), rank).alias("best")).where("lo < hi")
-        open_ = now.join(best.select("k", F.col("best.c").alias("pivot"), F.col("best.root").alias("pivot_root")), "k")
-        if turn < rounds:
-            named = open_.where("root <> pivot_root").groupBy("c", "pivot").agg(F.count("*").alias("votes"))
+        rank = F.struct("degree", "c")  # the pivot: the class with the most shared keys
+        best = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("c", "root", "s"), rank).alias("best"), F.count("*").alias("members")).where("lo < hi")
+        best = written(best.select("k", F.col("best.c").alias("pivot"), F.col("best.root").alias("pivot_root"), F.col("best.s").alias("pivot_s"), "members"), "pivots")
+        open_ = now.join(best, "k")
+        if turn == 0:
+            named = open_.where(f"root <> pivot_root and (place = 0 or degree >= {least_shared('s', 'pivot_s', percent)})").groupBy("c", "pivot").agg(F.count("*").alias("votes"))
             pairs = named.groupBy("c").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("b")).select(F.col("c").alias("a"), "b")
+            near = likely(pairs, known, percent)
         else:
-            few = open_.where("root <> pivot_root").select("k", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa"), F.col("place").alias("pa"))
-            all_ = open_.select("k", F.col("c").alias("b"), F.col("root").alias("rb"), F.col("s").alias("sb"), F.col("place").alias("pb"), (F.col("root") == F.col("pivot_root")).alias("main"))
-            met = few.join(all_, "k").where(f"ra <> rb and (main or a < b) and 100 * least(sa, sb) >= {percent} * greatest(sa, sb)")
-            votes = met.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("v"), F.max("pa").alias("ia"), F.max("pb").alias("ib"), F.min("pa").alias("low"))
-            reach = F.col("v") + F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib"))
-            pairs = votes.where((F.col("low") == 0) | (reach * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))))
-        found = written(verified(pairs, sets, percent), "found")
-        edges = found if edges is None else edges.union(found)
+            near = left_pairs(written(open_, "open"), known, percent, turn <= rounds)
+        near = written(near, "near")
+        if near.isEmpty():
+            continue
+        wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(known.select("c", "id"), "c")
+        found = written(verified(near, sets_of_classes(docs, text_col, n, wanted), percent), "found")
         if found.isEmpty():
             continue
+        edges = found if edges is None else edges.union(found)
         roots = components(edges)
     return members, roots
 
 
-def component_ids(docs: DataFrame, text_col: str, n: int, percent: int, ordered: int, rounds: int) -> DataFrame:
+def component_ids(docs: DataFrame, text_col: str, n: int, percent: int, counted: float, ordered: int, rounds: int) -> DataFrame:
     """(id, c, n, first): every document with the smallest id of its component."""
-    members, roots = link_roots(docs, text_col, n, percent, ordered, rounds)
+    members, roots = link_roots(docs, text_col, n, percent, counted, ordered, rounds)
     classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
     if roots is not None:
         rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -288,18 +404,18 @@ def component_ids(docs: DataFrame, text_col: str, n: int, percent: int, ordered:
     return full.unionByName(members.where("n = 0").select("id", "c", "n", F.col("id").alias("first")))
 
 
-def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, ordered: int = 1 << 17, rounds: int = 3) -> DataFrame:
+def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, counted: float = 0.5, ordered: int = 1 << 17, rounds: int = 1) -> DataFrame:
     """id, n_shingles, component_id of each row."""
     docs = df.select(doc_key(id_col).alias("__id"), quoted(text_col).alias("text"))
-    out = component_ids(docs, "text", n, percent, ordered, rounds)
+    out = component_ids(docs, "text", n, percent, counted, ordered, rounds)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("first").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, ordered: int = 1 << 17, rounds: int = 3) -> DataFrame:
+def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, counted: float = 0.5, ordered: int = 1 << 17, rounds: int = 1) -> DataFrame:
     """The rows of df whose id is the smallest of their component, with all their columns."""
     docs = df.select(doc_key(id_col).alias("__id"), quoted(text_col).alias("text"))
-    out = component_ids(docs, "text", n, percent, ordered, rounds)
+    out = component_ids(docs, "text", n, percent, counted, ordered, rounds)
     gone = written(out.where("id <> first").select("id").distinct(), "gone")
     maybe, stays = KeyFilter.of(gone.select(F.xxhash64("id").alias("h")), "h").split(df, F.xxhash64(doc_key(id_col)))
     return stays.unionByName(maybe.join(gone, doc_key(id_col) == gone["id"], "left_anti"))
@@ -310,3 +426,14 @@ def op7_jaccard_join(spark, sf_dir):
     from .common import table
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS v FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * v >= 80 * (a.n + b.n - v)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
+SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM w JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY w.doc_id
+"""
