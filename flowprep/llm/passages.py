@@ -261,3 +261,15 @@ def op5_substring_dedup(spark, sf_dir):
     from .common import table
 
     return dedup_passages(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM (SELECT doc_id, i FROM win JOIN least USING (h) WHERE m < doc_id) CROSS JOIN range(50) r(o)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+marked AS (SELECT words.doc_id, word, words.p, gone.p IS NOT NULL AS goes FROM words LEFT JOIN gone USING (doc_id, p)),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE goes) AS n, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT goes) AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
