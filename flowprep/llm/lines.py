@@ -38,7 +38,7 @@ def with_bitmaps(df: DataFrame, text_col: str, id_col: str, min_docs: int, min_c
     sweep = Window.partitionBy("h1", "h2", "block").orderBy("__key", "pos", "__row")
     seen = written(ordered.withColumn("opens", F.coalesce(F.lag("__key").over(sweep) != F.col("__key"), F.lit(True))), "lines")
     counts = seen.where("opens").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min(F.struct("__key", "pos")).alias("first")).where(F.col("docs") >= min_docs)
-    gone = seen.join(counts, ["h1", "h2"])
+    gone = seen.join(written(counts, "common"), ["h1", "h2"])  # a table on each side, so a common line's occurrences can be split
     if keep_first:
         gone = gone.where(F.struct("__key", "pos") != F.col("first"))
     words = gone.groupBy("__key", "__row", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("mask"))
