@@ -198,7 +198,7 @@ def spans(docs: DataFrame, k: int, window: int) -> DataFrame:
     paths = written(found.groupBy("id", "row").agg(F.collect_list(F.struct("place", "least", "one_in", "one_out")).alias("sums")), "paths")
     maybe, _ = KeyFilter.of(paths.select(key_hash().alias("h")), "h").split(docs, key_hash())
     marks = written(match_windows(maybe.dropDuplicates(["id", "row"]).join(paths, ["id", "row"]), k, window), "windows")
-    least = marks.where("not sure").groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    least = written(marks.where("not sure").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least")  # a table on each side, so a common window can be split
     gone = marks.where("may").join(least, ["h1", "h2"]).where("least < id").select("id", "row", "begin", "end").unionByName(marks.where("sure").select("id", "row", "begin", "end"))
     return written(gone.groupBy("id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")), "cuts")
 
