@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,8 +131,8 @@ class KeyFilter:
         ship(df.sparkSession)
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf("boolean")
-        def maybe(h: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.has(h.to_numpy()))
+        @F.arrow_udf("boolean")
+        def maybe(h: pa.Array) -> pa.Array:
+            return pa.array(shared.value.has(h.to_numpy(zero_copy_only=False)))
 
         return df.where(maybe(key)), df.where(~maybe(key))

@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -51,8 +50,8 @@ def repeated(words: Words) -> np.ndarray:
     inside = owner[: len(runs)] == owner[WINDOW - 1 :] if len(runs) else np.zeros(0, bool)
     place = np.flatnonzero(inside)
     key = runs[place] + owner[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the same run in two texts differs
-    codes, uniques = pd.factorize(key)
-    twice = place[np.bincount(codes, minlength=len(uniques))[codes] > 1]
+    _, codes, counts = np.unique(key, return_inverse=True, return_counts=True)
+    twice = place[counts[codes] > 1]
     covered = np.zeros(len(h), bool)
     for j in range(WINDOW):
         covered[twice + j] = True
