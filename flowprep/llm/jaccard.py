@@ -20,8 +20,8 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 6. Whatever is left is joined in full: in unfinished lists, classes outside the pivot's component meet all classes of
    other components. So every link is either found or lies within a component already known. Two sets of sizes s and
    t that link share at least o(s, t) - max(rest) keys, where rest is what a set has beyond its prefix. So a class
-   with d keys in unfinished lists has no partner in bands of sizes where more than d are needed, and where v are needed
-   it may leave out its v - 1 longest lists. Short lists are joined; long ones are compared by sketches, block by block.
+   with d keys in unfinished lists (those of pivots of its own component too) has no partner in bands of sizes where more
+   than d are needed, and where v are needed it may leave out its v - 1 longest lists. Short lists are joined; long ones are compared by sketches, block by block.
 7. Pairs are verified in two steps. Each class has a parity sketch of about two bits a token; sets differ by at least
    as many tokens as their sketches differ by bits, so most wrong pairs go without a look at the sets.
 
@@ -315,8 +315,9 @@ def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: boo
     """
     own = Window.partitionBy("c", F.col("place") == 0)
     r = percent / 100
-    few = open_.where("root <> pivot_root").withColumns({"open_keys": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("members", "k"))})
-    every = few.withColumn("band", F.explode(F.expr(f"sequence({band(f'{r}D * s')}, {band(f's / {r}D')})")))
+    # Ranks go over all of a class's open lists: the first list that a linked pair shares is within the rank of both, and its pivot is in the component of one at most.
+    ranked = open_.withColumns({"open_keys": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("members", "k"))})
+    every = ranked.where("root <> pivot_root").withColumn("band", F.explode(F.expr(f"sequence({band(f'{r}D * s')}, {band(f's / {r}D')})")))
     every = every.where(f"place = 0 or rank <= open_keys - {shared_in_band(percent)} + 1")
     probes, others = every.select("k", "band", "c", "root", "s", "place", "members"), open_.select("k", F.expr(band("s")).alias("band"), "c", "root", "s", "place", "members")
 

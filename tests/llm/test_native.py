@@ -134,6 +134,35 @@ def test_jaccard_as_brute_force(spark, docs, pairs, monkeypatch):
     assert got(jaccard.jaccard_components(df, n=2, percent=60, counted=1.0, rounds=0)) == wanted(brute.components(rows, 2, 60))
 
 
+def bridged_hubs(groups):
+    """Groups of two edited hubs, each with copies of its own, and copies that bridge them."""
+    rng, fresh, rows = random.Random(1), iter(range(10**6)), []
+
+    def edit(words, n):
+        at = set(rng.sample(range(len(words)), n))
+        return [f"e{next(fresh)}" if i in at else x for i, x in enumerate(words)]
+
+    for g in range(groups):
+        hub = [f"g{g}w{i}" for i in range(60)]
+        near = edit(hub, 1)
+        bridge = edit(near, 1)
+        other = edit(bridge, 1)
+        texts = [hub, near, bridge, other, *(edit(h, 1) for h in (hub, other) for _ in range(8))]
+        for _ in range(4):
+            at = set(rng.sample(range(60), 30))
+            texts.append([other[i] if i in at else x for i, x in enumerate(hub)])
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_jaccard_bridges_of_components(spark):
+    """The lists that a linked pair shares may have their pivots in the component of either."""
+    rows = bridged_hubs(60)
+    df = spark.createDataFrame(rows, TWO)
+    for rounds in (0, 1):
+        assert got(jaccard.jaccard_components(df, rounds=rounds)) == wanted(brute.components(rows))
+
+
 def test_jaccard_odd(spark, odd):
     out = jaccard.jaccard_components(odd)
     assert out.columns == ["doc_id", "n_shingles", "component_id"] and out.count() == 11
