@@ -1,9 +1,12 @@
 """Quality rules: statistics of each text, fixed base rules, and an isolation forest over the statistics.
 
 The forest's trees split at random places; a document that few splits isolate is anomalous. It is fitted on at most
-`fit_rows` labelled documents (those whose ids hash lowest, so the sample is the same at every run). Its threshold is
-calibrated on every labelled row that passes the base rules: it is the lowest score at which at most `good_lost` of the good rows are rejected,
-raised to the middle of the gap above the next good row. With no labelled good rows nothing is rejected by the forest.
+`fit_rows` labelled documents (those whose ids hash lowest, so the sample is the same at every run). A tree's sample is
+good rows with one in 64 of the others, so that junk is rare in it and soon alone; features are split on as often as they
+alone tell the labels apart. The threshold is calibrated on every labelled row that passes the base rules, good or not: of
+those that reject at most `good_lost` of the good rows it has the best balanced accuracy, in the middle of the gap between
+labelled scores. Without labelled bad rows it is the lowest one within that bound; with no labelled good rows nothing is
+rejected by the forest.
 
 Cases: a null or empty text has no words and fails the base rules; very long texts are handled alone; labels with a null
 id or quality are left out, repeated ones weigh as often as they occur; an empty table gives no rows; other columns
@@ -85,20 +88,38 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
 
 def features(stats: np.ndarray) -> np.ndarray:
     words, lines = np.maximum(stats[:, 0], 1), np.maximum(stats[:, 5], 1)
-    return np.stack([stats[:, 1] / words, stats[:, 2] / words, np.log1p(stats[:, 0] / lines)], axis=1)
+    return np.stack([stats[:, 1] / words, np.log1p(20 * stats[:, 2] / words), np.log1p(stats[:, 0] / lines)], axis=1)
+
+
+def separation(rows: np.ndarray, good: np.ndarray) -> np.ndarray | None:
+    """How far each feature alone tells good rows from the others: 0.01 (not at all) to 1; None with one kind of rows."""
+    n, m = int(good.sum()), int((~good).sum())
+    if not n or not m:
+        return None
+    out = []
+    for column in rows.T:
+        _, place, count = np.unique(column, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(count) - (count - 1) / 2)[place]
+        out.append(abs(2 * (rank[good].sum() - n * (n + 1) / 2) / (n * m) - 1))
+    return np.maximum(out, 0.01)
 
 
 class IsolationForest:
     """Trees as arrays: feature (-1 at a leaf), threshold, left child (right is the next one), path length at leaves."""
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7, good: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
-        self.sample = min(sample, len(rows))
+        weights = None if good is None else separation(rows, good)
+        kinds = [np.arange(len(rows))] if weights is None else [np.flatnonzero(good), np.flatnonzero(~good)]
+        few = 0 if weights is None else min(max(sample // 64, 1), len(kinds[1]))
+        wanted = [min(sample - few, len(kinds[0])), few]
+        self.sample = sum(wanted)
         deepest = int(np.ceil(np.log2(max(self.sample, 2))))
         self.trees = []
         for _ in range(trees):
             nodes: list[list[float]] = [[-1, 0, 0, 0]]
-            todo = [(0, rows[rng.choice(len(rows), self.sample, replace=False)], 0)]
+            picked = np.concatenate([rng.choice(kind, k, replace=False) for kind, k in zip(kinds, wanted, strict=False)])
+            todo = [(0, rows[picked], 0)]
             while todo:
                 k, part, depth = todo.pop()
                 low, high = part.min(axis=0), part.max(axis=0)
@@ -106,7 +127,7 @@ class IsolationForest:
                 if depth >= deepest or not len(wide):
                     nodes[k] = [-1, 0, 0, depth + self.usual(len(part))]
                     continue
-                f = int(rng.choice(wide))
+                f = int(rng.choice(wide, p=None if weights is None else weights[wide] / weights[wide].sum()))
                 cut = rng.uniform(low[f], high[f])
                 below = part[:, f] < cut
                 nodes[k] = [f, cut, len(nodes), 0]
@@ -165,23 +186,29 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     picked = rows.where(place < low).orderBy(place, "__id", *STATS).limit(fit_rows).toPandas()  # bounded by fit_rows
     if not len(picked):
         return Judge()
-    forest = IsolationForest(features(picked[list(STATS)].to_numpy(np.int64)))
-    schema = T.StructType([T.StructField("score", T.DoubleType())])
+    forest = IsolationForest(features(picked[list(STATS)].to_numpy(np.int64)), good=picked["__y"].to_numpy() == 1)
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("good", T.BooleanType())])
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.floor(forest.score(features(s)) * 2000) / 2000)], names=["score"])
-
-    # every labelled good row counts; scores are counted in at most 2001 steps
-    seen = arrow_map(rows.where("__y = 1").select(*STATS), scores, schema).groupBy("score").count().toPandas().sort_values("score", ascending=False)
-    if not len(seen):
-        return Judge()
-    above, total = seen["count"].cumsum().to_numpy(), seen["count"].sum()
-    lost = int((above <= good_lost * total).sum())  # so many of the highest steps may be rejected
-    top = float(seen["score"].iloc[min(lost, len(seen) - 1)]) + 0.0005  # the end of the highest step that is kept
-    nxt = float(seen["score"].iloc[lost - 1]) if lost else top + 0.02
-    return Judge(forest, (top + nxt) / 2)
+            s = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(forest.score(features(s)) * 2000) / 2000), b.column(0)], names=["score", "good"])
+
+    # every labelled row counts; scores are counted in at most 2001 steps
+    seen = arrow_map(rows.select((F.col("__y") == 1).alias("good"), *STATS), scores, schema).groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas()
+    return Judge(forest, calibrated(seen["score"].to_numpy(), seen["good"].to_numpy(), seen["bad"].to_numpy(), good_lost))
+
+
+def calibrated(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, good_lost: float) -> float:
+    """The threshold for scores counted in steps of 0.0005."""
+    if not good.sum():
+        return 2.0
+    at = np.argsort(-steps)
+    steps, lost, caught = steps[at], np.concatenate([[0], np.cumsum(good[at])]), np.concatenate([[0], np.cumsum(bad[at])])
+    most = int((lost[1:] <= good_lost * lost[-1]).sum())  # so many of the highest steps may be rejected
+    k = int(np.argmax((caught / caught[-1] - lost / lost[-1])[: most + 1])) if caught[-1] else most
+    top = float(steps[k]) + 0.0005  # the end of the highest step that is kept
+    return (top + (float(steps[k - 1]) if k else top + 0.02)) / 2
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **fitting) -> DataFrame:

@@ -99,6 +99,18 @@ def test_rules_follow_the_labels(spark, docs):
     assert by[1] < 0.005 and by[0] > 0.3
 
 
+def test_threshold_heeds_both_labels(spark):
+    """Junk that a feature tells apart goes, at a loss of good documents within the bound; held-out junk goes too."""
+    big, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = labels.withColumn("quality", F.when(F.col("doc_id") % 2 == 0, F.col("quality")))
+    for known, other in ((labels, labels), (half, labels.where("doc_id % 2 = 1"))):
+        rows = quality.quality_rules(big, known).join(other, "doc_id").where("not base_failed")
+        by = {r["quality"]: r["gone"] for r in rows.groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("gone")).collect()}
+        assert by[0] > 0.95 and by[1] <= 0.002
+    assert quality.calibrated(np.array([0.7, 0.6, 0.5]), np.array([0, 0, 9]), np.array([1, 2, 1]), 0.0005) == pytest.approx(0.55025)
+    assert quality.calibrated(np.array([0.7, 0.5]), np.array([1, 9]), np.array([0, 0]), 0.0005) == pytest.approx(0.7105)
+
+
 def test_rules_without_labels(odd, docs):
     none = odd.select("doc_id", F.lit(None).cast("int").alias("quality"))
     out = quality.quality_rules(odd, none)
