@@ -789,9 +789,9 @@ def net_forward(spark, sf_dir):
 
 @query()
 def permutation_importance(spark, sf_dir):
-    """The drop of macro F1 by feature, for the first components."""
+    """The drop of macro F1 by feature."""
     n, _ = _net(spark, sf_dir)
-    return explain.permutation_importance(_binary(spark, sf_dir), "vec_id", "x", "y", 64, lambda m: 1 / (1 + np.exp(-n.forward(m)[0])), [0, 1, 2], 3)
+    return explain.permutation_importance(_binary(spark, sf_dir), "vec_id", "x", "y", 64, lambda m: 1 / (1 + np.exp(-n.forward(m)[0])), list(range(64)), 5)
 
 
 @query()

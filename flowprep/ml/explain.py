@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..cluster import ship
 from ..functions.columns import order_key
-from ..operators import metrics
+from ..operators import metrics, ranks
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -46,24 +46,43 @@ def with_attributions(df: DataFrame, key: str, features: str, width: int, attrib
 
 
 def permutation_importance(df: DataFrame, key: str, features: str, label: str, width: int, score: Callable[[np.ndarray], np.ndarray], chosen: list[int], repeats: int = 5, seed: int = 0, threshold: float = 0.5) -> DataFrame:
-    """(feature, mean_drop, std_drop) of macro F1 when a feature's values are dealt anew among the rows.
+    """(feature, mean_drop, std_drop) of macro F1 when a feature's values are dealt anew among the rows; largest drops first.
 
-    A shuffle is a join of ranks: rows in the order of their keys take the value of the row that ranks the same in a
-    reproducible shuffle. The table is a bounded validation sample.
+    A shuffle is a join of ranks: each row takes the value of the row that ranks the same in a reproducible shuffle, one
+    for each feature and repeat. The values dealt to a row meet in one row, so all shuffles are scored in one pass.
     """
-    base = df.select(F.col(key).alias("key"), F.col(features).alias("x"), F.col(label).alias("y")).withColumn("n", F.row_number().over(Window.orderBy("key")))
-    whole = metrics.metrics(metrics.confusion(with_scores(base, "key", "x", width, score).join(base, "key"), "y", "score", threshold)).select(F.col("macro_f1").alias("whole"))
-    parts = None
-    for f in chosen:
-        for r in range(repeats):
-            dealt = base.select(F.col("x")[f].alias("v"), F.row_number().over(Window.orderBy(order_key(f"{seed}|{f}|{r}", "key"), "key")).alias("n"))
-            swapped = base.join(dealt, "n").withColumn("x", F.transform("x", _swap(f)))
-            scored = with_scores(swapped, "key", "x", width, score).join(base, "key")
-            one = metrics.metrics(metrics.confusion(scored, "y", "score", threshold)).select(F.lit(f).alias("feature"), "macro_f1")
-            parts = one if parts is None else parts.unionByName(one)
-    drops = parts.join(F.broadcast(whole)).withColumn("drop", F.col("whole") - F.col("macro_f1"))  # one row
-    return drops.groupBy("feature").agg(F.round(F.avg("drop"), 9).alias("mean_drop"), F.round(F.stddev_pop("drop"), 9).alias("std_drop"))
-
-
-def _swap(f: int):
-    return lambda x, i: F.when(i == f, F.col("v").cast("double")).otherwise(x.cast("double"))
+    base = df.select(F.col(key).alias("key"), F.transform(features, lambda x: x.cast("double")).alias("x"), F.col(label).cast("int").alias("y"))
+    block = lambda digest: F.substring(digest, 1, 1)  # noqa: E731  even parts of a shuffle
+    placed = ranks.with_ranks(base.withColumn("h", order_key(seed, "key")), [], [F.col("h"), F.col("key")], block(F.col("h"))).select(F.col(ranks.RANK).alias("n"), "x", "y")
+    numbers = lambda values: F.explode(F.array(*map(F.lit, values)))
+    long = base.withColumn("f", numbers(chosen)).withColumn("r", numbers(range(repeats)))
+    long = long.select("f", "r", "key", F.col("x")[F.col("f")].alias("v"), order_key(seed, "f", "r", "key").alias("h"))
+    dealt = ranks.with_ranks(long, ["f", "r"], [F.col("h"), F.col("key")], block(F.col("h"))).groupBy(F.col(ranks.RANK).alias("n")).agg(F.collect_list(F.struct("f", "r", "v")).alias("dealt"))
+    met = placed.join(dealt, "n").select("x", "y", "dealt")
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, y = matrix(b.column(0), width), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            f, r, v = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
+            by = np.lexsort((r, f)).reshape(-1, len(rows))  # a shuffle in each line; rows stay in their order
+            found = [(0, -1, rows, None), *((int(f[i[0]]), int(r[i[0]]), rows, v[i].astype(float)) for i in by)]
+            out = []
+            for feature, turn, x, values in found:
+                if values is not None:
+                    x = x.copy()
+                    x[:, feature] = values
+                said = ~(score(x) < threshold)
+                out.append((feature, turn, *(int(((y == 1 if t else (y != 1) & ~np.isnan(y)) & (said == bool(p))).sum()) for t, p in ((0, 0), (0, 1), (1, 0), (1, 1)))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+
+    names = ["feature", "r", "tn", "fp", "fn", "tp"]
+    counted = met.mapInArrow(run, T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    # r is -1 for the rows as they are
+    scored = metrics.metrics(counted.groupBy("feature", "r").agg(*[F.sum(n).alias(n) for n in names[2:]]))
+    everything = Window.partitionBy()  # a row for each shuffle
+    drops = scored.withColumn("drop", F.max(F.when(F.col("r") < 0, F.col("macro_f1"))).over(everything) - F.col("macro_f1")).where("r >= 0")
+    out = drops.groupBy(F.col("feature").cast("int").alias("feature")).agg(F.round(F.avg("drop"), 9).alias("mean_drop"), F.round(F.stddev_pop("drop"), 9).alias("std_drop"))
+    return out.orderBy(F.desc("mean_drop"), "feature")

@@ -191,3 +191,15 @@ def test_search_prunes_below_the_median():
 
     got = search.search({"a": {"type": "float", "low": 0.0, "high": 1.0}}, objective, 15)
     assert {t["state"] for t in got} == {"complete", "pruned"}
+
+
+def test_permutation_importance_of_every_feature(spark, sf):
+    """All components are scored and ranked; each repeat deals a feature's values anew among all rows."""
+    from flowprep.catalogue import QUERIES
+
+    got = QUERIES["permutation_importance"](spark, sf).collect()
+    assert sorted(r["feature"] for r in got) == list(range(64))
+    assert [r["mean_drop"] for r in got] == sorted((r["mean_drop"] for r in got), reverse=True)
+    df = spark.createDataFrame([(i, [float(i % 2), float(i)], i % 2) for i in range(200)], "i long, x array<double>, y int")
+    by = {r["feature"]: r for r in explain.permutation_importance(df, "i", "x", "y", 2, lambda m: m[:, 0], [0, 1], 5).collect()}
+    assert 0.3 < by[0]["mean_drop"] < 0.7 and by[0]["std_drop"] > 0 and by[1]["mean_drop"] == 0 == by[1]["std_drop"]
