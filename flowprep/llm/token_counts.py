@@ -1,14 +1,14 @@
 """Token counts by a compiled finite-state tokenizer.
 
-A byte-level BPE tokenizer works in two stages, and both are compiled here into deterministic transducers.
+A byte-level BPE tokenizer works in two stages; the first is compiled here into a deterministic transducer.
 
 1. The splitting pattern becomes a machine of 13 states over 13 character classes. Each transition says how many
    pieces end there: none, one just before the character, one a character earlier (the machine has looked ahead by
    one), or both. A stream of texts is cut into chunks; every chunk yields a map from each state it may be entered
    in to the state it is left in, all chunks advancing together, one character a step. The maps compose by a
    parallel prefix scan, which gives each chunk its true entry state; a second walk then emits.
-2. The merges become a transducer that is built as it is needed: a path spells a piece, its weight is the number of
-   tokens the merges leave, and paths that have been walked are kept (bounded, short pieces only).
+2. The merges run as an ordinary loop on each piece; the number of tokens they leave is kept by piece (bounded, short
+   pieces only). A piece's count is no sum over its bytes, so no transition carries it.
 
 Cases: a null or empty text has 0 tokens; very long texts run in blocks of chunks, and a run of one class of any
 length is merged in n log n; special strings inside texts count as the one token they are; repeated rows each get a
