@@ -8,8 +8,8 @@ together from formatted turns in sorted order as a stream, in blocks of bounded
 needs the memory of a block.
 
 Cases: a null text or role is empty; null conversation ids are one conversation; turns that tie are ordered by role,
-then text; repeated rows are turns of their own; very long texts are handled alone; an empty table gives no rows;
-other columns are ignored, whatever their names.
+then text; a null turn comes first; repeated rows are turns of their own; very long texts are handled alone, and so are
+runs of white space of any length; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, flat_map_texts, quoted
-from .packing import encoding
+from .common import arrow_map, flat_map_texts, quoted, text_of
+from .packing import encoding, token_ids
 
 # The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -44,30 +44,30 @@ def unescape(text: str) -> str:
     return UNESCAPED.sub(r"<\1|", text)
 
 
-def turn_tokens(role: str, text: str, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a turn, and which of them are learned."""
-    coder = encoding(ranks_path)
-    start = len(coder._mergeable_ranks) + 1
-    segments = [[start], coder.encode_ordinary(escape(role) + "\n"), coder.encode_ordinary(escape(text)), [start + 1], coder.encode_ordinary("\n")]
+def turn_tokens(role: str, text: str, ranks_path: str) -> tuple[np.ndarray, int, int]:
+    """The ids of a turn, and where those that are learned begin and end."""
+    start = len(encoding(ranks_path)._mergeable_ranks) + 1
+    ids = lambda t: token_ids(t, ranks_path, False)
+    segments = [[start], ids(escape(role) + "\n"), ids(escape(text)), [start + 1], ids("\n")]
     at = np.cumsum([0, *map(len, segments)])
-    mask = np.zeros(int(at[-1]), np.int8)
-    if role == LEARNED:
-        mask[at[2] : at[3]] = 1
-    return np.concatenate([np.asarray(s, np.int32) for s in segments]), mask
+    begin, end = (int(at[2]), int(at[3])) if role == LEARNED else (0, 0)
+    return np.concatenate([np.asarray(s, np.int32) for s in segments]), begin, end
 
 
 def format_chats(df: DataFrame, ranks_path: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Rows (conversation, block, ids, mask, ends) in order within each partition, whole conversations to a partition."""
+    inputs = [quoted(conv_col), quoted(turn_col), text_of(quoted(role_col))]
+    kinds = [f.dataType for f in df.select(*[c.alias(f"k{i}") for i, c in enumerate(inputs)]).schema]
+    schema = T.StructType([*(T.StructField(n, k) for n, k in zip(("conv", "turn", "role"), kinds, strict=True)), T.StructField("text", T.StringType()), T.StructField("ids", T.BinaryType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [turn_tokens(r, t, ranks_path) for r, t in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["conv", "turn", "role", "tie", "ids", "mask"])
+        rows = [turn_tokens(r, t, ranks_path) for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        made = [pa.array([r[0].tobytes() for r in rows], pa.binary()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))]
+        return pa.RecordBatch.from_arrays([*part.columns, *made], names=schema.names)
 
-    inputs = [("conv", quoted(conv_col)), ("turn", quoted(turn_col)), ("role", F.coalesce(quoted(role_col).cast("string"), F.lit(""))), ("tie", F.xxhash64(quoted(text_col)))]
-    kinds = {c: f.dataType for c, f in zip(("conv", "turn", "role", "tie"), df.select(*[c.alias(n) for n, c in inputs]).schema, strict=True)}
-    schema = T.StructType([*(T.StructField(c, k) for c, k in kinds.items()), T.StructField("ids", T.BinaryType()), T.StructField("mask", T.BinaryType())])
-    turns = flat_map_texts(df, text_col, inputs, schema, fn).repartition("conv").sortWithinPartitions("conv", "turn", "role", "tie")
-    out = T.StructType([T.StructField("conv", kinds["conv"]), T.StructField("block", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))])
+    turns = flat_map_texts(df, text_col, inputs, schema, fn).repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    turns = turns.select("conv", "ids", "begin", "end")
+    out = T.StructType([T.StructField("conv", kinds[0]), T.StructField("block", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.ByteType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block, ids, masks, size, opened = None, 0, [], [], 0, False
@@ -80,13 +80,16 @@ def format_chats(df: DataFrame, ranks_path: str, conv_col: str = "conv_id", turn
 
         for batch in batches:
             kind = batch.column(0).type
-            for conv, i, m in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
+            for conv, i, begin, end in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if opened and (conv != now or size >= BLOCK_TOKENS):
                     yield flush()
                     block, ids, masks, size = (block + 1 if conv == now else 0), [], [], 0
                 now, opened = conv, True
                 ids.append(np.frombuffer(i.as_py(), np.int32))
-                masks.append(np.frombuffer(m.as_py(), np.int8))
+                turn = np.zeros(len(ids[-1]) + 1, np.int8)
+                turn[begin] += 1
+                turn[end] -= 1
+                masks.append(np.cumsum(turn[:-1], dtype=np.int8))
                 size += len(ids[-1])
         if opened:
             yield flush()
@@ -155,9 +158,9 @@ WITH rows AS (
     UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
