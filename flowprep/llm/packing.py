@@ -7,15 +7,17 @@ slots (length, first and last rank, sequences, offset); its size depends on `siz
 A piece's rank within its length is its rank within its task plus the pieces of that length in earlier tasks, so no
 task sees all pieces of a length. Then each piece takes its slot by length and rank.
 
-Cases: a null or empty text is the end id alone; very long texts are cut into full pieces after a first, shorter one;
-repeated rows and ties are packed separately, in the order the table is read; an empty table gives no rows; other
-columns are ignored, whatever their names.
+Cases: a null or empty text is the end id alone; very long texts are cut into full pieces after a first, shorter one; a run
+of white space of any length is encoded apart, with the same ids; repeated rows and ties are packed separately, in the
+order the table is read; ids of any type and null ids are handed on as they are; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, quoted, text_blocks, written
+from .common import arrow_map, quoted, text_blocks, text_of, tidy, written
+from .token_counts import WHITE
 
-#: A text above this many characters is encoded between white space, piece by piece.
-LONG_TEXT = 1 << 22
+#: A run of so much white space is a piece that is encoded apart: the library's pattern would need a stack as deep as the run.
+LONG_RUN = 1 << 16
+RUNS = re.compile(f"[{''.join(map(chr, WHITE))}]{{{LONG_RUN},}}")
 
 
 @lru_cache(2)
@@ -44,8 +48,24 @@ def encoding(ranks_path: str):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
 
 
-def token_ids(text: str, ranks_path: str) -> np.ndarray:
-    return encoding(ranks_path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+def token_ids(text: str, ranks_path: str, special: bool = True) -> np.ndarray:
+    """The ids of a text; with special, special strings in it are the ids they stand for.
+
+    White space before a word is a piece without its last character, which goes with the word; at the end it is whole.
+    """
+    coder = encoding(ranks_path)
+    known = {"allowed_special": "all"} if special else {"disallowed_special": ()}
+    if len(text) < LONG_RUN or not RUNS.search(text):
+        return coder.encode_to_numpy(text, **known).astype("<u4")
+    parts, at = [], 0
+    for m in RUNS.finditer(text):
+        whole = m.end() == len(text) or special and any(text.startswith(x, m.end()) for x in coder.special_tokens_set)
+        end = m.end() - (not whole)
+        parts.append(coder.encode_to_numpy(text[at : m.start()], **known))
+        parts.append(np.array(coder._core_bpe.encode_single_piece(text[m.start() : end].encode()), np.uint32))
+        at = end
+    parts.append(coder.encode_to_numpy(text[at:], **known))
+    return np.concatenate(parts).astype("<u4")
 
 
 def plan_slots(histogram: dict[int, int], size: int) -> np.ndarray:
@@ -91,7 +111,7 @@ PIECE = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongT
 
 
 def pieces(df: DataFrame, ranks_path: str, size: int, end_id: int, text_col: str, id_col: str) -> DataFrame:
-    src = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    src = df.select(quoted(id_col).alias("id"), text_of(quoted(text_col)).alias("text"))
     schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *PIECE, T.StructField("task", T.IntegerType()), T.StructField("rank", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +140,7 @@ def pieces(df: DataFrame, ranks_path: str, size: int, end_id: int, text_col: str
     return arrow_map(src, run, schema)
 
 
+@tidy
 def pack(df: DataFrame, ranks_path: str, size: int = 1024, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     parts = written(pieces(df, ranks_path, size, end_id, text_col, id_col), "pieces")

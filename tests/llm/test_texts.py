@@ -282,3 +282,25 @@ def test_packing(spark, odd, docs, path, library):
                 want += [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
             assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == i) == sorted(want)
     assert packing.pack(odd.limit(0), ranks).count() == 0
+
+def test_long_white_space(spark, path, library):
+    """A run of white space of any length has the ids that the tokenizers library gives, wherever it stands."""
+    ranks = path("byte_bpe_50k.tiktoken")
+    for ch in (" ", "\n", "　"):
+        for text in (f"a{ch * 1_000_000}x{ch}", ch * 1_000_000, f"{ch * 70_000}\n{ch * 70_000}<|endoftext|>{ch * 70_000} b", f"a {ch * 70_000}'s{ch * 65_536}1"):
+            assert (packing.token_ids(text, ranks) == library.encode(text, add_special_tokens=False).ids).all()
+        long = ch * (10_000_000 if ch == " " else 2_000_000) + "x"
+        assert (packing.token_ids(long, ranks) == library.encode(long, add_special_tokens=False).ids).all()
+        assert token_counts.count_tokens([long], path("byte_bpe_50k.json"))[0] == len(packing.token_ids(long, ranks))
+    df = spark.createDataFrame([(1, 0, "user", " " * 1_000_000 + "x"), (1, 1, "assistant", "\n" * 1_000_000)], "doc_id long, turn int, role string, text string")
+    assert packing.pack(df.drop("turn", "role"), ranks).agg(F.sum("length")).first()[0] == sum(len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in df.collect())
+    got = chat.chat_digest(chat.format_chats(df, ranks, conv_col="doc_id").withColumnRenamed("doc_id", "conv_id"), ranks).first()
+    assert got["n_turns"] == 2 and got["loss_sha256"] == brute.sha("\n" * 1_000_000)
+
+
+def test_chat_ties_go_by_text(spark, path):
+    ranks = path("byte_bpe_50k.tiktoken")
+    texts = ["b", "a", "", "é", "B", None, "a\n"]
+    df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn int, role string, text string")
+    wanted = "".join(f"user\n{t}\n" for t in sorted(t or "" for t in texts))
+    assert chat.chat_digest(chat.format_chats(df, ranks), ranks).first()["turns_sha256"] == brute.sha(wanted)
