@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,6 @@ from flowprep.cluster import shared_dir, ship
 
 #: Bytes of text that an Arrow function handles at a time (a longer text is handled alone).
 BLOCK_BYTES = 4 << 20
-#: Stands for a null document id in keys: it sorts after every other id.
-NULL_ID = (1 << 63) - 1
 
 
 def quoted(name: str) -> Column:
@@ -28,27 +28,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _store(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+#: The tables that each open scratch() has seen written, innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: later jobs read files instead of recomputing, and survive lost executors."""
+    """df as a table in the shared folder: later jobs read files instead of recomputing, and survive lost executors.
+
+    It goes when the application ends at the latest, and with the scratch() it was written in if nothing reads it then.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowprep/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, p = _store(spark, path)
+    fs.deleteOnExit(p)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def roots_of(df: DataFrame) -> list[str]:
+    """The folders that a data frame's plan reads."""
+    found, leaves = [], df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(k).toString() for k in range(paths.size())]
+    return found
+
+
+def delete_tables(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        fs, p = _store(spark, path)
+        fs.delete(p, True)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for t in tables:
-        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
-            if "/flowprep/" in path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    delete_tables(spark, [path for t in tables for path in roots_of(t) if "/flowprep/" in path])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go at the end, but for those that the frames handed to the yielded function read."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield kept.append
+    finally:
+        _open.pop()
+        needed = {path.rpartition("/")[2] for df in kept for path in roots_of(df)}
+        stays = [path for path in made if path.rpartition("/")[2] in needed]
+        delete_tables(spark, [path for path in made if path not in stays])
+        if _open:
+            _open[-1].extend(stays)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a data frame that leaves no tables behind but those its result reads."""
+
+    @functools.wraps(operator)
+    def call(df: DataFrame, *args, **named) -> DataFrame:
+        with scratch(df.sparkSession) as keep:
+            out = operator(df, *args, **named)
+            keep(out)
+        return out
+
+    return call
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1 and so on, so that no name of a caller's meets one of ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def doc_key(id_col: str = "doc_id") -> Column:
-    """The document id for joins and comparisons; a null id is larger than every other."""
-    return F.coalesce(quoted(id_col).cast("long"), F.lit(NULL_ID))
+def text_of(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
+    """Rows of two frames whose columns are equal, nulls too."""
+    out = F.lit(True)
+    for n in names:
+        out = out & left[n].eqNullSafe(right[n])
+    return out
 
 
 def text_blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -70,10 +140,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def _inputs(df: DataFrame, text_col: str, columns: Sequence[Column]) -> DataFrame:
+    return df.select(*[c.alias(f"k{i}") for i, c in enumerate(columns)], text_of(quoted(text_col)).alias("text"))
+
+
 def map_texts(df: DataFrame, text_col: str, keep: Sequence[tuple[str, Column]], fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """The kept columns and what fn makes of each block of texts (null: empty), row by row."""
-    src = df.select(*[c.alias(n) for n, c in keep], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__text"))
-    schema, names, k = T.StructType([src.schema[n] for n, _ in keep] + fields), [n for n, _ in keep] + [f.name for f in fields], len(keep)
+    src, k = _inputs(df, text_col, [c for _, c in keep]), len(keep)
+    schema = T.StructType([T.StructField(n, src.schema[i].dataType) for i, (n, _) in enumerate(keep)] + fields)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +158,9 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[tuple[str, Column]],
     return arrow_map(src, run, schema)
 
 
-def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[tuple[str, Column]], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty)."""
-    src = df.select(*[c.alias(n) for n, c in inputs], F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("__text"))
-    k = len(inputs)
+    src, k = _inputs(df, text_col, inputs), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,32 +171,34 @@ def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[tuple[str, Col
     return arrow_map(src, run, schema)
 
 
-#: Bits in a filter that goes to the executors: 4 MB, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: A filter has about so many bits for each key, a power of two between these bounds: 64 KB to 32 MB.
+FILTER_BITS_EACH, FILTER_LEAST, FILTER_MOST = 10, 1 << 19, 1 << 28
 FILTER_HASHES = 3
 
 
 class KeyFilter:
-    """A Bloom filter of fixed size over hashes of 64 bits. One that is full lets everything pass: results never depend
-    on it, only how many rows a later exact join has to move."""
+    """A Bloom filter over hashes of 64 bits, sized by the number of keys up to a bound. One beyond its bound lets more
+    pass: results never depend on it, only how many rows a later exact join has to move."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.bits = words, 64 * len(words)
 
     @staticmethod
     def of(hashes: DataFrame, column: str) -> KeyFilter:
-        """Bits are gathered on the executors; at most FILTER_BITS / 64 words reach the driver."""
-        at = [F.shiftrightunsigned(quoted(column), 19 * i).bitwiseAND(F.lit(FILTER_BITS - 1)) for i in range(FILTER_HASHES)]
+        """Bits are gathered on the executors; at most FILTER_MOST / 64 words reach the driver."""
+        keys = hashes.count()  # of a written table: read from its files' footers
+        size = max(FILTER_LEAST, min(FILTER_MOST, 1 << (FILTER_BITS_EACH * keys).bit_length()))
+        at = [F.shiftrightunsigned(quoted(column), 18 * i).bitwiseAND(F.lit(size - 1)) for i in range(FILTER_HASHES)]
         bits = hashes.select(F.explode(F.array(*at)).alias("b")).select(F.expr("b div 64").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
         got = bits.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-        words = np.zeros(FILTER_BITS // 64, np.int64)
+        words = np.zeros(size // 64, np.int64)
         words[got["w"].to_numpy()] = got["m"].to_numpy()
         return KeyFilter(words.view(np.uint64))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out, h = np.ones(len(hashes), bool), hashes.view(np.uint64)
         for i in range(FILTER_HASHES):
-            b = (h >> np.uint64(19 * i)) & np.uint64(FILTER_BITS - 1)
+            b = (h >> np.uint64(18 * i)) & np.uint64(self.bits - 1)
             out &= (self.words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
         return out
 

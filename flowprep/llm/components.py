@@ -1,4 +1,8 @@
-"""Connected components by contraction: the links between components shrink each round; nothing reaches the driver."""
+"""Connected components by contraction: the links between components shrink each round; nothing reaches the driver.
+
+Cases: nodes are of any type that has an order; a link of a node with itself and repeated links count for nothing; links with a
+null end are left out; without links there are no rows.
+"""
 
 from __future__ import annotations
 

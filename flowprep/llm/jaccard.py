@@ -11,7 +11,7 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
    a subset of that size: small sets emit all their subsets of the sizes that can matter. Larger sets (and those
    small ones that can link to larger ones) emit their first s - ceil(0.8 s) + 1 tokens, of which linked sets share one;
    tokens that only one document has needn't be emitted. x is the boundary where the subsets emitted and the lists
-   scanned cost least, from the histogram of small sizes and the mean length of a list.
+   scanned cost least, from the histogram of sizes and the mean length of a list; nothing else bounds it.
 4. Keys that only one class has are dropped by an exact join.
 5. Links are looked for in rounds. In each list the class with the most shared keys is a pivot; in the first round
    every other class is verified against the pivot that most of its lists name, in the next ones against its nearest
@@ -21,38 +21,41 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
    other components. So every link is either found or lies within a component already known. Two sets of sizes s and
    t that link share at least o(s, t) - max(rest) keys, where rest is what a set has beyond its prefix. So a class
    with d keys in unfinished lists (those of pivots of its own component too) has no partner in bands of sizes where more
-   than d are needed, and where v are needed it may leave out its v - 1 longest lists. Short lists are joined; long ones are compared by sketches, block by block.
+   than d are needed, and where v are needed it may leave out its v - 1 longest lists. Short lists are joined; long ones are
+   compared by sketches, block by block; a block is bounded in classes and in bytes of sketches.
 7. Pairs are verified in two steps. Each class has a parity sketch of about two bits a token; sets differ by at least
-   as many tokens as their sketches differ by bits, so most wrong pairs go without a look at the sets.
+   as many tokens as their sketches differ by bits, so most wrong pairs go without a look at the sets. Both steps go
+   pair by pair, as sets differ in size; each pair is a few numpy calls over whole sketches or sets.
 
 Cases: a document with fewer words than a shingle has its whole word sequence as its one element; one without words
-has an empty set and is linked with nothing, its component is its own id; repeated rows are documents of one id; a
-null id counts as the largest and stays null when it is alone; very long texts are handled alone; an empty table gives
-no rows; other columns are ignored by jaccard_components() and kept by one_of_each(), whatever their names. Classes and
-tokens are told apart by 64-bit hashes.
+has an empty set and is linked with nothing, its component is its own id; rows are told apart by id and text: rows that
+share an id but not the text are documents of their own, rows that repeat both are one document; a null id counts as
+the largest and stays null when it is alone; ids are whole numbers (or text of such: others are an error); very long texts
+are handled alone; an empty table gives no rows; other columns are ignored by jaccard_components() and kept by
+one_of_each(), whatever their names. Classes are told apart by 128-bit hashes of their sets, tokens by 64 bits.
 """
 
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_left, bisect_right
 from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowprep.cluster import ship
 
-from .common import NULL_ID, KeyFilter, arrow_map, doc_key, flat_map_texts, quoted, written
+from .common import KeyFilter, arrow_map, flat_map_texts, numbered, quoted, same, text_of, tidy, written
 from .components import components
 from .textarrays import mix, power_table, windows, words_of
 
 U = np.uint64
 BASE = 0xD6E8FEB86659FD93
-#: Sets of up to so many tokens may be small; their subsets are few enough to be listed.
-SMALL_MOST = 12
 #: A sketch has at least so many bits, else the power of two above twice the size of its set.
 SKETCH_LEAST = 256
 
@@ -73,9 +76,12 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(tokens: np.ndarray) -> np.int64:
-    """A hash of the set."""
-    return mix(np.array([mix(tokens ^ U(0xA0761D6478BD642F)).sum() + U(len(tokens))], U)).view(np.int64)[0]
+def class_of(tokens: np.ndarray) -> bytes | None:
+    """A 128-bit hash of the set, null for an empty one."""
+    if not len(tokens):
+        return None
+    sums = [mix(tokens ^ U(salt)).sum() + U(len(tokens)) for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    return mix(np.array(sums, U)).astype(">u8").tobytes()
 
 
 def needed(s: int, t: int, percent: int) -> int:
@@ -95,21 +101,28 @@ def subset_sizes(s: int, most: int, percent: int) -> tuple[int, ...]:
 
 
 def subsets_of(s: int, most: int, percent: int) -> int:
-    from math import comb
-
     return sum(comb(s, c) for c in subset_sizes(s, most, percent))
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
-    """The size up to which sets are small, at the least cost: subsets emitted, against tokens emitted and list entries scanned."""
-
-    def cost(x: int) -> float:
-        first = -(-percent * (x + 1) // 100)
-        subsets = sum(n * subsets_of(s, x, percent) for s, n in sizes.items() if s <= x)
-        lists = sum(n * prefix_length(s, percent) * (1 + list_length) for s, n in sizes.items() if s >= first)
-        return subsets + lists
+    """The size up to which sets are small, at the least cost: subsets emitted, against tokens emitted and list entries scanned.
 
-    return min(range(0, SMALL_MOST + 1), key=lambda x: (cost(x), x))
+    Subsets only become more as the boundary rises, so the search ends where they alone cost more than the best so far.
+    """
+    every = sorted(sizes)
+    after = [0.0]  # what the lists cost from each size on
+    for s in reversed(every):
+        after.append(after[-1] + sizes[s] * prefix_length(s, percent) * (1 + list_length))
+    after.reverse()
+    lists = lambda x: after[bisect_left(every, -(-percent * (x + 1) // 100))]
+    best = (lists(0), 0)
+    for s in every:
+        x = s * 100 // percent  # the least boundary that spares sets of size s their lists
+        subsets = sum(sizes[t] * subsets_of(t, x, percent) for t in every[: bisect_right(every, x)])
+        best = min(best, (subsets + lists(x), x))
+        if subsets > best[0]:
+            break
+    return best[1]
 
 
 @lru_cache(4096)
@@ -131,21 +144,25 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold).sum())
 
 
+def limit(counted: float) -> np.uint64:
+    return U(min(int(counted * (1 << 64)), (1 << 64) - 1))
+
+
 class Order:
     """One order of all tokens: counted ones of one document, counted ones that are shared, by count, and the others; ties by value."""
 
     def __init__(self, counted: float, shared: KeyFilter, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens)
-        self.below, self.shared, self.tokens, self.counts = U(min(int(counted * (1 << 64)), (1 << 64) - 1)), shared, tokens[at], counts[at].astype(np.int64)
+        self.below, self.shared, self.tokens, self.counts = limit(counted), shared, tokens[at], counts[at].astype(np.int64)
 
     def prefix(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the first n of a sorted set: those that another document may have, and their places from 1."""
-        known = tokens < self.below
+        known, half = tokens < self.below, (tokens >> U(1)).view(np.int64)
         weight = np.where(known, 0, 1 << 62)
-        weight[known & self.shared.has(tokens)] = 1
+        weight[known & self.shared.has(half)] = 1
         if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            frequent = (self.tokens[at] == tokens) & (weight == 1)
+            at = np.minimum(np.searchsorted(self.tokens, half), len(self.tokens) - 1)
+            frequent = (self.tokens[at] == half) & (weight == 1)
             weight[frequent] = 1 + self.counts[at[frequent]]
         first = np.argsort(weight, kind="stable")[:n]
         places = np.flatnonzero(weight[first] > 0)
@@ -161,65 +178,72 @@ def subset_keys(tokens: np.ndarray, most: int, percent: int) -> np.ndarray:
 
 
 LONG = T.LongType()
-KEYS = T.StructType([T.StructField(n, LONG) for n in ("kind", "a", "b", "c", "d")] + [T.StructField("sketch", T.BinaryType())])
 
 
-def longs(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, LONG) for n in names])
+def fields(longs: str, binaries: str = "") -> T.StructType:
+    return T.StructType([*(T.StructField(n, LONG) for n in longs.split()), *(T.StructField(n, T.BinaryType()) for n in binaries.split())])
+
 
+#: kind 0: a document's id and row, class, size and sketch; kind 1: a key of a class, its size and the key's place.
+SCANNED = fields("kind id row k n place", "c sketch")
 
-def count_keys(docs: DataFrame, text_col: str, n: int, percent: int, counted: float) -> DataFrame:
-    """(k): the counted tokens and the subset keys of every set; -s for every set of a small size s."""
-    below = U(min(int(counted * (1 << 64)), (1 << 64) - 1))
+
+def count_keys(docs: DataFrame, text_col: str, n: int, counted: float) -> DataFrame:
+    """(k): half of every counted token of every set; -s for every set of a size s above 0."""
+    below = limit(counted)
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        keys = []
-        for s in shingle_sets(part.column(0), n):
-            keys.append(s[: np.searchsorted(s, below)].view(np.int64))
-            if 0 < len(s) <= SMALL_MOST:
-                keys += [subset_keys(s, SMALL_MOST, percent).view(np.int64), np.array([-len(s)])]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["k"])
+        sets = shingle_sets(part.column(0), n)
+        sizes = -np.array([len(s) for s in sets if len(s)], np.int64)
+        tokens = [(s[: np.searchsorted(s, below)] >> U(1)).view(np.int64) for s in sets]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([sizes, *tokens]))], names=["k"])
 
-    return flat_map_texts(docs, text_col, [], longs("k"), fn)
+    return flat_map_texts(docs, text_col, [], fields("k"), fn)
 
 
 def emit_keys(docs: DataFrame, text_col: str, n: int, percent: int, order: Order, most: int) -> DataFrame:
-    """KEYS rows: kind 0 with a document, its class, its size and its sketch; kind 1 with a key, the class, its size and the place."""
-    handed = docs.sparkSession.sparkContext.broadcast(order)  # of fixed size
+    """SCANNED rows of every document."""
+    handed = docs.sparkSession.sparkContext.broadcast(order)  # of bounded size
+    listed = -(-percent * (most + 1) // 100)  # sets from this size on emit tokens
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        order, sets = handed.value, shingle_sets(part.column(1), n)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        classes = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
-        zeros = np.zeros(len(sets), np.int64)
-        cols = [[zeros], [part.column(0).to_numpy(zero_copy_only=False)], [classes], [sizes], [zeros]]
-        for i, s in enumerate(sets):
+        order, sets = handed.value, shingle_sets(part.column(2), n)
+        classes = pa.array([class_of(s) for s in sets], pa.binary())
+        owners, keys, places = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for s in sets:
             small = subset_keys(s, most, percent)
-            small = small[order.shared.has(small)]
-            keys, places = order.prefix(s, prefix_length(len(s), percent)) if len(s) >= -(-percent * (most + 1) // 100) else (s[:0], zeros[:0])
-            m = len(small) + len(keys)
-            if m:
-                for c, v in zip(cols, (np.ones(m, np.int64), np.concatenate([small, keys]).view(np.int64), np.full(m, classes[i]), np.full(m, len(s)), np.concatenate([np.zeros(len(small), np.int64), places])), strict=True):
-                    c.append(v)
-        flat = [pa.array(np.concatenate(c).astype(np.int64)) for c in cols]
-        sketches = pa.array([sketch(s) for s in sets] + [None] * (len(flat[0]) - len(sets)), pa.binary())
-        return pa.RecordBatch.from_arrays([*flat, sketches], names=KEYS.names)
+            token, place = order.prefix(s, prefix_length(len(s), percent)) if len(s) >= listed else (s[:0], s[:0].astype(np.int64))
+            owners.append(len(small) + len(token))
+            keys += [small, token]
+            places += [np.zeros(len(small), np.int64), place]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        m, k = len(sets), sum(owners)
+        of = np.repeat(np.arange(m), owners)
+        none = pa.nulls(k, pa.int64())
+        zeros = np.zeros(m, np.int64)
+        columns = [
+            np.concatenate([zeros, np.ones(k, np.int64)]), pa.concat_arrays([part.column(0), none]), pa.concat_arrays([part.column(1), none]), np.concatenate([zeros, np.concatenate(keys).view(np.int64)]),
+            np.concatenate([sizes, sizes[of]]), np.concatenate([zeros, *places]), pa.concat_arrays([classes, classes.take(pa.array(of))]), pa.concat_arrays([pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(k, pa.binary())]),
+        ]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=SCANNED.names)
+
+    return flat_map_texts(docs, text_col, [F.col("id"), F.col("row")], SCANNED, fn)
 
-    return flat_map_texts(docs, text_col, [("__id", F.col("__id"))], KEYS, fn)
+
+def row_hash() -> Column:
+    return F.xxhash64("row", "id")
 
 
 def sets_of_classes(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(c, tokens) of the wanted classes (c, id of one document): only documents that may be wanted are read closely."""
-    hashed = wanted.select(F.xxhash64("id").alias("h"))
-    maybe, _ = KeyFilter.of(hashed, "h").split(docs, F.xxhash64("__id"))
+    """(c, tokens) of the wanted classes (c, id, row of one document): only documents that may be wanted are read closely."""
+    maybe, _ = KeyFilter.of(wanted.select(row_hash().alias("h")), "h").split(docs, row_hash())
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(part.column(1), n)
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "c", "tokens"])
+        sets = shingle_sets(part.column(2), n)
+        return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "row", "c", "tokens"])
 
-    schema = T.StructType([*longs("id", "c"), T.StructField("tokens", T.BinaryType())])
-    found = flat_map_texts(maybe, text_col, [("__id", F.col("__id"))], schema, fn)
-    return found.join(wanted, ["c", "id"]).select("c", "tokens").dropDuplicates(["c"])
+    found = flat_map_texts(maybe, text_col, [F.col("id"), F.col("row")], fields("id row", "c tokens"), fn)
+    return found.join(wanted, same(found, wanted, "c", "id", "row")).select(found["c"], "tokens").dropDuplicates(["c"])
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +258,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 ok.append(sketch_distance(x.as_py(), y.as_py()) <= s + t - 2 * needed(s, t, percent))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(both, run, longs("a", "b"))
+    return arrow_map(both, run, fields("", "a b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +275,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * i >= percent * (len(x) + len(y) - i))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(both, run, longs("a", "b"))
+    return arrow_map(both, run, fields("", "a b"))
 
 
 def least_shared(s: str, t: str, percent: int) -> str:
@@ -279,20 +303,30 @@ def shared_in_band(percent: int) -> str:
     return f"greatest(1, cast(ceil(least({need(low)}, {need(high)}) - 1e-6D) as int))"
 
 
-#: Lists of more classes are compared by sketches in blocks of BLOCK by BLOCK classes instead of being joined.
-LONG_LIST, BLOCK = 64, 4096
+#: Lists of more classes are compared by sketches in blocks instead of being joined. A side of a block has at most BLOCK classes
+#: and BLOCK_BYTES of sketches, or one class.
+LONG_LIST, BLOCK, BLOCK_BYTES = 64, 1024, 16 << 20
+
+
+def codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each value of a column."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
 def compare_block(percent: int, nearest: bool, group: pa.Table) -> pa.Table:
     """Pairs of probing and other classes of one block whose sketches allow a link, or each probing class's nearest alone."""
     probing = group.column("probing").to_numpy(zero_copy_only=False)
-    c, root, s, place = (group.column(n).to_numpy(zero_copy_only=False) for n in ("c", "root", "s", "place"))
+    s, place = (group.column(n).to_numpy(zero_copy_only=False) for n in ("s", "place"))
+    root, names = codes(group.column("root")), group.column("c").combine_chunks()
+    halves = np.array([x.as_py() for x in names], "S16").view(np.uint8).reshape(-1, 2, 8).view(">u8")[:, :, 0]
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((halves[:, 1], halves[:, 0]))] = np.arange(len(names))  # Spark compares bytes in the same order
     raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sketch").combine_chunks()]
     words = min(map(len, raw))
     bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in raw])
     other = np.flatnonzero(~probing)
-    c2, root2, s2, place2, bits2 = c[other], root[other], s[other], place[other], bits[other]
-    pairs: list[np.ndarray] = []
+    root2, s2, place2, bits2 = root[other], s[other], place[other], bits[other]
+    pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
     for i in np.flatnonzero(probing).tolist():
         both = s[i] + s2
         need = -(-percent * both // (100 + percent))
@@ -302,14 +336,20 @@ def compare_block(percent: int, nearest: bool, group: pa.Table) -> pa.Table:
         at = np.flatnonzero(ok)
         apart = np.bitwise_count(bits2[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
         near = np.flatnonzero(apart <= (both - 2 * need)[at])
-        at = at[near[np.argmin(apart[near]) :][:1] if nearest and len(near) else near]
-        pairs.append(np.stack([np.minimum(c[i], c2[at]), np.maximum(c[i], c2[at])], axis=1))
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        found = other[at[near[np.argmin(apart[near]) :][:1] if nearest and len(near) else near]]
+        low = rank[found] < rank[i]
+        pairs.append(np.stack([np.where(low, found, i), np.where(low, i, found)], axis=1))
+    found = np.concatenate(pairs)
+    return pa.table({"a": names.take(pa.array(found[:, 0])), "b": names.take(pa.array(found[:, 1]))})
+
+
+def block_rows() -> str:
+    """SQL for how many classes of a list make a side of a block; a sketch has at most half a byte for each token."""
+    return f"greatest(1, least({BLOCK}, {BLOCK_BYTES} div greatest({SKETCH_LEAST // 8}, most_s div 2 + 1)))"
 
 
 def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """(a, b) of classes in different components that may be linked, from rows (k, c, s, place, root, pivot_root, members).
+    """(a, b) of classes in different components that may be linked, from rows (k, c, s, place, root, pivot_root, members, most_s).
 
     With nearest, a long list gives one pair for each probing class; else all pairs are given.
     """
@@ -319,7 +359,8 @@ def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: boo
     ranked = open_.withColumns({"open_keys": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("members", "k"))})
     every = ranked.where("root <> pivot_root").withColumn("band", F.explode(F.expr(f"sequence({band(f'{r}D * s')}, {band(f's / {r}D')})")))
     every = every.where(f"place = 0 or rank <= open_keys - {shared_in_band(percent)} + 1")
-    probes, others = every.select("k", "band", "c", "root", "s", "place", "members"), open_.select("k", F.expr(band("s")).alias("band"), "c", "root", "s", "place", "members")
+    columns = ("c", "root", "s", "place", "members", "most_s")
+    probes, others = every.select("k", "band", *columns), open_.select("k", F.expr(band("s")).alias("band"), *columns)
 
     # short lists: their pairs are at most LONG_LIST times their rows
     one = probes.where(f"members <= {LONG_LIST}").select("k", "band", F.col("c").alias("a"), F.col("root").alias("ra"), F.col("s").alias("sa"), F.col("place").alias("pa"))
@@ -330,32 +371,31 @@ def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: boo
 
     # long lists: probing rows of block i meet other rows of block j in a group of their own; most lists are one block
     met_by = others.join(probes.select("k", "band").distinct(), ["k", "band"], "left_semi")
-    blocks = f"cast(ceil(members / {BLOCK}D) as int)"
+    blocks = f"cast(ceil(members / cast({block_rows()} as double)) as int)"
     spread, mine, first = F.explode(F.expr(f"sequence(0, {blocks} - 1)")), F.pmod(F.xxhash64("c"), F.expr(blocks)).cast("int"), F.lit(0)
     parts = []
     for side, flag in ((probes, True), (met_by, False)):
         i, j = ("i", "j") if flag else ("j", "i")
         columns = ("k", "band", "c", "root", "s", "place", F.lit(flag).alias("probing"))
-        parts.append(side.where(f"members > {LONG_LIST} and members <= {BLOCK}").select(*columns, first.alias(i), first.alias(j)))
-        parts.append(side.where(f"members > {BLOCK}").select(*columns, mine.alias(i), spread.alias(j)))
+        parts.append(side.where(f"members > {LONG_LIST} and members <= {block_rows()}").select(*columns, first.alias(i), first.alias(j)))
+        parts.append(side.where(f"members > {LONG_LIST} and members > {block_rows()}").select(*columns, mine.alias(i), spread.alias(j)))
     both = reduce(DataFrame.unionByName, parts).join(sketches.select("c", "sketch"), "c")
     ship(open_.sparkSession)
-    long = both.groupBy("k", "band", "i", "j").applyInArrow(lambda group: compare_block(percent, nearest, group), longs("a", "b"))
+    long = both.groupBy("k", "band", "i", "j").applyInArrow(lambda group: compare_block(percent, nearest, group), fields("", "a b"))
     return short.unionByName(long).distinct()
 
 
 def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: float, ordered: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """(id, class, size) of every document, and (node, root) of every class that is linked."""
-    counts = written(count_keys(docs, text_col, n, percent, counted).groupBy("k").agg(F.count("*").alias("m")).where("m > 1 or k < 0 and k >= -100"), "counts")
-    sizes = {-r["k"]: r["m"] for r in counts.where("k < 0 and k >= -100").collect()}  # at most SMALL_MOST rows
-    shared = counts.where("k >= 0 or k < -100")
+    """(id, row, c, n) of every document, and (node, root) of every class that is linked."""
+    counts = written(count_keys(docs, text_col, n, counted).groupBy("k").agg(F.count("*").alias("m")).where("m > 1 or k < 0"), "counts")
+    sizes = {-r["k"]: r["m"] for r in counts.where("k < 0").collect()}  # a row for each size that a set has
+    shared = counts.where("k >= 0")
     frequent = shared.where("m > 2").orderBy(F.desc("m"), "k").limit(ordered).toArrow()
-    mean = shared.agg(F.avg("m")).first()[0] or 0.0
-    most = boundary(sizes, mean, percent)
-    order = Order(counted, KeyFilter.of(shared, "k"), frequent["k"].to_numpy().view(U), frequent["m"].to_numpy())
+    most = boundary(sizes, shared.agg(F.avg("m")).first()[0] or 0.0, percent)
+    order = Order(counted, KeyFilter.of(shared, "k"), frequent["k"].to_numpy(), frequent["m"].to_numpy())
     scan = written(emit_keys(docs, text_col, n, percent, order, most), "keys")
-    members = scan.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("c"), F.col("c").alias("n"))
-    rows = scan.where("kind = 1").select(F.col("a").alias("k"), F.col("b").alias("c"), F.col("c").alias("s"), F.col("d").alias("place"))
+    members = scan.where("kind = 0").select("id", "row", "c", "n")
+    rows = scan.where("kind = 1").select("k", "c", F.col("n").alias("s"), "place")
     real = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
     rows = written(rows.join(written(real, "real"), "k").distinct(), "shared")
     if rows.isEmpty():
@@ -363,15 +403,17 @@ def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: fl
     degree = rows.groupBy("c").agg(F.count("*").alias("degree"))
     rows = written(rows.join(degree, "c"), "lists")
     nodes = rows.select("c").distinct()
-    known = scan.where("kind = 0 and c > 0").select(F.col("b").alias("c"), F.col("a").alias("id"), F.col("c").alias("n"), "sketch")
-    known = written(known.join(nodes, "c", "left_semi").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    known = scan.where("kind = 0 and n > 0").select("c", "id", "row", "n", "sketch")
+    one = F.struct("id", "row")  # any document of the class
+    known = known.join(nodes, "c", "left_semi").groupBy("c").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = written(known.select("c", "one.*", "n", "sketch"), "classes")
 
     edges = roots = None
     for turn in range(rounds + 2):
         now = rows.withColumn("root", F.col("c")) if roots is None else rows.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         rank = F.struct("degree", "c")  # the pivot: the class with the most shared keys
-        best = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("c", "root", "s"), rank).alias("best"), F.count("*").alias("members")).where("lo < hi")
-        best = written(best.select("k", F.col("best.c").alias("pivot"), F.col("best.root").alias("pivot_root"), F.col("best.s").alias("pivot_s"), "members"), "pivots")
+        best = now.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(F.struct("c", "root", "s"), rank).alias("best"), F.count("*").alias("members"), F.max("s").alias("most_s")).where("lo < hi")
+        best = written(best.select("k", F.col("best.c").alias("pivot"), F.col("best.root").alias("pivot_root"), F.col("best.s").alias("pivot_s"), "members", "most_s"), "pivots")
         open_ = now.join(best, "k")
         if turn == 0:
             named = open_.where(f"root <> pivot_root and (place = 0 or degree >= {least_shared('s', 'pivot_s', percent)})").groupBy("c", "pivot").agg(F.count("*").alias("votes"))
@@ -382,7 +424,7 @@ def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: fl
         near = written(near, "near")
         if near.isEmpty():
             continue
-        wanted = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(known.select("c", "id"), "c")
+        wanted = written(near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(known.select("c", "id", "row"), "c"), "wanted")
         found = written(verified(near, sets_of_classes(docs, text_col, n, wanted), percent), "found")
         if found.isEmpty():
             continue
@@ -392,34 +434,38 @@ def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: fl
 
 
 def component_ids(docs: DataFrame, text_col: str, n: int, percent: int, counted: float, ordered: int, rounds: int) -> DataFrame:
-    """(id, c, n, first): every document with the smallest id of its component."""
+    """(id, row, n, first): every document with the first one of its component, (none, id, row): none is true for a null id."""
     members, roots = link_roots(docs, text_col, n, percent, counted, ordered, rounds)
-    classes = members.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = members.where("n > 0").groupBy("c").agg(F.min(own).alias("first"))
     if roots is not None:
         rooted = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        least = rooted.groupBy("root").agg(F.min("id").alias("first"))
-        classes = rooted.join(least, "root").select("c", "first")
-    else:
-        classes = classes.select("c", F.col("id").alias("first"))
-    full = members.where("n > 0").join(classes, "c").select("id", "c", "n", "first")
-    return full.unionByName(members.where("n = 0").select("id", "c", "n", F.col("id").alias("first")))
+        least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+        classes = rooted.join(least, "root").select("c", F.col("least").alias("first"))
+    full = members.where("n > 0").join(classes, "c").select("id", "row", "n", "first")
+    return full.unionByName(members.where("n = 0").select("id", "row", "n", own.alias("first")))
 
 
+@tidy
 def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, counted: float = 0.5, ordered: int = 1 << 17, rounds: int = 1) -> DataFrame:
     """id, n_shingles, component_id of each row."""
-    docs = df.select(doc_key(id_col).alias("__id"), quoted(text_col).alias("text"))
+    text = text_of(quoted(text_col))
+    docs = df.select(quoted(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
     out = component_ids(docs, "text", n, percent, counted, ordered, rounds)
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("first").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first.id").alias("component_id"))
 
 
+@tidy
 def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = 5, percent: int = 80, counted: float = 0.5, ordered: int = 1 << 17, rounds: int = 1) -> DataFrame:
-    """The rows of df whose id is the smallest of their component, with all their columns."""
-    docs = df.select(doc_key(id_col).alias("__id"), quoted(text_col).alias("text"))
-    out = component_ids(docs, "text", n, percent, counted, ordered, rounds)
-    gone = written(out.where("id <> first").select("id").distinct(), "gone")
-    maybe, stays = KeyFilter.of(gone.select(F.xxhash64("id").alias("h")), "h").split(df, F.xxhash64(doc_key(id_col)))
-    return stays.unionByName(maybe.join(gone, doc_key(id_col) == gone["id"], "left_anti"))
+    """One document of each component, the one with the smallest id (of an id's documents, the smallest hash of the text),
+    with all columns. Documents go by id and text: others of the same id stay."""
+    own = numbered(df)
+    text = text_of(F.col(f"c{df.columns.index(text_col)}"))
+    docs = own.withColumns({"id": F.col(f"c{df.columns.index(id_col)}").cast("long"), "row": F.xxhash64(text), "text": text})
+    out = component_ids(docs.select("id", "row", "text"), "text", n, percent, counted, ordered, rounds)
+    gone = written(out.where(~((F.col("first.row") == F.col("row")) & F.col("first.id").eqNullSafe(F.col("id")))).select("id", "row").distinct(), "gone")
+    maybe, stays = KeyFilter.of(gone.select(row_hash().alias("h")), "h").split(docs.drop("text"), row_hash())
+    return stays.unionByName(maybe.join(gone, same(maybe, gone, "id", "row"), "left_anti")).select(*own.columns).toDF(*df.columns)
 
 
 def op7_jaccard_join(spark, sf_dir):

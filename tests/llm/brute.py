@@ -57,6 +57,23 @@ def passages(rows, window=50):
 
 
 def components(rows, n=5, percent=80):
+    sets, root = linked(rows, n, percent)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)]
+
+
+def groups(rows, n=5, percent=80):
+    """The rows of each component."""
+    _, root = linked(rows, n, percent)
+    out = defaultdict(list)
+    for i, r in enumerate(rows):
+        out[root(i)].append(r)
+    return list(out.values())
+
+
+def linked(rows, n, percent):
     sets = []
     for _, t in rows:
         w = WORD.findall(lower(t or ""))
@@ -78,10 +95,7 @@ def components(rows, n=5, percent=80):
         for j, v in both.items():
             if 100 * v >= percent * (len(s) + len(sets[j]) - v):
                 up[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)]
+    return sets, root
 
 
 def licences(text):

@@ -20,16 +20,16 @@ def wanted(rows):
 
 
 def test_lines_as_brute_force(spark, docs, pairs):
-    assert got(lines.dedup_lines(docs).drop("bits")) == wanted(brute.lines(pairs))
+    assert got(lines.dedup_lines(docs).drop("keep")) == wanted(brute.lines(pairs))
     rng = random.Random(1)
     made = [(i, "\n".join(rng.choice(["Ab", " ab\t", "c", "", " ", "d" * rng.randint(0, 3), "é"]) for _ in range(rng.randint(0, 150)))) for i in range(60)]
     for least in (2, 30):
-        assert got(lines.dedup_lines(spark.createDataFrame(made, TWO), min_docs=least).drop("bits")) == wanted(brute.lines(made, least))
+        assert got(lines.dedup_lines(spark.createDataFrame(made, TWO), min_docs=least).drop("keep")) == wanted(brute.lines(made, least))
 
 
 def test_lines_odd(spark, odd):
     out = lines.dedup_lines(odd, min_docs=2)
-    assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256", "bits"] and out.count() == 11
+    assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256", "keep"] and out.count() == 11
     by = {(r["doc_id"], r["n_lines"]): r["n_dropped"] for r in out.collect()}
     assert by[(1, 3)] == 2 and by[(2, 1)] == 0 and by[(4, 1)] == 0  # a repeated row is one document
     assert lines.dedup_lines(odd.limit(0)).count() == 0
@@ -44,8 +44,8 @@ def test_lines_keep_first(spark):
 
 def test_lines_bitmaps(spark):
     df = spark.createDataFrame([(i, "\n".join(f"{i}.{j}" if j % 70 else "same" for j in range(200))) for i in range(3)], TWO)
-    bits = lines.dedup_lines(df, min_docs=3).where("doc_id = 0").first()["bits"]
-    assert bits == {0: 1, 1: 1 << 6, 2: 1 << 12}
+    keep = lines.dedup_lines(df, min_docs=3).where("doc_id = 0").first()["keep"]
+    assert keep == {0: ~1, 1: ~(1 << 6), 2: ~(1 << 12)}  # the words of 64 lines that lose one
 
 
 def test_lines_plan_is_native(docs):
@@ -130,6 +130,7 @@ def test_jaccard_as_brute_force(spark, docs, pairs, monkeypatch):
     assert got(jaccard.jaccard_components(df)) == wanted(brute.components(rows))
     monkeypatch.setattr(jaccard, "LONG_LIST", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 200)
     assert got(jaccard.jaccard_components(df)) == wanted(brute.components(rows))  # long lists, in many blocks
     assert got(jaccard.jaccard_components(df, n=2, percent=60, counted=1.0, rounds=0)) == wanted(brute.components(rows, 2, 60))
 
@@ -170,13 +171,39 @@ def test_jaccard_odd(spark, odd):
     assert by[(7, 5)] == 1 and by[(2, 0)] == 2 and by[(3, 0)] == 3 and by[(None, 0)] is None and by[(None, 1)] is None and by[(5, 0)] == 5
     assert jaccard.jaccard_components(odd.limit(0)).count() == 0
     kept = jaccard.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 7").count() == 0  # its id is linked to a smaller one
+    assert kept.columns == odd.columns and [r["text"] for r in kept.where("doc_id = 7").collect()] == ["another row of the same id"]  # the other row copies document 1
     assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id = 4").count() == 2
 
 
+def test_jaccard_keeps_other_texts_of_an_id(spark):
+    """A row goes for its own text alone: ids that repeat, the largest id and null ids lose nothing else."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "a b c d e f g")
+    top = (1 << 63) - 1
+    rows = [(1, a), (5, a), (5, b), (9, c), (top, b), (None, c), (None, a), (top, "alone here"), (None, "alone too")]
+    df = spark.createDataFrame(rows, TWO)
+    assert got(jaccard.one_of_each(df)) == wanted([(1, a), (5, b), (9, c), (top, "alone here"), (None, "alone too")])
+    assert got(jaccard.jaccard_components(df).select("doc_id", "component_id")) == wanted([(1, 1), (5, 1), (5, 5), (9, 9), (top, 5), (None, 9), (None, 1), (top, top), (None, None)])
+    rng = random.Random(8)
+    rows = [(rng.choice([None, top, *range(40)]), t) for _, t in jaccard_rows()]
+    rows = list(dict.fromkeys(rows))
+    kept = {tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, TWO)).collect()}
+    for group in brute.groups(rows):
+        least = min((i is None, i or 0) for i, _ in group)
+        assert sum(r in kept for r in group) == (len(group) if not group[0][1].split() else 1)
+        assert not group[0][1].split() or any(r in kept and (r[0] is None, r[0] or 0) == least for r in group)
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary({}, 5.0, 80) == 0
     assert jaccard.boundary({5: 1000}, 500.0, 80) >= 5 > jaccard.boundary({12: 1000}, 0.0, 80)
+    assert jaccard.boundary({20: 10}, 1e9, 80) == 25  # nothing but the cost bounds it
+    sizes = {s: 1000 // s for s in range(1, 400)}
+    for mean in (0.0, 3.0, 80.0):
+        def cost(x, mean=mean):
+            lists = sum(n * jaccard.prefix_length(s, 80) * (1 + mean) for s, n in sizes.items() if s >= -(-80 * (x + 1) // 100))
+            return lists + sum(n * jaccard.subsets_of(s, x, 80) for s, n in sizes.items() if s <= x)
+
+        assert jaccard.boundary(sizes, mean, 80) == min(range(60), key=lambda x: (cost(x), x))
 
 
 def test_sketches_bound_the_difference():
