@@ -1,18 +1,24 @@
 """Token counts by a compiled finite-state tokenizer.
 
-A byte-level BPE tokenizer works in two stages; the first is compiled here into a deterministic transducer.
+A byte-level BPE tokenizer works in two stages; both are compiled here into deterministic transducers.
 
-1. The splitting pattern becomes a machine of 13 states over 13 character classes. Each transition says how many
+1. The splitting pattern becomes a machine of 13 states over 12 character classes. Each transition says how many
    pieces end there: none, one just before the character, one a character earlier (the machine has looked ahead by
    one), or both. A stream of texts is cut into chunks; every chunk yields a map from each state it may be entered
-   in to the state it is left in, all chunks advancing together, one character a step. The maps compose by a
-   parallel prefix scan, which gives each chunk its true entry state; a second walk then emits.
-2. The merges run as an ordinary loop on each piece; the number of tokens they leave is kept by piece (bounded, short
-   pieces only). A piece's count is no sum over its bytes, so no transition carries it.
+   in to the state it is left in, all chunks advancing together, one character a step; where all states of a chunk have
+   met, which takes a few characters, they go on as one. The maps compose by a parallel prefix scan, which gives each
+   chunk its true entry state; a second walk then emits.
+2. The merges become a transducer over blocks of eight bytes that is compiled as pieces come: a state is what has been
+   read of a piece, a transition is annotated with the tokens it emits. All pieces of a block of texts walk it together.
+   A merge can join all that came before, so the count of a piece is no sum over its bytes: transitions inside a piece
+   emit nothing, the one that ends it emits its whole count. A piece that the transducer lacks is merged by an ordinary
+   loop and compiled. Transitions are bounded: a full table becomes the older of two generations, whose pieces move
+   on to the new one as they are met, the others are forgotten with it.
 
 Cases: a null or empty text has 0 tokens; very long texts run in blocks of chunks, and a run of one class of any
 length is merged in n log n; special strings inside texts count as the one token they are; repeated rows each get a
-row; other columns are ignored, whatever their names.
+row; ids of any type and null ids are handed on as they are; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -42,8 +48,12 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 HERE, BACK = 1, 2
 
 CHUNK = 256
-KEPT_PIECES = 400_000
-KEPT_LENGTH = 48
+#: Characters after which a chunk's states are looked at: most have met by then.
+SETTLE = 12
+#: Transitions of a generation at most, half as many as it has slots, and the bytes of a piece that is compiled.
+KEPT, KEPT_LENGTH = 1 << 20, 64
+#: Pieces that walk together.
+TOGETHER = 1 << 20
 
 
 @lru_cache(1)
@@ -106,8 +116,16 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     c = np.ascontiguousarray(c.reshape(rows, CHUNK).T).astype(np.intp)
     wide = step.astype(np.intp) * CLASSES
     maps = np.broadcast_to(np.arange(STATES, dtype=np.intp) * CLASSES, (rows, STATES)).T.copy()  # state-major
-    for t in range(CHUNK):
+    for t in range(SETTLE):
         maps = wide[maps + c[t]]
+    met = (maps == maps[0]).all(axis=0)
+    one, several = maps[0, met], maps[:, ~met]
+    one_c, several_c = c[SETTLE:, met], c[SETTLE:, ~met]
+    for t in range(CHUNK - SETTLE):
+        one = wide[one + one_c[t]]
+        if several.size:
+            several = wide[several + several_c[t]]
+    maps[:, met], maps[:, ~met] = one, several
     maps //= CLASSES
     reach = 1
     while reach < rows:  # maps[:, i] becomes the composition of chunks 0..i
@@ -129,8 +147,8 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
-class Merges(dict):
-    """piece -> number of tokens, filled as pieces come."""
+class Merges:
+    """The number of tokens of a piece, by its merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -142,14 +160,9 @@ class Merges(dict):
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letter = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __missing__(self, piece: str) -> int:
-        parts = [self.letter[b] for b in piece.encode()]
-        n = self.few(parts) if len(parts) <= 64 else self.many(parts)
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = n
-        return n
+    def count(self, piece: bytes) -> int:
+        parts = [self.letter[b] for b in piece]
+        return self.few(parts) if len(parts) <= 64 else self.many(parts)
 
     def few(self, parts: list[str]) -> int:
         rank, none = self.rank, 1 << 60
@@ -189,19 +202,112 @@ class Merges(dict):
         return left
 
 
+class Generation:
+    """Transitions (state, eight bytes) -> (state, tokens emitted), hashed with open addressing; state 0 is the start."""
+
+    def __init__(self, kept: int):
+        self.bits, self.kept, self.filled, self.states = (2 * kept - 1).bit_length(), kept, 0, 1
+        n = 1 << self.bits
+        self.source, self.symbol, self.target, self.emits = np.full(n, -1, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.int32)
+
+    def slots(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        mixed = (symbol ^ (symbol >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The slot of each transition, or -1."""
+        slot, todo = self.slots(state, symbol), np.arange(len(state))
+        out = np.full(len(state), -1)
+        while len(todo):
+            at = slot[todo]
+            source = self.source[at]
+            hit = (source == state[todo]) & (self.symbol[at] == symbol[todo])
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (source >= 0)]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The tokens emitted by each piece of the bytes, -1 where a transition is lacking."""
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+        out, state, todo, read = np.full(len(begin), -1), np.zeros(len(begin), np.int32), np.arange(len(begin)), 0
+        while len(todo):
+            left = np.minimum(size[todo] - read, 8)
+            symbol = eight[begin[todo] + read].view(np.uint64).ravel() | ENDS[left]
+            slot = self.find(state[todo], symbol)
+            known = slot >= 0
+            last = known & (left < 8)
+            out[todo[last]] = self.emits[slot[last]]
+            on = known & ~last
+            state[todo[on]] = self.target[slot[on]]
+            todo, read = todo[on], read + 8
+        return out
+
+    def compile(self, piece: bytes, tokens: int) -> bool:
+        """Add the transitions of a piece; False if there is no room."""
+        ended = piece + b"\xff" * (8 - len(piece) % 8)
+        if self.filled + len(ended) // 8 > self.kept:
+            return False
+        state, every, mask, source = 0, (1 << 64) - 1, (1 << self.bits) - 1, self.source
+        for i in range(0, len(ended), 8):
+            x = int.from_bytes(ended[i : i + 8], "little")
+            mixed = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 + state * 0x9E3779B97F4A7C15) & every  # as in slots()
+            at = ((mixed ^ (mixed >> 32)) * 0x94D049BB133111EB & every) >> (64 - self.bits)
+            while (there := source[at]) >= 0 and (there != state or self.symbol[at] != x):
+                at = (at + 1) & mask
+            if there < 0:
+                last = i + 8 == len(ended)
+                source[at], self.symbol[at], self.target[at], self.emits[at] = state, x, 0 if last else self.states, tokens if last else 0
+                self.filled += 1
+                self.states += not last
+            state = int(self.target[at])
+        return True
+
+
+#: By the bytes of a block that belong to a piece: those behind are set, which no byte of UTF-8 is.
+ENDS = np.array([((1 << 64) - 1) ^ ((1 << 8 * n) - 1) for n in range(9)], np.uint64)
+
+
+class Transducer:
+    """Two generations of transitions, and the merges for what they lack."""
+
+    def __init__(self, path: str, kept: int = KEPT):
+        self.merges, self.now, self.before, self.kept = Merges(path), Generation(kept), None, kept
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The tokens of each piece; data has eight bytes more at its end."""
+        out = self.now.walk(data, begin, size)
+        lacking = np.flatnonzero(out < 0)
+        if not len(lacking):
+            return out
+        raw = data.tobytes()
+        older = self.before.walk(data, begin[lacking], size[lacking]) if self.before else np.full(len(lacking), -1)
+        known: dict[bytes, int] = {}
+        for i, b, n, got in zip(lacking.tolist(), begin[lacking].tolist(), size[lacking].tolist(), older.tolist(), strict=True):
+            piece = raw[b : b + n]
+            tokens = known.get(piece)
+            if tokens is None:
+                known[piece] = tokens = got if got >= 0 else self.merges.count(piece)
+                if n <= KEPT_LENGTH and not self.now.compile(piece, tokens):
+                    self.before, self.now = self.now, Generation(self.kept)
+                    self.now.compile(piece, tokens)
+            out[i] = tokens
+        return out
+
+
 @lru_cache(2)
-def merges(path: str) -> Merges:
-    return Merges(path)
+def transducer(path: str) -> Transducer:
+    return Transducer(path)
 
 
 def count_tokens(texts: list[str], path: str) -> np.ndarray:
     """The number of tokens of each text."""
-    m = merges(path)
+    machine_ = transducer(path)
     totals = np.zeros(len(texts), np.int64)
     parts, owner = [], []
     for i, text in enumerate(texts):
         pieces = [text]
-        for s in m.special:
+        for s in machine_.merges.special:
             if s in text:
                 split = [q for p in pieces for q in p.split(s)]
                 totals[i] += len(split) - len(pieces)
@@ -212,19 +318,24 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
                 owner.append(i)
     if not parts:
         return totals
-    sizes = np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes + 1)  # each part is followed by a RESET
-    classes = np.full(int(ends[-1]), RESET, np.uint8)
-    whole = "\0".join(parts)
-    classes[:-1] = character_classes()[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+    ends = np.cumsum(np.array([len(p) for p in parts]) + 1)  # each part is followed by a RESET
+    whole = "\0".join(parts) + "\0"
+    points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    classes = character_classes()[points]
     classes[ends - 1] = RESET
     starts = piece_starts(classes)  # a RESET is a piece of its own
+    data = whole.encode()
+    bytes_at = starts
+    if len(data) > len(points):
+        wide = np.cumsum((points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
+        bytes_at = starts + np.concatenate([[0], wide])[starts]
     real = np.flatnonzero(classes[starts] != RESET)
-    starts, ending = starts[real], starts[real + 1]
-    get = m.__getitem__
-    counts = np.fromiter((get(whole[a:b]) for a, b in zip(starts.tolist(), ending.tolist(), strict=True)), np.int64, len(starts))
-    of = np.asarray(owner)[np.searchsorted(ends, starts, side="right")]
-    np.add.at(totals, of, counts)
+    begin, size = bytes_at[real], bytes_at[real + 1] - bytes_at[real]
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    of = np.asarray(owner)[np.searchsorted(ends, starts[real], side="right")]
+    for a in range(0, len(real), TOGETHER):
+        cut = slice(a, a + TOGETHER)
+        np.add.at(totals, of[cut], machine_.counts(padded, begin[cut], size[cut]))
     return totals
 
 
