@@ -1,12 +1,14 @@
 """SentencePiece encoding that keeps source offsets, and decoding.
 
 A text is normalised here: at each place the longest prefix that the model's compiled character map has is replaced,
-anything else is taken as it is, and every byte of the result remembers the byte it came from. The library merges
-pieces; their bytes, laid end to end, are the normalised text, so each piece projects to a span of the source.
-A model whose character map is empty takes a path that is vectorised whole.
+anything else is taken as it is, and every byte of the result remembers the byte it came from. The library merges the
+normalised text, with a model whose own normaliser does nothing; its pieces, laid end to end, are that text, so each
+projects to a span of the source. A model whose character map is empty, and that keeps white space, takes a path that is
+vectorised whole; only blanks are marked there.
 
 Cases: a null or empty text encodes to the end id alone and decodes to an empty text; very long texts are handled
-alone; repeated rows each get a row; other columns are ignored, whatever their names.
+alone; repeated rows each get a row; ids of any type and null ids are handed on as they are; an empty table gives no rows;
+other columns are ignored, whatever their names. Models that mark words at their ends are refused.
 """
 
 from __future__ import annotations
@@ -30,37 +32,43 @@ def read_trie(blob: bytes) -> dict[bytes, bytes]:
     if len(blob) < 4:
         return {}
     size = struct.unpack_from("<I", blob)[0]
-    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
+    every = np.arange(1, 256)
 
     def offset(unit: int) -> int:
         return (unit >> 10) << ((unit & 0x200) >> 6)
 
-    out, todo = {}, [(offset(units[0]), b"")]
+    out, todo = {}, [(offset(int(units[0])), b"")]
     while todo:
         at, key = todo.pop()
-        for byte in range(1, 256):
-            child = at ^ byte
-            if child >= len(units) or units[child] & 0x800000FF != byte:
-                continue
-            below = child ^ offset(units[child])
-            if units[child] >> 8 & 1:
-                where = units[below] & 0x7FFFFFFF
-                out[key + bytes([byte])] = texts[where : texts.index(b"\0", where)]
-            todo.append((below, key + bytes([byte])))
+        child = at ^ every
+        inside = child < len(units)
+        for byte in every[inside][units[child[inside]] & 0x800000FF == every[inside]].tolist():
+            unit = int(units[at ^ byte])
+            below, longer = at ^ byte ^ offset(unit), key + bytes([byte])
+            if unit >> 8 & 1:
+                where = int(units[below]) & 0x7FFFFFFF
+                out[longer] = texts[where : texts.index(b"\0", where)]
+            todo.append((below, longer))
     return out
 
 
 class Normaliser:
     """Texts in the form that pieces are merged in, with the source byte of each byte."""
 
-    def __init__(self, charsmap: bytes = b"", dummy_prefix: bool = True, squeeze: bool = False, escape: bool = True):
+    def __init__(self, charsmap: bytes = b"", dummy_prefix: bool = True, squeeze: bool = False, escape: bool = True, symbols: frozenset[bytes] = frozenset()):
+        """symbols: strings that the model defines as pieces; they are never replaced."""
         self.map, self.dummy_prefix, self.squeeze = read_trie(charsmap), dummy_prefix, squeeze
+        self.symbols, self.longest_symbol = symbols, max(map(len, symbols), default=0)
         self.blank = MARK if escape else b" "
         self.longest = max(map(len, self.map), default=0)
         self.first = {k[0] for k in self.map}
 
     def prefix(self, raw: bytes, at: int) -> tuple[bytes, int]:
         """The longest match at a place and its length in the source, else the character that stands there."""
+        for n in range(min(self.longest_symbol, len(raw) - at), 0, -1):
+            if raw[at : at + n] in self.symbols:
+                return raw[at : at + n], n
         if raw[at] in self.first:
             for n in range(min(self.longest, len(raw) - at), 0, -1):
                 if (found := self.map.get(raw[at : at + n])) is not None:
@@ -124,30 +132,35 @@ class Pieces:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
-        spec = model.normalizer_spec
-        self.normalise = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
-        kinds = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
+        if model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("a model that marks words at their ends")
+        spec, kinds = model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece.Type
+        symbols = frozenset(p.piece.encode() for p in model.pieces if p.type == kinds.USER_DEFINED)
+        self.normalise = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces, symbols)
         self.width = np.array([1 if p.type == kinds.BYTE else 0 if p.type == kinds.CONTROL else len(p.piece.encode()) for p in model.pieces], np.int64)
+        spec.name, spec.precompiled_charsmap, spec.normalization_rule_tsv = "identity", b"", ""
+        spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())  # takes texts as they are
         self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
         self.shown = [str(i) for i in range(len(model.pieces))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1, add_eos=True)
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.library.decode(ids, num_threads=1)
-
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece begins and ends in the source's bytes; the end id is empty at the end."""
+    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The ids, and where each piece begins and ends in the source's bytes; the end id is empty at the end."""
         normal, align = self.normalise(text)
+        shown = normal.decode()
+        ids = self.merges.encode(shown, add_eos=True)
         widths = self.width[np.array(ids, np.int64)]
-        if self.unknown in ids:  # an unknown piece takes what the library says it covers
-            said = self.library.encode(text, out_type="immutable_proto")
-            widths = np.array([len(p.piece.encode()) for p in said.pieces] + [0] * (len(ids) - len(said.pieces)), np.int64)
+        if self.unknown in ids:  # an unknown piece covers what the library shows for it
+            said = [len(x.encode()) for x in self.merges.encode(shown, out_type=str)]
+            lost = np.flatnonzero(np.array(ids) == self.unknown)
+            widths[lost] = np.array(said)[lost]
         ends = np.cumsum(widths)
         if int(ends[-1] if len(ends) else 0) != len(normal):
             raise ValueError("the pieces don't cover the normalised text")
-        return align[ends - widths], align[ends]
+        return ids, align[ends - widths], align[ends]
+
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
 
 
 @lru_cache(2)
@@ -159,10 +172,9 @@ def encode(df: DataFrame, model: str, text_col: str = "text", id_col: str = "doc
     """id, ids, begins, ends (source bytes of each piece) of each row."""
 
     def fn(texts: pa.Array) -> list[pa.Array]:
-        p, raw = pieces(model), texts.to_pylist()
-        ids = p.encode(raw)
-        spans = [p.spans(t, i) for t, i in zip(raw, ids, strict=True)]
-        return [pa.array(ids, pa.list_(pa.int32())), *(pa.array([s[k] for s in spans], pa.list_(pa.int64())) for k in (0, 1))]
+        p = pieces(model)
+        rows = [p.encode(t) for t in texts.to_pylist()]
+        return [pa.array([r[0] for r in rows], pa.list_(pa.int32())), *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2))]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("begins", "ends"))]
     return map_texts(df, text_col, [(id_col, quoted(id_col))], fields, fn)
@@ -176,11 +188,10 @@ def digest(df: DataFrame, model: str, text_col: str = "text", id_col: str = "doc
         p, raw = pieces(model), texts.to_pylist()
         n, ids_sha, text_sha, crc = [], [], [], []
         for text in raw:
-            (ids,) = p.encode([text])
-            begins, ends = p.spans(text, ids)
+            ids, begins, ends = p.encode(text)
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(" ".join(map(p.shown.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(p.decode([ids])[0].encode()).hexdigest())
+            text_sha.append(hashlib.sha256(p.decode(ids).encode()).hexdigest())
             crc.append(zlib.crc32(ends.tobytes(), zlib.crc32(begins.tobytes())))
         return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(crc, pa.int64())]
 

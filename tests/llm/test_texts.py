@@ -46,14 +46,42 @@ def test_counts_odd(odd, path):
     assert token_counts.token_counts(odd.limit(0), path("byte_bpe_50k.json")).count() == 0
 
 
-def test_pieces_as_the_library(path, pairs):
+def mapped_model(path, squeeze):
+    """The model with a real character map instead of its empty one, as a file's bytes."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=squeeze, escape_whitespaces=True)
+    with open(path("piece_bpe_32k.model"), "rb") as f:
+        model = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    model.normalizer_spec.CopyFrom(sentencepiece_model_pb2.ModelProto.FromString(normaliser.serialized_model_proto()).normalizer_spec)
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize("kind", ["as it is", "mapped", "mapped, squeezed"])
+def test_pieces_as_the_library(spark, path, pairs, tmp_path, kind):
+    """What the query returns, against the library on the raw texts; and the spans lie in the source, in order."""
+    import sentencepiece
+
     model = path("piece_bpe_32k.model")
+    if kind != "as it is":
+        model = str(tmp_path / "mapped.model")
+        (tmp_path / "mapped.model").write_bytes(mapped_model(path, kind.endswith("squeezed")))
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
     p = sentencepieces.pieces(model)
-    texts = [*random_texts(2000, 2), *[t for _, t in pairs[:60]], "", " ", "  a"]
-    for text, ids in zip(texts, p.encode(texts), strict=True):
-        begins, ends = p.spans(text, ids)
-        raw = text.encode()
-        assert begins[0] == 0 and ends[-1] == len(raw) and (begins[1:] == ends[:-1]).all()  # the spans tile the source
+    texts = [*random_texts(1000, 2), *[t for _, t in pairs[:60]], "", " ", "  a", "ﬁne ①② ㌔  x", "Å　B", "a\u200bb", "▁ ▁a"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in sentencepieces.digest(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        ids = library.encode(text, add_eos=True)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(library.decode(ids)))
+        _, begins, ends = p.encode(text)
+        assert (begins[1:] == ends[:-1]).all() and (ends >= begins).all() and 0 <= begins[0] and ends[-1] <= len(text.encode())
+        if kind == "as it is":
+            assert begins[0] == 0 and ends[-1] == len(text.encode())  # the spans tile the source
+    _, begins, ends = p.encode("ﬁx ㌔ é")
+    raw = "ﬁx ㌔ é".encode()
+    assert b"".join(raw[b:e] for b, e in zip(begins, ends, strict=True)) == raw
 
 
 def test_normaliser_as_the_library():
