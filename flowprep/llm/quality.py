@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, map_texts, quoted, text_blocks, written
+from .common import arrow_map, map_texts, numbered, quoted, text_blocks, tidy, written
 from .textarrays import Words, windows, words_of
 
 # The base rules.
@@ -175,11 +175,13 @@ class Judge:
         return failed, ~failed & (score < self.threshold), score
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = 8192, good_lost: float = 0.0005) -> Judge:
-    """A judge from the statistics of all documents (as rule_stats() gives them) and the labels (1: good)."""
-    known = labels.select(quoted(id_col).alias("__id"), quoted(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = 8192, good_lost: float = 0.0005, label_id_col: str | None = None) -> Judge:
+    """A judge from the statistics of all documents (as rule_stats() gives them) and the labels (1: good).
+
+    The labels' ids are in label_id_col, by default called like those of stats."""
+    known = labels.select(quoted(label_id_col or id_col).alias("__id"), quoted(label_col).cast("int").alias("__y")).where("__id is not null and __y is not null")
     passed = stats.where((F.col("n_words") >= LEAST_WORDS) & (100 * F.col("n_repeat_words") <= MOST_REPEATED * F.col("n_words")))
-    rows = passed.join(known, quoted(id_col) == F.col("__id")).select("__y", "__id", *STATS)  # the base rules settle the others
+    rows = written(passed.join(known, quoted(id_col) == F.col("__id")).select("__y", "__id", *STATS), "labelled")  # the base rules settle the others
     n = rows.count()
     place = F.pmod(F.xxhash64("__id"), F.lit(1 << 30))
     low = (1 << 30) if n <= 4 * fit_rows else int((1 << 30) * 2 * fit_rows / n)  # about twice as many as are wanted
@@ -211,10 +213,11 @@ def calibrated(steps: np.ndarray, good: np.ndarray, bad: np.ndarray, good_lost:
     return (top + (float(steps[k - 1]) if k else top + 0.02)) / 2
 
 
+@tidy
 def quality_rules(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **fitting) -> DataFrame:
     """id, the statistics, base_failed, kept, score of each row. The statistics are read once and written."""
-    stats = written(rule_stats(df, text_col, id_col), "stats")
-    judge = fit(stats, labels, id_col, **fitting)
+    stats = written(rule_stats(df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), "text", "id"), "stats")
+    judge = fit(stats, labels, "id", label_id_col=id_col, **fitting)
     schema = T.StructType([*stats.schema, T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,21 +225,29 @@ def quality_rules(df: DataFrame, labels: DataFrame, text_col: str = "text", id_c
             s = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, judge(s))], names=schema.names)
 
-    return arrow_map(stats, run, schema)
+    return arrow_map(stats, run, schema).withColumnRenamed("id", id_col)
 
 
+@tidy
 def keep_good(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **fitting) -> DataFrame:
-    """The rows of df that the rules keep, with all their columns."""
-    judge = fit(written(rule_stats(df, text_col, id_col), "stats"), labels, id_col, **fitting)
-    place = df.columns.index(text_col)
+    """The rows of df that the rules keep, with all their columns. Texts are read once and written with their statistics."""
+    own, place = numbered(df), df.columns.index(text_col)
+    schema = T.StructType([*own.schema, *(T.StructField(s, T.LongType()) for s in STATS)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_blocks(batch, place):
-                texts = pc.fill_null(part.column(place), "")
-                yield part.filter(pa.array(judge(statistics(texts))[1]))
+                stats = statistics(pc.fill_null(part.column(place).cast(pa.string()), ""))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, stats.T)], names=schema.names)
+
+    marked = written(arrow_map(own, measure, schema), "marked")
+    judge = fit(marked.select(F.col(f"c{df.columns.index(id_col)}").alias("id"), *STATS), labels, "id", label_id_col=id_col, **fitting)
+
+    @F.arrow_udf("boolean")
+    def keeps(*stats: pa.Array) -> pa.Array:
+        return pa.array(judge(np.stack([c.to_numpy(zero_copy_only=False) for c in stats], axis=1))[1])
 
-    return arrow_map(df, run, df.schema)
+    return marked.where(keeps(*[F.col(s) for s in STATS])).select(*own.columns).toDF(*df.columns)
 
 
 def op3_quality_rules(spark, sf_dir):
