@@ -1,10 +1,12 @@
 """Media columns: Netpbm and BMP pictures to numpy, area resizing by integral images, NPY tiles, difference hashes.
 
-decode() reads PBM, PGM and PPM (P1 to P6, 8-bit) and uncompressed BMP (8, 24, 32 bits). area_resize() averages exactly over
+decode() reads PBM, PGM and PPM (P1 to P6; a largest value of up to 255, to which samples are scaled, halves up) and
+uncompressed BMP (8, 24, 32 bits, with headers of 12 or of 40 and more bytes; an alpha channel is left out). 16-bit samples and
+other kinds of BMP are not read. area_resize() averages exactly over
 fractional areas with an integral image kept only at the column bounds that are asked for, so its memory is a few
 numbers for each row. tiles() writes a picture as a run of NPY files of bounded height, read back by read_tiles().
 
-Cases: null media, media of no known form and truncated media give null columns and ok = false; empty tables give no
+Cases: ids of any type and null ids are handed on as they are; null media, media of no known form and truncated media give null columns and ok = false; empty tables give no
 rows; equal media give equal values; other columns are ignored, whatever their names. In payload_digest() a null or
 empty text is a payload of 192 blanks.
 """
@@ -43,31 +45,43 @@ def decode_netpbm(blob: bytes) -> np.ndarray:
     width, height, top = fields[0], fields[1], fields[2] if wanted == 3 else 1
     depth = 3 if kind in b"36" else 1
     n = width * height * depth
-    if top > 255 or not n:
+    if not 0 < top < 256 or not n:
         raise ValueError("not 8-bit samples")
     if kind == b"1":
         raw = np.frombuffer(re.sub(rb"[^01]", b"", blob[at:])[:n], np.uint8) - 0x30
         raw = (1 - raw) * 255
     elif kind in b"23":
-        raw = np.array(re.sub(rb"#[^\n\r]*", b"", blob[at:]).split()[:n], dtype=np.uint8)
+        raw = scaled(np.array(re.sub(rb"#[^\n\r]*", b"", blob[at:]).split()[:n], dtype=np.int64), top)
     elif kind == b"4":
         bits = np.unpackbits(np.frombuffer(blob, np.uint8, -(-width // 8) * height, at + 1).reshape(height, -1), axis=1)
         raw = (1 - bits[:, :width]) * 255
     else:
-        raw = np.frombuffer(blob, np.uint8, n, at + 1)
+        raw = scaled(np.frombuffer(blob, np.uint8, n, at + 1), top)
     return raw.reshape(height, width, depth)
 
 
+def scaled(samples: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to top as 0 to 255, halves up; ValueError if one is above."""
+    if len(samples) and (samples.min() < 0 or samples.max() > top):
+        raise ValueError("a sample above the largest value")
+    return samples.astype(np.uint8, copy=False) if top == 255 else ((samples.astype(np.int64) * 510 + top) // (2 * top)).astype(np.uint8)
+
+
 def decode_bmp(blob: bytes) -> np.ndarray:
-    start, head, width, height, _, bits, packed = struct.unpack_from("<10xIIiiHHI", blob)
+    start, head = struct.unpack_from("<10xII", blob)
+    width, height, _, bits = struct.unpack_from("<HHHH" if head == 12 else "<iiHH", blob, 18)
+    packed = struct.unpack_from("<I", blob, 30)[0] if head >= 20 else 0
     colours = struct.unpack_from("<I", blob, 46)[0] if head >= 36 else 0
-    if packed or bits not in (8, 24, 32) or width <= 0 or not height:
+    if head < 12 or packed or bits not in (8, 24, 32) or width <= 0 or not height:
         raise ValueError("a BMP of a kind that isn't read")
     line = (width * bits // 8 + 3) // 4 * 4
     raw = np.frombuffer(blob, np.uint8, line * abs(height), start).reshape(abs(height), line)[:, : width * bits // 8]
     raw = raw.reshape(abs(height), width, bits // 8)
     if bits == 8:
-        palette = np.frombuffer(blob, np.uint8, 4 * (colours or 256), 14 + head).reshape(-1, 4)
+        each = 3 if head == 12 else 4  # bytes of a colour
+        palette = np.zeros((256, each), np.uint8)  # what a short palette lacks is black
+        given = np.frombuffer(blob, np.uint8, min(each * (colours or 256), max(start - 14 - head, 0)) // each * each, 14 + head).reshape(-1, each)[:256]
+        palette[: len(given)] = given
         raw = palette[raw[:, :, 0]]
     return raw[:: -1 if height > 0 else 1, :, 2::-1]
 

@@ -165,6 +165,12 @@ def bmp(image):
     return b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + head + b"".join(r[:, ::-1].tobytes().ljust(line, b"\0") for r in image[::-1])
 
 
+def old_bmp(image):
+    """With the header of 12 bytes."""
+    line = (image.shape[1] * 3 + 3) // 4 * 4
+    return b"BM" + struct.pack("<IHHI", 0, 0, 0, 26) + struct.pack("<IHHHH", 12, image.shape[1], image.shape[0], 1, 24) + b"".join(r[:, ::-1].tobytes().ljust(line, b"\0") for r in image[::-1])
+
+
 def test_decoding():
     image = picture()
     assert (media.decode(b"P6 # a comment\n23 37\n255\n" + image.tobytes()) == image).all()
@@ -174,6 +180,18 @@ def test_decoding():
     assert (media.decode(b"P1\n3 1\n1 0 1") == [[[0], [255], [0]]]).all()
     assert (media.decode(b"P4\n3 1\n\xa0") == [[[0], [255], [0]]]).all()
     assert (media.read_tiles(b"".join(media.tiles(image, 10))) == image).all()
+    assert media.decode(b"P5 3 1 100\n" + bytes([0, 50, 100])).ravel().tolist() == [0, 128, 255]  # scaled to 255, halves up
+    assert media.decode(b"P3 1 1 1\n1 0 1").ravel().tolist() == [255, 0, 255]
+    assert (media.decode(old_bmp(image)) == image).all()
+    palette = bytes(x for i in range(256) for x in (i, 255 - i, i // 2))
+    grey = image[:, :, 0]
+    line = (grey.shape[1] + 3) // 4 * 4
+    rows = b"".join(r.tobytes().ljust(line, b"\0") for r in grey[::-1])
+    small = b"BM" + struct.pack("<IHHI", 0, 0, 0, 26 + 768) + struct.pack("<IHHHH", 12, grey.shape[1], grey.shape[0], 1, 8) + palette + rows
+    assert (media.decode(small) == np.stack([grey // 2, 255 - grey, grey], axis=2)).all()
+    for bad in (b"P5 1 1 65535\n\0\0", b"P2 1 1 9\n10", b"P2 1 1 9\n-1", b"P5 1 1 0\n\0", b"P6", b"BM"):
+        with pytest.raises((ValueError, struct.error)):
+            media.decode(bad)
 
 
 def test_area_resize_is_exact():
@@ -199,6 +217,8 @@ def test_payloads(odd):
         raw = text.encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (by[i]["n_bytes"], by[i]["payload_bytes"], by[i]["payload_sha256"], by[i]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        stored, grid = brute.npy_tiles(payload), np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        assert (by[i]["media_bytes"], by[i]["media_sha256"], by[i]["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), brute.difference_hash(grid))
     assert out.where("doc_id = 4").select("media_sha256", "feature").distinct().count() == 1 and media.payload_digest(odd.limit(0)).count() == 0
 
 
@@ -236,6 +256,27 @@ def test_expressions(expression, wanted):
     assert licences.evaluate(expression) == wanted
 
 
+def random_expression(rng, depth=0):
+    r = rng.random()
+    if depth > 3 or r < 0.4:
+        return rng.choice(["MIT", "Foo", "Apache-2.0", "apache-9.9", "GPL-2.0-only", "GPL-2.0+", "EUPL-1.2", "WTFPL", "MIT-9.7", "BSD", "LicenseRef-x"])
+    if r < 0.55:
+        return f"{rng.choice(['GPL-2.0-or-later', 'Foo', 'MIT'])} WITH {rng.choice(['Classpath-exception-2.0', 'nonsense-thing', 'MIT'])}"
+    a, b = random_expression(rng, depth + 1), random_expression(rng, depth + 1)
+    return f"({a} {rng.choice(['AND', 'or'])} {b})" if r < 0.8 else f"{a} {rng.choice(['and', 'OR'])} {b}"
+
+
+def test_expressions_as_brute_force():
+    rng = random.Random(4)
+    for _ in range(3000):
+        e = random_expression(rng)
+        assert licences.evaluate(e) == brute.expression(e), e
+    lines = [f"// SPDX-License-Identifier: {random_expression(rng)}" for _ in range(300)] + ["mit license", "an isc license", "nothing", "", "License-Expression: EUPL-1.2"]
+    for _ in range(400):
+        text = "\n".join(rng.choices(lines, k=rng.randint(0, 5)))
+        assert licences.scan(text)[4:] == brute.labels_and_score(text), text
+
+
 def test_broken_expressions():
     for bad in ("", "AND", "(MIT", ") MIT"):
         with pytest.raises(ValueError, match="expression"):
