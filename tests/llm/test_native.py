@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from flowprep.llm import components, jaccard, lines, passages
+from flowprep.llm import common, components, jaccard, lines, passages, quality
 
 TWO = "doc_id long, text string"
 
@@ -230,3 +230,40 @@ def test_components(spark, edges):
     for n, r in roots.items():
         groups.setdefault(r, set()).add(n)
     assert sorted(map(sorted, groups.values())) == sorted({tuple(sorted(g)) for g in up.values() if len(g) > 1}) or sorted(map(tuple, map(sorted, groups.values()))) == sorted({tuple(sorted(g)) for g in up.values() if len(g) > 1})
+
+
+#: Names that the operators use inside, or used to.
+INSIDE = ["id", "row", "pos", "key", "h1", "h2", "block", "keep", "lines", "i", "r", "c", "c0", "c1", "k0", "n", "cuts", "doc", "h", "place", "node", "nodes", "first", "root", "n_words", "n_lines", "score", "stats", "__text", "__key", "__row", "__bits", "__lines", "__id", "__cuts", "a.b", "k`k"]
+
+
+def test_columns_of_any_name_come_back(spark):
+    """Each stage that hands columns on gives them back as they were, whatever they are called."""
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(i, t, *(f"{n}{i}" for n in INSIDE)) for i, t in enumerate([f"same line\n{words}", f"same line\n{words} more", "same line\nshort", None, f"other {words} text"])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n.replace('`', '``')}` string" for n in INSIDE)]))
+    labels = spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int")
+    outs = [lines.drop_lines(df, min_docs=2), passages.drop_passages(df), jaccard.one_of_each(df), quality.keep_good(df, labels)]
+    cut = False
+    for out in outs:
+        assert out.columns == df.columns
+        got_rows = {r[0]: tuple(r) for r in out.collect()}
+        assert got_rows and all(r[2:] == rows[i][2:] for i, r in got_rows.items())
+        cut |= any(r[1] != rows[i][1] for i, r in got_rows.items())
+    assert cut and outs[2].count() == 3 and outs[3].count() == 3
+
+
+def test_tables_that_nothing_reads_go(spark):
+    """What an operator leaves behind is what its result reads."""
+    import os
+
+    from flowprep.cluster import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/flowprep"
+    df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(30)], TWO)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = jaccard.jaccard_components(df)
+    left = set(os.listdir(folder)) - before
+    assert out.count() == 30 and 0 < len(left) <= 3
+    with common.scratch(spark):
+        lines.dedup_lines(df, min_docs=2).collect()
+    assert set(os.listdir(folder)) - before == left
