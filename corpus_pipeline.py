@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowprep.llm.common import table, written
+from flowprep.llm.common import scratch, table, written
 from flowprep.llm.jaccard import one_of_each
 from flowprep.llm.lines import drop_lines
 from flowprep.llm.packing import pack
@@ -58,6 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with scratch(spark) as keep:  # tables of earlier stages go at the end, each stage's own with it
+        for name, stage in STAGES:
+            with scratch(spark) as hand_on:
+                docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+                hand_on(docs)
+        keep(docs)
     return docs
