@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
+from .quantiles import quantiles
 
 CLIP = 1e-7
 
@@ -54,23 +55,40 @@ def normalised_confusion(counts: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+#: Scores from k / BLOCKS up to the next such bound share a block.
+BLOCKS = 1024
+
+
 def score_steps(df: DataFrame, y: Column | str, score: Column | str) -> DataFrame:
-    """(score, pos, neg, tp, fp, all_pos, all_neg): running counts from the highest score down, one row for each distinct score.
+    """(score, pos, neg, tp, fp, all_pos, all_neg, next_pos, next_neg): running counts from the highest score down, one row
+    for each distinct score, with the counts of the next lower one (null for the lowest).
 
-    Only distinct scores meet in the window; round scores to bound their number on large data.
+    Scores run within their block; a row a block is summed up over all. So a window holds the distinct scores of a block,
+    or the blocks (1025 of them for probabilities).
     """
-    steps = df.groupBy(col(score).alias("score")).agg(F.count_if(col(y) == 1).alias("pos"), F.count_if(col(y) == 0).alias("neg"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every)})
+    s = col(score)
+    steps = df.groupBy(s.alias("score")).agg(F.count_if(col(y) == 1).alias("pos"), F.count_if(col(y) == 0).alias("neg"))
+    steps = steps.withColumn("block", F.when(F.isnan("score"), F.lit(1 << 62)).otherwise(F.floor(F.col("score") * BLOCKS)))
+    top = F.max_by(F.struct("pos", "neg"), "score")
+    blocks = steps.groupBy("block").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"), top.alias("top"))
+    order, every = Window.orderBy(F.desc("block")), Window.partitionBy()
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "block", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bn"),
+        F.sum("bp").over(every).alias("all_pos"), F.sum("bn").over(every).alias("all_neg"), F.lead("top").over(order).alias("below"),
+    )
+    inside = Window.partitionBy("block").orderBy(F.desc("score"))
+    down = inside.rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"rp": F.sum("pos").over(down), "rn": F.sum("neg").over(down), "lower": F.lead(F.struct("pos", "neg")).over(inside)})
+    lower = F.coalesce("lower", "below")
+    return steps.join(blocks, steps["block"].eqNullSafe(blocks["block"])).select("score", "pos", "neg", (F.col("rp") + F.col("bp")).alias("tp"), (F.col("rn") + F.col("bn")).alias("fp"), "all_pos", "all_neg", lower["pos"].alias("next_pos"), lower["neg"].alias("next_neg"))
 
 
 def roc_curve(steps: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr): from (0, 0) at infinity, without the points inside straight runs."""
-    order = Window.orderBy(F.desc("score"))
     d = lambda c: F.col(c)
-    bent = (F.lead("pos").over(order) != d("pos")) | (F.lead("neg").over(order) != d("neg")) | F.lead("score").over(order).isNull()
-    points = steps.withColumn("__keep", bent).where("__keep").select(d("score").alias("threshold"), F.round(ratio(d("fp"), d("all_neg")), 9).alias("fpr"), F.round(ratio(d("tp"), d("all_pos")), 9).alias("tpr"))
+    bent = (d("next_pos") != d("pos")) | (d("next_neg") != d("neg")) | d("next_pos").isNull()
+    points = steps.where(bent).select(d("score").alias("threshold"), F.round(ratio(d("fp"), d("all_neg")), 9).alias("fpr"), F.round(ratio(d("tp"), d("all_pos")), 9).alias("tpr"))
     start = steps.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(points)
 
@@ -115,5 +133,7 @@ def metric_deltas(rows: DataFrame, published: Mapping[str, tuple[float | None, f
 
 def latency(df: DataFrame, ms: Column | str, batch: int) -> DataFrame:
     """p50, p95 (linear) and rows a second at the median."""
-    p = df.agg(F.percentile(col(ms), F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
-    return p.select(F.round(F.col("p")[0], 6).alias("p50_ms"), F.round(F.col("p")[1], 6).alias("p95_ms"), F.round(ratio(F.lit(float(batch)), F.col("p")[0] / 1000), 3).alias("rows_per_s"))
+    p50, p95 = quantiles(df, {"ms": col(ms).cast("double")}, [0.5, 0.95])["ms"]
+    rate = batch / (p50 / 1000) if p50 else None
+    out = df.sparkSession.createDataFrame([(p50, p95, rate)], "p50_ms double, p95_ms double, rows_per_s double")
+    return out.select(F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"), F.round("rows_per_s", 3).alias("rows_per_s"))

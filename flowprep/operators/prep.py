@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,28 +11,33 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions.columns import finite
+from .quantiles import quantiles as quantiles_of
 
 
 def fit(df: DataFrame, columns: Sequence[str], most_missing: float = 0.5) -> DataFrame:
     """(column, missing_ratio, median, mean, std, variance, verdict) over df; the moments are of the values after imputation.
 
-    Medians come from one pass; the moments after imputation follow from the sums of the present values and the median.
+    One pass sums up all columns, bounded passes find the medians; the moments after imputation follow from the sums of
+    the present values and the median. A row a column reaches the driver.
     """
+    values = {c: finite(c) for c in columns}
     aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(columns):
-        x = finite(c)
-        aggs += [F.count(x).alias(f"k{i}"), F.median(x).alias(f"m{i}"), F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    for i, x in enumerate(values.values()):
+        aggs += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    sums = df.agg(*aggs).first()
+    sizes = {c: (sums[f"k{i}"], sums[f"lo{i}"], sums[f"hi{i}"]) for i, c in enumerate(columns)}
+    medians = quantiles_of(df, values, [0.5], sizes)
     rows = []
     for i, c in enumerate(columns):
-        n, k = F.col("n").cast("double"), F.col(f"k{i}").cast("double")
-        median = F.coalesce(f"m{i}", F.lit(0.0))
-        p = F.coalesce(k / F.nullif(n, F.lit(0.0)), F.lit(0.0))
-        present, spread = F.coalesce(f"a{i}", median), F.coalesce(f"v{i}", F.lit(0.0))
-        mean = p * present + (1 - p) * median
-        flat = (F.coalesce(f"lo{i}", median) == F.coalesce(f"hi{i}", median)) & ((p == 1) | (F.coalesce(f"lo{i}", median) == median))
-        variance = F.when(flat, 0.0).otherwise(p * spread + p * (1 - p) * (present - median) ** 2)
-        rows.append(F.struct(F.lit(c).alias("column"), (1 - p).alias("missing_ratio"), median.alias("median"), mean.alias("mean"), F.when(variance > 0, F.sqrt(variance)).otherwise(1.0).alias("std"), variance.alias("variance"), F.when(1 - p > most_missing, "high_missing").when(variance == 0, "zero_variance").otherwise("kept").alias("verdict")))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        median = medians[c][0] or 0.0
+        k, low, high = sizes[c]
+        p = k / sums["n"] if sums["n"] else 0.0
+        present, spread = (median, 0.0) if not k else (sums[f"a{i}"], sums[f"v{i}"])
+        flat = not k or low == high and (p == 1 or low == median)
+        variance = 0.0 if flat else p * spread + p * (1 - p) * (present - median) ** 2
+        verdict = "high_missing" if 1 - p > most_missing else "zero_variance" if variance == 0 else "kept"
+        rows.append((c, 1 - p, median, p * present + (1 - p) * median, variance**0.5 if variance > 0 else 1.0, variance, verdict))
+    return df.sparkSession.createDataFrame(rows, "column string, missing_ratio double, median double, mean double, std double, variance double, verdict string")
 
 
 def standardised(df: DataFrame, columns: Sequence[str], parameters: Sequence) -> DataFrame:
@@ -44,15 +49,10 @@ def standardised(df: DataFrame, columns: Sequence[str], parameters: Sequence) ->
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """(column, step, q, value): n + 1 evenly spaced exact quantiles of each column, in one aggregation."""
-    at = [i / n for i in range(n + 1)]
-    got = df.agg(*[F.percentile(finite(c), F.array(*[F.lit(a) for a in at])).alias(f"q{i}") for i, c in enumerate(columns)])
-
-    def named(c: str):
-        return lambda v, s: F.struct(F.lit(c).alias("column"), s.alias("step"), (s / n).alias("q"), v.alias("value"))
-
-    rows = F.concat(*[F.transform(f"q{i}", named(c)) for i, c in enumerate(columns)])
-    return got.select(F.explode(rows).alias("r")).select("r.*")
+    """(column, step, q, value): n + 1 evenly spaced exact quantiles of each column; a row of these for each reaches the driver."""
+    got = quantiles_of(df, {c: finite(c) for c in columns}, [i / n for i in range(n + 1)])
+    rows = [(c, i, i / n, v) for c in columns for i, v in enumerate(got[c])]
+    return df.sparkSession.createDataFrame(rows, "column string, step int, q double, value double")
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
@@ -84,15 +84,39 @@ def quantile_normal(value: Column, grid: Sequence[float]) -> Column:
 
 
 def write_shards(df: DataFrame, path: str, rows: int, most: int, split: str = "split") -> int:
-    """Parquet files of at most `rows` rows by split; ValueError if a split needs more than `most` of them."""
-    sizes = df.groupBy(split).agg(F.ceil(F.count("*") / rows).alias("n")).collect()  # one row a split
-    over = [r[split] for r in sizes if r["n"] > most]
+    """Parquet files of about `rows` rows by split, as many as are returned; ValueError if a split needs more than `most`.
+
+    A split's rows are dealt to its files by a hash, and each file is one task's; what the files hold is checked afterwards.
+    """
+    sizes = {r[split]: (r["n"], r["files"]) for r in df.groupBy(split).agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).alias("files")).collect()}  # one row a split
+    over = sorted(s for s, (_, files) in sizes.items() if files > most)
     if over:
         raise ValueError(f"splits {over} need more than {most} shards")
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(split).parquet(path)
-    return sum(r["n"] for r in sizes)
-
-
-def read_split(spark, path: str, split: str | int, columns: Sequence[str]) -> DataFrame:
-    """One split's chosen columns: the split is a folder, so other splits are never opened."""
-    return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
+    wanted = sum(files for _, files in sizes.values())
+    if not sizes:
+        df.write.mode("overwrite").partitionBy(split).parquet(path)
+        return 0
+    first, at = {}, 0  # a split's files are numbered from here on
+    for s, (_, files) in sorted(sizes.items()):
+        first[s], at = at, at + files
+    case = F.coalesce(*[F.when(F.col(split) == s, F.lit(first[s]) + F.pmod(F.xxhash64(*df.columns), F.lit(sizes[s][1]))) for s in sizes]).cast("int")
+    df.repartitionById(wanted, case).write.mode("overwrite").partitionBy(split).parquet(path)
+    held = {r[split]: r["n"] for r in df.sparkSession.read.parquet(path).groupBy(split).agg(F.count("*").alias("n")).collect()}
+    if held != {s: n for s, (n, _) in sizes.items()}:
+        raise ValueError(f"the shards hold {held}, not {sizes}")
+    return wanted
+
+
+def read_split(spark, path: str, split: str | int, columns: Sequence[str], rows: int | None = None, labels: tuple[str, Mapping[int, int]] | None = None) -> DataFrame:
+    """One split's chosen columns: the split is a folder, so other splits are never opened.
+
+    With rows, or with labels (a column and how often each value stands there), ValueError if the shards hold something else.
+    """
+    whole = spark.read.parquet(path).where(F.col("split") == split)
+    if rows is not None and (n := whole.count()) != rows:
+        raise ValueError(f"split {split} has {n} rows, not {rows}")
+    if labels is not None:
+        found = {r[0]: r["n"] for r in whole.groupBy(labels[0]).agg(F.count("*").alias("n")).collect()}  # a row a label
+        if found != dict(labels[1]):
+            raise ValueError(f"split {split} has labels {found}, not {dict(labels[1])}")
+    return whole.select(*columns)

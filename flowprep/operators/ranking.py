@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
+from .quantiles import quantiles
 
 # Names of selections that set their own size.
 NAMED_SIZES = {"top40": 40, "top20": 20}
@@ -47,9 +48,10 @@ def selected(ranking: DataFrame, mode: str, k: int | None = None, threshold: flo
 
 def representative(df: DataFrame, value: Column | str, key: str) -> DataFrame:
     """The row whose value is nearest the median, the first key on ties."""
-    base = df.select(F.col(key).alias("key"), col(value).alias("value"))
-    near = base.join(F.broadcast(base.agg(F.median("value").alias("median")))).withColumn("d", F.abs(F.col("value") - F.col("median")))
-    return near.agg(F.min_by(F.struct("key", "value", "median"), F.struct("d", "key")).alias("r")).select("r.*")
+    base = df.select(F.col(key).alias("key"), col(value).cast("double").alias("value"))
+    median = F.lit(quantiles(base, {"value": F.col("value")}, [0.5])["value"][0]).cast("double")
+    near = F.struct(F.abs(F.col("value") - median).alias("d"), F.col("key"))
+    return base.where("value is not null").agg(F.min_by(F.struct("key", "value", median.alias("median")), near).alias("r")).select("r.*")
 
 
 def waterfall(values: DataFrame, shown: int) -> DataFrame:
