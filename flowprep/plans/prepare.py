@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -45,6 +45,23 @@ def next_phase(phase: str) -> str:
     return PHASES[min(PHASES.index(phase) + 1, len(PHASES) - 1)]
 
 
+def run_phases(handlers: Mapping[str, Callable[[], bool | None]], record: Callable[[str], None], phase: str = PHASES[0], most: int = 4) -> str:
+    """Run phases from one on, and record each that is reached; the phase where it stopped.
+
+    A handler that returns False was cut off: the phase stays. Phases behind training have none; another without one is an error.
+    """
+    for _ in range(most):
+        if phase in PHASES[-2:]:
+            break
+        if phase not in handlers:
+            raise KeyError(f"nothing runs the phase {phase!r}")
+        if handlers[phase]() is False:
+            break
+        phase = next_phase(phase)
+        record(phase)
+    return phase
+
+
 class Stages:
     """Seconds by stage."""
 
