@@ -692,22 +692,22 @@ def best_epoch(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT event_id AS position, user_id % 40 AS epoch FROM events WHERE event_id % 97 = 0), seen AS (SELECT epoch, count(*) AS n FROM p GROUP BY epoch)
+    """WITH p AS (SELECT event_id AS position, user_id % 40 AS epoch FROM events), seen AS (SELECT epoch, count(*) AS n FROM p GROUP BY epoch)
     SELECT 'duplicate' AS problem, epoch FROM seen WHERE n > 1 UNION ALL SELECT 'missing', i FROM range(1, 51) r(i) WHERE i NOT IN (SELECT epoch FROM seen)
     UNION ALL SELECT 'out_of_range', epoch FROM seen WHERE epoch < 1 OR epoch > 50 UNION ALL SELECT 'out_of_order', epoch FROM (SELECT epoch, lag(epoch) OVER (ORDER BY position) AS b FROM p) WHERE epoch < b"""
 )
 def history_validation(spark, sf_dir):
-    p = read(spark, sf_dir, "events").where("event_id % 97 = 0").select(F.col("event_id").alias("position"), (F.col("user_id") % 40).alias("epoch"))
+    p = read(spark, sf_dir, "events").select(F.col("event_id").alias("position"), (F.col("user_id") % 40).alias("epoch"))
     return monitor.history_problems(p, 50)
 
 
 @query(
-    """WITH log AS (SELECT event_id AS recorded, CASE WHEN event_type IN ('view', 'click') THEN 'train' ELSE event_type END AS phase, value::BIGINT AS end_epoch FROM events WHERE event_id % 50 = 0),
+    """WITH log AS (SELECT event_id AS recorded, CASE WHEN event_type IN ('view', 'click') THEN 'train' ELSE event_type END AS phase, value::BIGINT AS end_epoch FROM events),
     m AS (SELECT *, lag(end_epoch) OVER (ORDER BY recorded) AS b FROM log WHERE phase IN ('train', 'error')), f AS (SELECT *, b IS NULL OR end_epoch > b AS adv FROM m ORDER BY recorded DESC LIMIT 2)
     SELECT count(*) AS n, count(*) = 2 AND NOT coalesce(bool_or(adv), false) AS stalled FROM f"""
 )
 def stall_detection(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id % 50 = 0")
+    e = read(spark, sf_dir, "events")
     log = e.select(F.col("event_id").alias("recorded"), F.when(F.col("event_type").isin("view", "click"), "train").otherwise(F.col("event_type")).alias("phase"), F.bround("value", 0).cast("long").alias("end_epoch"))
     return monitor.stall(log, ["train", "error"])
 
