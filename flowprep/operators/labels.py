@@ -23,8 +23,7 @@ def decision_table(spark: SparkSession, benign: Iterable[str], attack: Iterable[
 
 def decide(df: DataFrame, label: Column | str, decisions: DataFrame) -> DataFrame:
     """df with raw_label (stripped) and y: 0, 1, or OUT_OF_SCOPE where the table says so or doesn't know the label."""
-    known = F.broadcast(decisions)  # a configured list
-    return df.withColumn("raw_label", stripped(label)).join(known, "raw_label", "left").withColumn("y", F.coalesce("decision", F.lit(OUT_OF_SCOPE))).drop("decision")
+    return df.withColumn("raw_label", stripped(label)).join(decisions, "raw_label", "left").withColumn("y", F.coalesce("decision", F.lit(OUT_OF_SCOPE))).drop("decision")
 
 
 def in_scope(df: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def binary_counts(df: DataFrame) -> DataFrame:
 
 def unknown_labels(df: DataFrame, label: Column | str, decisions: DataFrame) -> DataFrame:
     seen = df.select(stripped(label).alias("raw_label")).where(F.col("raw_label").isNotNull()).distinct()
-    return seen.join(F.broadcast(decisions), "raw_label", "left_anti")
+    return seen.join(decisions, "raw_label", "left_anti")
 
 
 def label_counts(df: DataFrame, file: Column | str, label: Column | str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .ranks import with_previous
 
 
 def session_boundaries(history: DataFrame, order: str = "epoch", session: str = "session_id") -> DataFrame:
@@ -30,20 +31,19 @@ def best_record(df: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def history_problems(history: DataFrame, last: int, position: str = "position", epoch: str = "epoch") -> DataFrame:
-    """(problem, epoch): duplicate, missing among 1..last, out of range, out of order."""
+    """(problem, epoch): duplicate, missing among 1..last, out of range, out of order (of records by a whole-number position)."""
     spark = history.sparkSession
     seen = history.groupBy(epoch).agg(F.count("*").alias("n"))
     expected = spark.range(1, last + 1).select(F.col("id").alias(epoch))
-    w = Window.orderBy(position)
-    back = history.withColumn("__p", F.lag(epoch).over(w)).where(F.col(epoch) < F.col("__p"))
+    back = with_previous(history, [], position, epoch, "__p").where(F.col(epoch) < F.col("__p"))
     parts = [seen.where("n > 1").select(F.lit("duplicate").alias("problem"), epoch), expected.join(seen, epoch, "left_anti").select(F.lit("missing").alias("problem"), epoch), seen.where((F.col(epoch) < 1) | (F.col(epoch) > last)).select(F.lit("out_of_range").alias("problem"), epoch), back.select(F.lit("out_of_order").alias("problem"), epoch)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def stall(log: DataFrame, phases: Sequence[str], order: str = "recorded") -> DataFrame:
     """(n, stalled): whether neither of the last two training records advanced (an epoch beyond the one before)."""
+    kept = log.where(F.col("phase").isin(*phases)).orderBy(F.desc(order)).limit(3)  # two records and the one before them
     w = Window.orderBy(order)
-    kept = log.where(F.col("phase").isin(*phases))
     moved = kept.withColumn("__p", F.lag("end_epoch").over(w)).withColumn("advanced", F.col("__p").isNull() | (F.col("end_epoch") > F.col("__p")))
     last = moved.orderBy(F.desc(order)).limit(2)
     return last.agg(F.count("*").alias("n"), ((F.count("*") == 2) & ~F.coalesce(F.bool_or("advanced"), F.lit(False))).alias("stalled"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, finite, is_infinite
 from .labels import is_benign
+from .ranks import with_previous
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -36,12 +37,13 @@ def shown_columns(profile: DataFrame) -> DataFrame:
 
 
 def distinct_capped(df: DataFrame, columns: Sequence[str], cap: int) -> DataFrame:
-    """(column, n_distinct, shown): exact counts up to cap, else "capped_at_<cap>"; distinct values are counted by shuffled groups."""
-    out = None
-    for c in columns:
-        one = df.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("v")).distinct().agg(F.count("*").alias("n")).select(F.lit(c).alias("column"), F.least("n", F.lit(cap)).alias("n_distinct"), F.when(F.col("n") > cap, F.lit(f"capped_at_{cap}")).otherwise(F.col("n").cast("string")).alias("shown"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(column, n_distinct, shown): exact counts up to cap, else "capped_at_<cap>". One scan serves all columns: their distinct
+    values are shuffled groups."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]))
+    seen = df.select(values.alias("x")).select("x.*").where("v is not null").distinct().groupBy("column").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(seen, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
+    shown = F.when(F.col("n") > cap, F.lit(f"capped_at_{cap}")).otherwise(F.col("n").cast("string"))
+    return every.select("column", F.least("n", F.lit(cap)).alias("n_distinct"), shown.alias("shown"))
 
 
 def time_range(df: DataFrame, text: Column, time: Column) -> DataFrame:
@@ -94,10 +96,9 @@ def slice_totals(slices: DataFrame) -> DataFrame:
 
 
 def monotonic(df: DataFrame, file: Column | str, position: Column | str, time: Column | str) -> DataFrame:
-    """(file, n, monotonic): whether time never goes back in row order."""
-    order = Window.partitionBy("file").orderBy("__at")
+    """(file, n, monotonic): whether time never goes back in the order of whole-number positions."""
     base = df.select(col(file).alias("file"), col(position).alias("__at"), col(time).alias("__t"))
-    flagged = base.withColumn("__ok", F.coalesce(F.col("__t") >= F.lag("__t").over(order), F.lit(True)))
+    flagged = with_previous(base, ["file"], "__at", "__t", "__p").withColumn("__ok", F.coalesce(F.col("__t") >= F.col("__p"), F.lit(True)))
     return flagged.groupBy("file").agg(F.count("*").alias("n"), F.bool_and("__ok").alias("monotonic"))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANK, SIZE = "__rank", "__n"
 
@@ -32,9 +33,45 @@ def with_ranks(df: DataFrame, stream: Sequence[str], order: Sequence[Column], bl
     return inner.join(places, reduce(lambda a, b: a & b, same)).select(*kept, (F.col("__r") + F.col("__before")).alias(RANK), SIZE)
 
 
-def time_block(df: DataFrame, time: str) -> Column | None:
-    """Hours, where a column holds times."""
-    return F.date_trunc("hour", F.col(time)) if dict(df.dtypes)[time].startswith("timestamp") else None
+#: Whole numbers that agree but for their last 16 bits share a block.
+NEAR = 16
+
+
+def time_block(df: DataFrame, time: str, position: str | None = None) -> Column | None:
+    """Parts of the order by a time: hours, days, whole parts of numbers, or the first 13 characters of texts. Rows without a
+    time, which come first, are parted by a whole-number position."""
+    kind, t = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        block = F.date_trunc("hour", t)
+    elif isinstance(kind, (T.DateType, T.BooleanType)):
+        block = t
+    elif isinstance(kind, T.IntegralType):
+        block = F.shiftright(t.cast("long"), NEAR)
+    elif isinstance(kind, (T.FractionalType)):
+        block = F.when(F.isnan(t.cast("double")), F.lit(1 << 62)).otherwise(F.floor(t.cast("double")))
+    elif isinstance(kind, T.StringType):
+        block = F.substring(t, 1, 13)
+    else:
+        return None
+    if position is None or not isinstance(df.schema[position].dataType, T.IntegralType):
+        return block
+    return F.struct(block.alias("t"), F.when(t.isNull(), F.shiftright(F.col(position).cast("long"), NEAR)).otherwise(0).alias("p"))
+
+
+def with_previous(df: DataFrame, stream: Sequence[str], position: str, value: str, name: str) -> DataFrame:
+    """df with the value of the row before it in its stream (null for the first), by a whole-number position.
+
+    Rows look back within their block of positions; a block's first row looks at the last one of the block before. A window
+    holds the rows of a block, or a row for each block of a stream.
+    """
+    blocked = df.withColumn("__blk", F.shiftright(F.col(position).cast("long"), NEAR))
+    held = F.struct(F.col(value).alias("v"))  # not null, whatever the value
+    last = blocked.groupBy(*stream, "__blk").agg(F.max_by(held, F.col(position)).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(*stream).orderBy("__blk"))
+    before = last.select(*[F.col(s).alias(f"__s{i}") for i, s in enumerate(stream)], F.col("__blk").alias("__b"), before.alias("__before"))
+    inner = blocked.withColumn("__own", F.lag(held).over(Window.partitionBy(*stream, "__blk").orderBy(position)))
+    same = [F.col(s).eqNullSafe(F.col(f"__s{i}")) for i, s in enumerate(stream)] + [F.col("__blk").eqNullSafe(F.col("__b"))]
+    return inner.join(before, reduce(lambda a, b: a & b, same)).select(*df.columns, F.coalesce("__own", "__before")["v"].alias(name))
 
 
 def digest_block(digest: Column) -> Column:

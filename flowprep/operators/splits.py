@@ -31,7 +31,7 @@ def cut(rank: Column, n: Column, train: float, val: float, each: bool) -> Column
 
 
 def by_rank(df: DataFrame, stream: Sequence[str], time: str, position: str, train: float, val: float, each: bool) -> DataFrame:
-    ranked = with_ranks(df, stream, [F.col(time).asc_nulls_first(), F.col(position)], time_block(df, time))
+    ranked = with_ranks(df, stream, [F.col(time).asc_nulls_first(), F.col(position)], time_block(df, time, position))
     return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, each)).drop(RANK, SIZE)
 
 

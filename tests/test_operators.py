@@ -200,3 +200,95 @@ def test_trials(spark):
     assert t.columns == ["a", "b", "number", "state", "value"]
     assert one(monitor.trial_summary(t)) == {"n_complete": 2, "best_number": 1, "best_value": 2.0}
     assert monitor.memory_needs(1000, 10, 4)["peak"] == 36000
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "string", "double", "long", "decimal(12,3)"])
+def test_ranks_hold_for_every_kind_of_time(spark, kind):
+    """Blocks change nothing about the ranks, nor do rows without a time or equal times."""
+    from pyspark.sql import Window
+
+    from flowprep.operators import ranks
+
+    seconds = F.pmod(F.xxhash64("i"), F.lit(400_000))
+    value = {"timestamp": F.timestamp_seconds(seconds), "date": F.date_add(F.lit("2020-01-01").cast("date"), (seconds % 300).cast("int")), "string": F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), "double": F.when(seconds % 50 == 0, float("nan")).otherwise((seconds - 200_000) / 7.0), "long": seconds * 3 - 500_000}
+    time = value.get(kind, (seconds / 7).cast(kind))
+    df = spark.range(3000).select((F.col("id") * 1000).alias("i"), (F.col("id") % 3).alias("s")).withColumn("t", F.when(F.col("i") % 7 != 0, time))
+    order = [F.col("t").asc_nulls_first(), F.col("i")]
+    got = ranks.with_ranks(df, ["s"], order, ranks.time_block(df, "t", "i"))
+    plain = df.withColumn("want", F.row_number().over(Window.partitionBy("s").orderBy(*order)))
+    assert got.join(plain.select("i", "want"), "i").where(F.col(ranks.RANK) != F.col("want")).count() == 0 and got.count() == 3000
+    assert got.where(f"{ranks.SIZE} <> 1000").count() == 0
+
+
+def test_the_row_before(spark):
+    from pyspark.sql import Window
+
+    from flowprep.operators import ranks
+
+    df = spark.range(2000).select((F.col("id") * 333).alias("p"), F.when(F.col("id") % 5 != 0, F.col("id") % 11).alias("v"), F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("s"))
+    for stream in ([], ["s"]):
+        got = ranks.with_previous(df, stream, "p", "v", "before")
+        want = df.withColumn("want", F.lag("v").over(Window.partitionBy(*stream).orderBy("p")))
+        assert got.join(want.select("p", "want"), "p").where(~F.col("before").eqNullSafe(F.col("want"))).count() == 0 and got.count() == 2000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_quantiles_are_exact(spark, seed, monkeypatch):
+    """Against numpy, for values that crowd, spread over all sizes, repeat, or are few; with small buckets too."""
+    import numpy as np
+
+    from flowprep.operators import quantiles as Q
+
+    if seed % 2:
+        monkeypatch.setattr(Q, "BUCKETS", 4)
+        monkeypatch.setattr(Q, "LISTED", 3)
+    rng = np.random.default_rng(seed)
+    n = 1500
+    cols = {"even": rng.random(n), "wide": rng.choice([-1, 1], n) * 10.0 ** rng.uniform(-300, 300, n), "crowded": np.where(rng.random(n) < 0.99, rng.random(n) * 1e-9, 1e12), "few": rng.integers(0, 3, n).astype(float), "one": np.full(n, 2.5), "ends": rng.choice([-1.7e308, 5e-324, 0.0, -0.0, 1e-323, 1.7e308], n)}
+    rows = list(zip(*(c.tolist() for c in cols.values()), [None] * n, strict=True))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*cols, "none"]))
+    shares = [0.0, 0.1, 0.25, 0.5, 0.501, 0.95, 1.0]
+    got = Q.quantiles(df, {c: F.col(c) for c in [*cols, "none"]}, shares)
+    assert got["none"] == [None] * len(shares)
+    for c, v in cols.items():
+        v = np.sort(v)
+        want = []
+        for p in shares:
+            a, b, part = Q.ranks_of(p, n)
+            want.append(v[a] + (v[b] - v[a]) * part if part else v[a])
+        assert got[c] == want, c
+
+
+def test_shards_are_what_is_said(spark, tmp_path):
+    """As many files as are returned, whatever the number of tasks, and reading back checks rows and labels."""
+    df = spark.range(0, 5000, numPartitions=8).select("id", (F.col("id") % 3).cast("int").alias("split"), (F.col("id") % 2).cast("int").alias("y"))
+    path = str(tmp_path / "shards")
+    n = prep.write_shards(df, path, 400, 5)
+    files = list((tmp_path / "shards").rglob("*.parquet"))
+    assert n == len(files) == 15 and max(len([f for f in files if f"split={s}" in str(f)]) for s in range(3)) == 5
+    assert prep.read_split(spark, path, 1, ["id"], rows=1667, labels=("y", {0: 833, 1: 834})).count() == 1667
+    with pytest.raises(ValueError, match="rows"):
+        prep.read_split(spark, path, 1, ["id"], rows=1)
+    with pytest.raises(ValueError, match="labels"):
+        prep.read_split(spark, path, 1, ["id"], labels=("y", {0: 1667}))
+
+
+def test_score_steps_across_blocks(spark):
+    """Many distinct scores, in and out of [0, 1]: as the plain definition."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    scores = np.concatenate([np.round(rng.random(800), 4), rng.normal(size=300) * 50])
+    y = rng.integers(0, 2, len(scores))
+    steps = metrics.score_steps(spark.createDataFrame(list(zip(scores.tolist(), y.tolist(), strict=True)), "s double, y int"), "y", "s")
+    got = {r["score"]: r for r in steps.collect()}
+    distinct = sorted(set(scores.tolist()), reverse=True)
+    for i, v in enumerate(distinct):
+        r = got[v]
+        assert (r["tp"], r["fp"]) == (int(((scores >= v) & (y == 1)).sum()), int(((scores >= v) & (y == 0)).sum()))
+        if i + 1 < len(distinct):
+            at = scores == distinct[i + 1]
+            assert (r["next_pos"], r["next_neg"]) == (int((at & (y == 1)).sum()), int((at & (y == 0)).sum()))
+        else:
+            assert r["next_pos"] is None
+    assert len(got) == len(distinct)
