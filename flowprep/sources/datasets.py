@@ -6,11 +6,12 @@ import csv
 import json
 import os
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
@@ -41,29 +42,65 @@ def discover(spark: SparkSession, root: str, pattern: str = "*.parquet") -> list
     return found
 
 
-def resolve_root(root: str, pattern: str = "*.parquet") -> str:
-    """The folder itself if it holds matches, else the deepest folder that holds all matches below its nearest ancestor that exists. Local paths."""
-    wanted = Path(root)
-    if wanted.is_dir() and any(wanted.rglob(pattern)):
-        return str(wanted)
-    above = next((p for p in (wanted, *wanted.parents) if p.is_dir()), None)
-    matches = sorted(above.rglob(pattern)) if above and above != above.parent else []
+def resolve_root(spark: SparkSession, root: str, pattern: str = "*.parquet") -> str:
+    """The folder itself if it holds matches, else the deepest folder that holds all matches below its nearest ancestor that
+    exists (not the store's top). In any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if _files(spark, root, pattern):
+        return root
+    while path is not None and not (fs.exists(path) and fs.getFileStatus(path).isDirectory()):
+        path = path.getParent()
+    matches = _files(spark, path.toString(), pattern) if path is not None and path.getParent() is not None else []
     if not matches:
         raise FileNotFoundError(f"nothing fits {pattern} in or near {root}")
-    return os.path.commonpath([str(m.parent) for m in matches])
+    return os.path.commonpath([m.rpartition("/")[0] for m in matches]) if len(matches) > 1 else matches[0].rpartition("/")[0]
+
+
+@dataclass
+class Footer:
+    """What the end of a Parquet file says of it."""
+
+    path: str
+    columns: tuple[str, ...]
+    row_groups: int
+
+
+def footers(spark: SparkSession, files: Sequence[str]) -> list[Footer]:
+    """The footers of files in their order; a pool of threads of the driver's JVM reads them, no job is run."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    statuses = jvm.java.util.ArrayList()
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        statuses.add(path.getFileSystem(conf).getFileStatus(path))
+    read = jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, statuses)
+    found = {}
+    for f in read:
+        said = f.getParquetMetadata()
+        path = f.getFile().toString()
+        found[path] = Footer(path, tuple(c.getName() for c in said.getFileMetaData().getSchema().getFields()), said.getBlocks().size())
+    return [found[statuses.get(i).getPath().toString()] for i in range(len(files))]
+
+
+def _below(root: str) -> Column:
+    """A file's path below a dataset's folder."""
+    name = root.rstrip("/").split("/")[-1]
+    path = F.col("_metadata.file_path")
+    return F.substring_index(path, f"/{name}/", -1) if name else path
 
 
 def read_dataset(spark: SparkSession, root: str, aliases: Mapping[str, Iterable[str]] | None = None, pattern: str = "*.parquet", most_files: int = 0) -> DataFrame:
-    """All shards under canonical names, with file (its path below the root) and position (its row in the file).
+    """All shards (with most_files, the first ones by path) under canonical names, with file (its path below the root) and
+    position (its row in the file).
 
     Schemas are compared before reading: shards whose canonical columns differ are an error. Each spelling of a schema
     is read by itself and then joined to the others by name, so a shard may spell its headers in its own way.
     """
     index = S.alias_index(aliases or {})
-    files = discover(spark, root, pattern)[: most_files or None]
     groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(tuple(spark.read.parquet(f).columns), []).append(f)
+    for f in footers(spark, discover(spark, root, pattern)[: most_files or None]):
+        groups.setdefault(f.columns, []).append(f.path)
     out, names = None, None
     for columns, members in groups.items():
         mapping, clashes = S.column_mapping(columns, index)
@@ -74,19 +111,25 @@ def read_dataset(spark: SparkSession, root: str, aliases: Mapping[str, Iterable[
             lacking, more = S.schema_difference(names, mine)
             raise ValueError(f"{members[0]} lacks {lacking} and has {more} besides")
         names = names or mine
-        below = len(root.rstrip("/").split("/")[-1])
         raw = spark.read.parquet(*members)
-        path = F.col("_metadata.file_path")
-        tail = F.substring_index(path, "/" + root.rstrip("/").split("/")[-1] + "/", -1) if below else path
-        part = raw.select(*[F.col(f"`{c}`").alias(mapping[c]) for c in columns], tail.alias("file"), F.col("_metadata.row_index").alias("position"))
+        part = raw.select(*[F.col(f"`{c}`").alias(mapping[c]) for c in columns], _below(root).alias("file"), F.col("_metadata.row_index").alias("position"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def file_summary(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
-    """(file, n_rows, bytes) of each shard, from what the reader knows of its files."""
-    df = spark.read.parquet(*discover(spark, root, pattern))
-    return df.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"), F.max("_metadata.file_size").alias("bytes"))
+def file_summary(spark: SparkSession, root: str, pattern: str = "*.parquet", label: str | None = None) -> DataFrame:
+    """(file, n_rows, row_groups, bytes, labels) of each shard; labels counts each value of a label column, if one is named."""
+    files = footers(spark, discover(spark, root, pattern))
+    groups = spark.createDataFrame([(f.path, f.row_groups) for f in files], "path string, row_groups int")
+    df = spark.read.parquet(*[f.path for f in files])
+    value = F.trim(F.col(f"`{label}`").cast("string")) if label else F.lit(None).cast("string")
+    path = F.col("_metadata.file_path")
+    counts = df.groupBy(_below(root).alias("file"), path.alias("path"), value.alias("value")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
+    pairs = F.filter(F.collect_list(F.struct("value", "n")), lambda p: p["value"].isNotNull())
+    sums = counts.groupBy("file", "path").agg(F.sum("n").alias("n_rows"), F.max("bytes").alias("bytes"), F.map_from_entries(pairs).alias("labels"))
+    same = F.regexp_replace("path", "^file:/+", "/")  # a local path is spelled with one slash or with three
+    sums, groups = sums.withColumn("at", same), groups.withColumn("at", same).select("at", "row_groups")
+    return sums.join(groups, "at").select("file", "path", "n_rows", "row_groups", "bytes", "labels")
 
 
 def read_yaml(path: str) -> dict[str, Any]:
@@ -104,6 +147,19 @@ def write_rows(path: str, rows: list[dict[str, Any]]) -> None:
             w.writerows(rows)
 
 
+def write_figures(folder: str, figures: Mapping[str, DataFrame], most: int = 100_000) -> list[str]:
+    """The data behind each figure as a CSV file of its name; ValueError if one has more than `most` rows."""
+    os.makedirs(folder, exist_ok=True)
+    paths = []
+    for name, df in figures.items():
+        rows = [r.asDict() for r in df.limit(most + 1).collect()]  # bounded
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        paths.append(os.path.join(folder, f"{name}.csv"))
+        write_rows(paths[-1], rows)
+    return paths
+
+
 def read_rows(path: str) -> list[dict[str, str]]:
     """A CSV report; a missing file has no rows."""
     if not os.path.exists(path):
@@ -113,12 +169,14 @@ def read_rows(path: str) -> list[dict[str, str]]:
 
 
 def write_json(path: str, value: Any) -> None:
-    """All of it or nothing: to a file beside, flushed, then renamed."""
-    beside = f"{path}.part"
-    with open(beside, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True)
+    """All of it or nothing: to a file beside, flushed, checked for its size, then renamed."""
+    beside, raw = f"{path}.part", json.dumps(value, indent=2, sort_keys=True).encode()
+    with open(beside, "wb") as f:
+        f.write(raw)
         f.flush()
         os.fsync(f.fileno())
+    if os.path.getsize(beside) != len(raw):
+        raise OSError(f"{beside} was cut short")
     os.replace(beside, path)
 
 
@@ -153,3 +211,11 @@ class Store:
             return False
         fs.copyToLocalFile(False, path, self.jvm.org.apache.hadoop.fs.Path(local), True)
         return True
+
+    def put_folder(self, key: str, local: str) -> list[str]:
+        """All files of a local folder, under their paths below it; the keys."""
+        keys = []
+        for path in sorted(p for p in Path(local).rglob("*") if p.is_file()):
+            keys.append(f"{key}/{path.relative_to(local).as_posix()}")
+            self.put(keys[-1], str(path))
+        return keys

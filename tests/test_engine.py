@@ -32,7 +32,7 @@ def test_reading_shards(spark, capture):
     assert datasets.file_summary(spark, str(capture)).agg(F.sum("n_rows")).first()[0] == 6120
     with pytest.raises(FileNotFoundError, match="no \\*.csv"):
         datasets.discover(spark, str(capture), "*.csv")
-    assert datasets.resolve_root(str(capture / "moved" / "versions")) == str(capture)
+    assert datasets.resolve_root(spark, str(capture / "moved" / "versions")).removeprefix("file:") == str(capture)
 
 
 def test_schema_difference_is_an_error(spark, tmp_path):
