@@ -115,6 +115,16 @@ def scalar_coercions(spark, sf_dir):
     return e.select("event_id", C.as_number("event_type").alias("as_float"), C.as_number(F.col("user_id").cast("string")).alias("user_float"), (C.sigmoid((F.col("value") - 50) / 25) > 0.5).alias("positive"))
 
 
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('second', ts) END AS time FROM events")
+def mixed_times(spark, sf_dir):
+    """Times that come as texts of several formats, or of none."""
+    k = F.col("event_id") % 5
+    text = F.lit("no time")
+    for i, form in enumerate(("yyyy-MM-dd HH:mm:ss", "d/M/yyyy H:mm", "yyyy-MM-dd", "d/M/yyyy h:mm:ss a")):
+        text = F.when(k == i, F.date_format("ts", form)).otherwise(text)
+    return read(spark, sf_dir, "events").select("event_id", C.parsed_time(text).cast("timestamp_ntz").alias("time"))
+
+
 @query("SELECT o_orderstatus AS file, count(*) AS n, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS urgent, sha256(max(o_orderpriority)) AS digest FROM orders WHERE lower(o_orderstatus) LIKE '%f' OR split_part('a/b/' || o_orderstatus, '/', 3) = 'O' GROUP BY 1")
 def scalar_strings(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
