@@ -200,3 +200,18 @@ def difference_hash(grid):
         cells = [mean(Fraction(i * rows, 8), Fraction((i + 1) * rows, 8), Fraction(j * columns, 9), Fraction((j + 1) * columns, 9)) for j in range(9)]
         bits += "".join("1" if cells[j + 1] > cells[j] else "0" for j in range(8))
     return f"{int(bits, 2):016x}"
+
+
+def best_fit(sizes, room):
+    """How many sequences item-by-item best fit takes, longest first."""
+    import bisect
+
+    rooms, n = [], 0
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(rooms, size)
+        if at == len(rooms):
+            n, left = n + 1, room
+        else:
+            left = rooms.pop(at)
+        bisect.insort(rooms, left - size)
+    return n

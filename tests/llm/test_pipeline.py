@@ -1,5 +1,8 @@
 """The registered queries and the pipeline against brute force."""
 
+import itertools
+import zlib
+
 import brute
 import corpus_pipeline
 import pytest
@@ -57,11 +60,22 @@ def test_pipeline_as_brute_force(spark, sf):
         gone = {b for a in range(len(w) - 49) if first[tuple(w[a : a + 50])] < i for b in range(a, a + 50)}
         out.append((i, " ".join(x for a, x in enumerate(w) if a not in gone) if gone else t))
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in out}
-    got = {}
+    want, sizes = {}, []
+    for i, t in out:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        n = -(-len(ids) // 1024)
+        cuts = [0, *(len(ids) - 1024 * (n - 1 - k) for k in range(n))]
+        want[i] = [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts))]
+        sizes += [b - a for a, b in itertools.pairwise(cuts)]
+    got, sequences = {}, {}
     for r in corpus_pipeline.run(spark, sf).collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
-    assert got == want
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {i: sorted(p) for i, p in got.items()} == want
+    for items in sequences.values():
+        ends = itertools.accumulate(n for _, n in sorted(items))
+        assert [o for o, _ in sorted(items)] == [0, *ends][: len(items)] and sum(n for _, n in items) <= 1024
+    assert len(sequences) == brute.best_fit(sizes, 1024)
 
 
 def test_stages_keep_the_columns(spark, sf):

@@ -139,6 +139,39 @@ def test_threshold_heeds_both_labels(spark):
     assert quality.calibrated(np.array([0.7, 0.5]), np.array([1, 9]), np.array([0, 0]), 0.0005) == pytest.approx(0.7105)
 
 
+def test_verdicts_as_brute_force(spark):
+    """Scores by a walk of each row through each tree; the threshold from trying every one; kept from both."""
+    big, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in quality.quality_rules(big, labels).collect()}
+    judge = quality.fit(quality.rule_stats(big), labels)
+    forest, known, marks = judge.forest, {r["doc_id"]: r["quality"] for r in labels.collect()}, []
+    for r in got.values():
+        words, lines = max(r["n_words"], 1), max(r["n_lines"], 1)
+        x = [r["word_chars"] / words, np.log1p(20 * r["n_symbols"] / words), np.log1p(r["n_words"] / lines)]
+        total = 0.0
+        for tree in forest.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                at = int(tree[at][2]) + bool(x[int(tree[at][0])] >= tree[at][1])
+            total += tree[at][3]
+        h = sum(1 / i for i in range(1, forest.sample))
+        score = 2 ** (-total / len(forest.trees) / (2 * h - 2 * (forest.sample - 1) / forest.sample))
+        assert abs(score - r["score"]) < 0.01  # the harmonic number is approximated there
+        failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and r["score"] < judge.threshold)
+        if not failed and known.get(r["doc_id"]) is not None:
+            marks.append((r["score"], known[r["doc_id"]] == 1))
+    n_good, n_bad = sum(g for _, g in marks), sum(not g for _, g in marks)
+    assert n_good and n_bad
+
+    def balance(threshold):
+        lost, caught = sum(g and s >= threshold for s, g in marks), sum(not g and s >= threshold for s, g in marks)
+        return (caught / n_bad - lost / n_good) if lost <= 0.0005 * n_good else -1.0
+
+    best = max(balance(k / 2000) for k in range(2001))
+    assert balance(judge.threshold) == pytest.approx(best)
+
+
 def test_rules_without_labels(odd, docs):
     none = odd.select("doc_id", F.lit(None).cast("int").alias("quality"))
     out = quality.quality_rules(odd, none)
