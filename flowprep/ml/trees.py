@@ -33,6 +33,8 @@ class Ensemble:
         path = f"{shared_dir(spark)}/flowprep/model-{uuid.uuid4().hex}"
         model.write().overwrite().save(path)
         rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         trees = []
         for t in sorted({r["treeID"] for r in rows}):
             nodes = sorted((r for r in rows if r["treeID"] == t), key=lambda r: r["id"])
