@@ -19,14 +19,21 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
 
+def each(rows: int, values: np.ndarray) -> np.ndarray:
+    """The values, one a row; ValueError if there are fewer or more."""
+    if len(values) != rows:
+        raise ValueError(f"{len(values)} results for {rows} rows")
+    return values
+
+
 def with_scores(df: DataFrame, key: str, features: str, width: int, score: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, score)."""
+    """(key, score); an error if a batch gets another number of scores than it has rows."""
     src = df.select(F.col(key).alias("key"), F.col(features).alias("x"))
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(matrix(b.column(1), width)).astype(float))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(each(b.num_rows, score(matrix(b.column(1), width))).astype(float))], names=["key", "score"])
 
     return src.mapInArrow(run, T.StructType([src.schema["key"], T.StructField("score", T.DoubleType())])).withColumnRenamed("key", key)
 
@@ -38,7 +45,7 @@ def with_attributions(df: DataFrame, key: str, features: str, width: int, attrib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = attribute(matrix(b.column(1), width))
+            v = each(b.num_rows, attribute(matrix(b.column(1), width)))
             rows = np.repeat(np.arange(len(v)), width)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(np.tile(np.arange(width), len(v)).astype(np.int32)), pa.array(v.ravel())], names=["key", "feature", "value"])
 

@@ -38,8 +38,31 @@ def label_counts(events: DataFrame, label: Column | str) -> DataFrame:
     return events.groupBy(col(label).alias("label")).agg(F.count("*").alias("n"))
 
 
-def run_available(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Work off all that is there as Parquet, then stop; a later call goes on from the checkpoint."""
+class Changed(RuntimeError):
+    """A checkpoint of another configuration."""
+
+
+def guard(spark: SparkSession, checkpoint: str, fingerprint: str) -> None:
+    """Note the configuration's fingerprint beside a checkpoint; Changed if another one is noted there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint.rstrip("/") + ".fingerprint")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        noted = spark.read.text(at.toString()).first()[0]
+        if noted != fingerprint:
+            raise Changed(f"{checkpoint} was made by {noted}, not by {fingerprint}")
+        return
+    out = fs.create(at, False)
+    out.write(bytearray(fingerprint.encode()))
+    out.close()
+
+
+def run_available(out: DataFrame, path: str, checkpoint: str, mode: str = "append", fingerprint: str | None = None) -> StreamingQuery:
+    """Work off all that is there as Parquet, then stop; a later call goes on from the checkpoint.
+
+    With a configuration's fingerprint, a later call with another one is refused.
+    """
+    if fingerprint is not None:
+        guard(out.sparkSession, checkpoint, fingerprint)
     query = out.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

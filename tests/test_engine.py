@@ -104,6 +104,11 @@ def test_streams(spark, tmp_path):
     flows.run_available(flows.session_counts(stream, "ts", ["k"]), str(tmp_path / "sessions"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "sessions")).count() == 2
     assert flows.label_counts(df, "k").count() == 2
+    for _ in range(2):
+        flows.run_available(flows.first_within(stream, "ts", ["k"]), str(tmp_path / "again"), str(tmp_path / "cp4"), fingerprint="one")
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 2
+    with pytest.raises(flows.Changed, match="one"):
+        flows.run_available(flows.first_within(stream, "ts", ["k"]), str(tmp_path / "again"), str(tmp_path / "cp4"), fingerprint="two")
 
 
 @pytest.mark.parametrize(("k", "n"), [(40, 126721), (20, 83201)])
@@ -173,6 +178,13 @@ def test_gradients_attribute_the_signal():
     assert np.abs(v).mean(axis=0).argmax() == 2
 
 
+def test_every_row_has_one_score(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "k int, x array<double>")
+    assert explain.with_scores(df, "k", "x", 2, lambda m: m[:, 0]).count() == 5
+    with pytest.raises(Exception, match="results for"):
+        explain.with_scores(df, "k", "x", 2, lambda m: m[:0, 0]).count()
+
+
 def test_search_resumes():
     space = {"a": {"type": "float", "low": 0.0, "high": 1.0}, "b": {"type": "categorical", "choices": [1, 2, 3]}, "c": {"type": "int", "low": 1, "high": 9}}
     objective = lambda p, report: -((p["a"] - 0.3) ** 2) + (p["b"] == 2)
