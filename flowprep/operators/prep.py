@@ -89,7 +89,7 @@ def write_shards(df: DataFrame, path: str, rows: int, most: int, split: str = "s
     A split's rows are dealt to its files by a hash, and each file is one task's; what the files hold is checked afterwards.
     """
     sizes = {r[split]: (r["n"], r["files"]) for r in df.groupBy(split).agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).alias("files")).collect()}  # one row a split
-    over = sorted(s for s, (_, files) in sizes.items() if files > most)
+    over = [s for s, (_, files) in sizes.items() if files > most]
     if over:
         raise ValueError(f"splits {over} need more than {most} shards")
     wanted = sum(files for _, files in sizes.values())
@@ -97,9 +97,9 @@ def write_shards(df: DataFrame, path: str, rows: int, most: int, split: str = "s
         df.write.mode("overwrite").partitionBy(split).parquet(path)
         return 0
     first, at = {}, 0  # a split's files are numbered from here on
-    for s, (_, files) in sorted(sizes.items()):
+    for s, (_, files) in sizes.items():
         first[s], at = at, at + files
-    case = F.coalesce(*[F.when(F.col(split) == s, F.lit(first[s]) + F.pmod(F.xxhash64(*df.columns), F.lit(sizes[s][1]))) for s in sizes]).cast("int")
+    case = F.coalesce(*[F.when(F.col(split).eqNullSafe(F.lit(s)), F.lit(first[s]) + F.pmod(F.xxhash64(*df.columns), F.lit(sizes[s][1]))) for s in sizes]).cast("int")
     df.repartitionById(wanted, case).write.mode("overwrite").partitionBy(split).parquet(path)
     held = {r[split]: r["n"] for r in df.sparkSession.read.parquet(path).groupBy(split).agg(F.count("*").alias("n")).collect()}
     if held != {s: n for s, (n, _) in sizes.items()}:

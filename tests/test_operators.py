@@ -267,6 +267,9 @@ def test_shards_are_what_is_said(spark, tmp_path):
     files = list((tmp_path / "shards").rglob("*.parquet"))
     assert n == len(files) == 15 and max(len([f for f in files if f"split={s}" in str(f)]) for s in range(3)) == 5
     assert prep.read_split(spark, path, 1, ["id"], rows=1667, labels=("y", {0: 833, 1: 834})).count() == 1667
+    odd = df.withColumn("split", F.when(F.col("id") % 3 != 0, F.col("split")))
+    assert prep.write_shards(odd, str(tmp_path / "odd"), 1000, 5) == 6 and spark.read.parquet(str(tmp_path / "odd")).where("split is null").count() == 1667
+    assert prep.write_shards(df.limit(0), str(tmp_path / "none"), 1000, 5) == 0
     with pytest.raises(ValueError, match="rows"):
         prep.read_split(spark, path, 1, ["id"], rows=1)
     with pytest.raises(ValueError, match="labels"):
