@@ -11,8 +11,8 @@ A byte-level BPE tokenizer works in two stages; both are compiled here into dete
 2. The merges become a transducer over blocks of eight bytes that is compiled as pieces come: a state is what has been
    read of a piece, a transition is annotated with the tokens it emits. All pieces of a block of texts walk it together.
    A merge can join all that came before, so the count of a piece is no sum over its bytes: transitions inside a piece
-   emit nothing, the one that ends it emits its whole count. A piece that the transducer lacks is merged by an ordinary
-   loop and compiled. Transitions are bounded: a full table becomes the older of two generations, whose pieces move
+   emit nothing, the one that ends it emits its whole count. Pieces that the transducer lacks are merged by their ranks, all
+   together, and compiled. Transitions are bounded: a full table becomes the older of two generations, whose pieces move
    on to the new one as they are met, the others are forgotten with it.
 
 Cases: a null or empty text has 0 tokens; very long texts run in blocks of chunks, and a run of one class of any
@@ -52,6 +52,8 @@ CHUNK = 256
 SETTLE = 12
 #: Transitions of a generation at most, half as many as it has slots, and the bytes of a piece that is compiled.
 KEPT, KEPT_LENGTH = 1 << 20, 64
+#: Ranks of pairs that never merge, and what stands behind a piece's end.
+NEVER, NONE = (1 << 31) - 1, (1 << 16) - 1
 #: Pieces that walk together.
 TOGETHER = 1 << 20
 
@@ -148,7 +150,7 @@ def piece_starts(classes: np.ndarray) -> np.ndarray:
 
 
 class Merges:
-    """The number of tokens of a piece, by its merges."""
+    """The number of tokens of pieces, by their merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -160,25 +162,60 @@ class Merges:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letter = dict(zip(shown, map(chr, shown), strict=True)) | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def count(self, piece: bytes) -> int:
-        parts = [self.letter[b] for b in piece]
-        return self.few(parts) if len(parts) <= 64 else self.many(parts)
-
-    def few(self, parts: list[str]) -> int:
-        rank, none = self.rank, 1 << 60
-        ranks = [rank.get(p, none) for p in zip(parts, parts[1:], strict=False)]
-        while ranks:
-            low = min(ranks)
-            if low == none:
-                break
-            i = ranks.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), none)
-        return len(parts)
+        ids = {ch: b for b, ch in self.letter.items()}
+        for a, b in pairs:
+            ids.setdefault(a + b, len(ids))
+        keys = np.array([ids[a] << 16 | ids[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.joined = np.array([ids[a + b] for a, b in pairs], np.int32)  # by rank
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, NEVER where it has none."""
+        key = left.astype(np.int64) << 16 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def together(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The tokens of short pieces of the bytes: a piece a row, each round joins the first best pair of every row."""
+        wide = int(size.max())
+        columns = np.arange(wide)
+        ids = data[np.minimum(begin[:, None] + columns, len(data) - 1)].astype(np.int32)
+        ids[columns >= size[:, None]] = NONE
+        ranks = np.full((len(ids), wide), NEVER, np.int32)
+        ranks[:, :-1] = self.ranked(ids[:, :-1], ids[:, 1:])
+        out, rows = size.astype(np.int64), np.arange(len(ids))
+        while True:
+            best = ranks.min(axis=1)
+            on = best < NEVER
+            if not on.any():
+                return out
+            if not on.all():
+                rows, ids, ranks, best = rows[on], ids[on], ranks[on], best[on]
+            each, at = np.arange(len(rows)), ranks.argmin(axis=1)
+            out[rows] -= 1
+            behind = np.minimum(columns + (columns > at[:, None]), wide - 1)  # the right one of the pair goes
+            ids = np.take_along_axis(ids, behind, axis=1)
+            ids[:, -1] = NONE
+            ids[each, at] = self.joined[best]
+            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= at[:, None]), wide - 1), axis=1)
+            ranks[:, -1] = NEVER
+            ranks[each, at] = self.ranked(ids[each, at], ids[each, np.minimum(at + 1, wide - 1)])
+            inner = np.flatnonzero(at)
+            ranks[inner, at[inner] - 1] = self.ranked(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+
+    def counts(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The tokens of each piece of the bytes."""
+        out, low = np.zeros(len(begin), np.int64), 0
+        for high in (8, 16, KEPT_LENGTH):  # rows of about one width together
+            at = np.flatnonzero((size > low) & (size <= high))
+            for i in range(0, len(at), 1 << 16):
+                few = at[i : i + (1 << 16)]
+                out[few] = self.together(data, begin[few], size[few])
+            low = high
+        for i in np.flatnonzero(size > low).tolist():
+            out[i] = self.many([self.letter[b] for b in data[begin[i] : begin[i] + size[i]].tolist()])
+        return out
 
     def many(self, parts: list[str | None]) -> int:
         n, rank = len(parts), self.rank
@@ -243,25 +280,36 @@ class Generation:
             todo, read = todo[on], read + 8
         return out
 
-    def compile(self, piece: bytes, tokens: int) -> bool:
-        """Add the transitions of a piece; False if there is no room."""
-        ended = piece + b"\xff" * (8 - len(piece) % 8)
-        if self.filled + len(ended) // 8 > self.kept:
-            return False
-        state, every, mask, source = 0, (1 << 64) - 1, (1 << self.bits) - 1, self.source
-        for i in range(0, len(ended), 8):
-            x = int.from_bytes(ended[i : i + 8], "little")
-            mixed = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 + state * 0x9E3779B97F4A7C15) & every  # as in slots()
-            at = ((mixed ^ (mixed >> 32)) * 0x94D049BB133111EB & every) >> (64 - self.bits)
-            while (there := source[at]) >= 0 and (there != state or self.symbol[at] != x):
-                at = (at + 1) & mask
-            if there < 0:
-                last = i + 8 == len(ended)
-                source[at], self.symbol[at], self.target[at], self.emits[at] = state, x, 0 if last else self.states, tokens if last else 0
-                self.filled += 1
-                self.states += not last
-            state = int(self.target[at])
-        return True
+    def add(self, state: np.ndarray, symbol: np.ndarray, target: np.ndarray, emits: np.ndarray) -> None:
+        """Transitions that are lacking, each once."""
+        slot, todo = self.slots(state, symbol), np.arange(len(state))
+        while len(todo):
+            free = self.source[slot[todo]] < 0
+            slot[todo[~free]] = (slot[todo[~free]] + 1) & ((1 << self.bits) - 1)
+            at, first = np.unique(slot[todo[free]], return_index=True)  # of those that want a slot one takes it
+            takes = todo[free][first]
+            self.source[at], self.symbol[at], self.target[at], self.emits[at] = state[takes], symbol[takes], target[takes], emits[takes]
+            left = np.ones(len(state), bool)
+            left[takes] = False
+            todo = todo[left[todo]]
+        self.filled += len(state)
+
+    def compile(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> None:
+        """Add the transitions of pieces of the bytes that are lacking, each once."""
+        eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+        state, todo, read = np.zeros(len(begin), np.int32), np.arange(len(begin)), 0
+        while len(todo):
+            left = np.minimum(size[todo] - read, 8)
+            symbol = eight[begin[todo] + read].view(np.uint64).ravel() | ENDS[left]
+            last = left < 8
+            ends, inner, x = todo[last], todo[~last], symbol[~last]
+            self.add(state[ends], symbol[last], np.zeros(len(ends), np.int32), tokens[ends])
+            lacking = self.find(state[inner], x) < 0
+            pairs = np.unique(np.stack([state[inner][lacking].astype(np.uint64), x[lacking]], axis=1), axis=0)
+            self.add(pairs[:, 0].astype(np.int32), pairs[:, 1], self.states + np.arange(len(pairs)), np.zeros(len(pairs), np.int32))
+            self.states += len(pairs)
+            state[inner] = self.target[self.find(state[inner], x)]
+            todo, read = inner, read + 8
 
 
 #: By the bytes of a block that belong to a piece: those behind are set, which no byte of UTF-8 is.
@@ -280,18 +328,23 @@ class Transducer:
         lacking = np.flatnonzero(out < 0)
         if not len(lacking):
             return out
-        raw = data.tobytes()
-        older = self.before.walk(data, begin[lacking], size[lacking]) if self.before else np.full(len(lacking), -1)
-        known: dict[bytes, int] = {}
-        for i, b, n, got in zip(lacking.tolist(), begin[lacking].tolist(), size[lacking].tolist(), older.tolist(), strict=True):
-            piece = raw[b : b + n]
-            tokens = known.get(piece)
-            if tokens is None:
-                known[piece] = tokens = got if got >= 0 else self.merges.count(piece)
-                if n <= KEPT_LENGTH and not self.now.compile(piece, tokens):
-                    self.before, self.now = self.now, Generation(self.kept)
-                    self.now.compile(piece, tokens)
-            out[i] = tokens
+        raw, numbers, first = data.tobytes(), {}, []
+        of = np.empty(len(lacking), np.int64)
+        for i, (b, n) in enumerate(zip(begin[lacking].tolist(), size[lacking].tolist(), strict=True)):
+            of[i] = k = numbers.setdefault(raw[b : b + n], len(numbers))
+            if k == len(first):
+                first.append(lacking[i])
+        begin, size = begin[first], size[first]  # one of each piece
+        tokens = self.before.walk(data, begin, size) if self.before else np.full(len(first), -1)
+        new = np.flatnonzero(tokens < 0)
+        tokens[new] = self.merges.counts(data, begin[new], size[new])
+        out[lacking] = tokens[of]
+        short = np.flatnonzero(size <= KEPT_LENGTH)
+        needs = np.cumsum(size[short] // 8 + 1)  # transitions at most
+        if len(needs) and self.now.filled + needs[-1] > self.kept:
+            self.before, self.now = self.now, Generation(self.kept)
+            short = short[needs <= self.kept]
+        self.now.compile(data, begin[short], size[short], tokens[short])
         return out
 
 

@@ -406,3 +406,14 @@ def test_chat_ties_go_by_text(spark, path):
     df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn int, role string, text string")
     wanted = "".join(f"user\n{t}\n" for t in sorted(t or "" for t in texts))
     assert chat.chat_digest(chat.format_chats(df, ranks), ranks).first()["turns_sha256"] == brute.sha(wanted)
+
+
+def test_counts_with_few_transitions(path, library, pairs, monkeypatch):
+    """Generations that are full after a few pieces change nothing, nor does the order of texts."""
+    texts = [*random_texts(1500, 9), *[t for _, t in pairs[:80]], "abcdefgh", "abcdefghabcdefgh", " abcdefg" * 9, "x" * 64, "x" * 63, "é" * 40]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for kept in (4, 64, 1000):
+        few = token_counts.Transducer(path("byte_bpe_50k.json"), kept)
+        monkeypatch.setattr(token_counts, "transducer", lambda _, few=few: few)
+        got = [n for i in range(0, len(texts), 97) for n in token_counts.count_tokens(texts[i : i + 97], "").tolist()]
+        assert got == want and few.now.filled <= kept and few.before is not None
