@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from flowprep.cluster import shared_dir, ship
 
 #: Bytes of text that an Arrow function handles at a time (a longer text is handled alone).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def quoted(name: str) -> Column:
