@@ -305,7 +305,7 @@ def shared_in_band(percent: int) -> str:
 
 #: Lists of more classes are compared by sketches in blocks instead of being joined. A side of a block has at most BLOCK classes
 #: and BLOCK_BYTES of sketches, or one class.
-LONG_LIST, BLOCK, BLOCK_BYTES = 64, 1024, 16 << 20
+LONG_LIST, BLOCK, BLOCK_BYTES = 64, 512, 16 << 20
 
 
 def codes(column: pa.ChunkedArray) -> np.ndarray:
