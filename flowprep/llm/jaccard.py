@@ -403,9 +403,9 @@ def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: fl
     degree = rows.groupBy("c").agg(F.count("*").alias("degree"))
     rows = written(rows.join(degree, "c"), "lists")
     nodes = rows.select("c").distinct()
-    known = scan.where("kind = 0 and n > 0").select("c", "id", "row", "n", "sketch")
-    one = F.struct("id", "row")  # any document of the class
-    known = known.join(nodes, "c", "left_semi").groupBy("c").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    one = F.struct("id", "row")  # any document of the class; summed up before the join, so a class of many copies is a row a task
+    known = scan.where("kind = 0 and n > 0").groupBy("c").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = known.join(nodes, "c", "left_semi")
     known = written(known.select("c", "one.*", "n", "sketch"), "classes")
 
     edges = roots = None

@@ -66,7 +66,7 @@ class Words:
         out, lens, codes = np.empty(len(self.starts), U), self.ends - self.starts, byte_codes(seed)
         at, total = 0, np.cumsum(lens)
         while at < len(lens):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), side="right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), side="right")))
             n = lens[at:to]
             place = np.cumsum(n) - n
             inner = np.arange(int(n.sum())) - np.repeat(place, n)
