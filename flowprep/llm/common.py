@@ -6,6 +6,7 @@ import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ def _store(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-#: The tables that each open scratch() has seen written, innermost last.
-_open: list[list[str]] = []
+#: The folders that each open scratch() of this thread or task has seen written, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open scratches", default=())
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -47,8 +48,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     fs, p = _store(spark, path)
     fs.deleteOnExit(p)
-    if _open:
-        _open[-1].append(path)
+    if _open.get():
+        _open.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,16 +80,17 @@ def scratch(spark: SparkSession):
     """Tables written inside go at the end, but for those that the frames handed to the yielded function read."""
     made: list[str] = []
     kept: list[DataFrame] = []
-    _open.append(made)
+    around = _open.get()
+    _open.set((*around, made))
     try:
         yield kept.append
     finally:
-        _open.pop()
+        _open.set(around)
         needed = {path.rpartition("/")[2] for df in kept for path in roots_of(df)}
         stays = [path for path in made if path.rpartition("/")[2] in needed]
         delete_tables(spark, [path for path in made if path not in stays])
-        if _open:
-            _open[-1].extend(stays)
+        if around:
+            around[-1].extend(stays)
 
 
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -158,15 +160,16 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[tuple[str, Column]],
     return arrow_map(src, run, schema)
 
 
-def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty)."""
+def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty), and makes one batch or several."""
     src, k = _inputs(df, text_col, inputs), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_blocks(batch, k):
-                if (out := fn(part)) is not None and out.num_rows:
-                    yield from (out.slice(i, 1 << 17) for i in range(0, out.num_rows, 1 << 17))
+                out = fn(part)
+                for one in [out] if isinstance(out, pa.RecordBatch) else out:
+                    yield from (one.slice(i, 1 << 17) for i in range(0, one.num_rows, 1 << 17))
 
     return arrow_map(src, run, schema)
 

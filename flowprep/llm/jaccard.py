@@ -39,8 +39,9 @@ from __future__ import annotations
 
 import itertools
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache, reduce
-from math import comb
+from math import comb, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +105,20 @@ def subsets_of(s: int, most: int, percent: int) -> int:
     return sum(comb(s, c) for c in subset_sizes(s, most, percent))
 
 
+def most_subsets(s: int, most: int, percent: int) -> float:
+    """The logarithm of the largest of the binomials that subsets_of() sums up, without making any of them."""
+    low, high = needed(s, -(-percent * s // 100), percent), min(s, needed(s, min(most, s * 100 // percent), percent))
+    c = min(max(low, s // 2), high)  # the nearest to half of the sizes between the ends
+    if not 0 < c < s:
+        return 0.0
+    return lgamma(s + 1) - lgamma(c + 1) - lgamma(s - c + 1)
+
+
 def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     """The size up to which sets are small, at the least cost: subsets emitted, against tokens emitted and list entries scanned.
 
-    Subsets only become more as the boundary rises, so the search ends where they alone cost more than the best so far.
+    Subsets only become more as the boundary rises, so the search ends where they alone cost more than the best so far. A
+    size whose largest binomial is beyond that ends it before a binomial of hundreds of digits is made.
     """
     every = sorted(sizes)
     after = [0.0]  # what the lists cost from each size on
@@ -118,16 +129,35 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int) -> int:
     best = (lists(0), 0)
     for s in every:
         x = s * 100 // percent  # the least boundary that spares sets of size s their lists
-        subsets = sum(sizes[t] * subsets_of(t, x, percent) for t in every[: bisect_right(every, x)])
+        subsets = 0
+        for t in every[: bisect_right(every, x)]:
+            # one more than the best cost settles it; the slack of 1 covers what lgamma and sizes without a subset of that size may be off
+            if most_subsets(t, x, percent) > log(max(best[0], 1.0)) + 1 + log(t):
+                return best[1]
+            subsets += sizes[t] * subsets_of(t, x, percent)
+            if subsets > best[0]:
+                return best[1]
         best = min(best, (subsets + lists(x), x))
-        if subsets > best[0]:
-            break
     return best[1]
 
 
-@lru_cache(4096)
-def combos(s: int, c: int) -> np.ndarray:
-    return np.array(list(itertools.combinations(range(s), c)), np.int64).reshape(-1, c)
+#: Numbers in a table of subsets that is kept, and subsets of one set that are made at a time.
+KEPT_COMBOS, COMBO_BLOCK = 1 << 16, 1 << 14
+
+
+def chosen(s: int, c: int) -> Iterator[np.ndarray]:
+    """All ways to choose c of s, in blocks of rows."""
+    ways = itertools.combinations(range(s), c)
+    for n in itertools.repeat(COMBO_BLOCK):
+        got = np.fromiter(itertools.chain.from_iterable(itertools.islice(ways, n)), np.int64)
+        if not c or not len(got):
+            return
+        yield got.reshape(-1, c)
+
+
+@lru_cache(64)
+def combos(s: int, c: int) -> list[np.ndarray]:
+    return list(chosen(s, c))
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -174,10 +204,20 @@ def subset_keys(tokens: np.ndarray, most: int, percent: int) -> np.ndarray:
     if not 0 < s <= most:
         return tokens[:0]
     mixed = mix(tokens)
-    return np.concatenate([tokens[:0], *(mix(mixed[combos(s, c)].sum(axis=1) + U(c << 56)) for c in subset_sizes(s, most, percent))])
+    whole, out = mixed.sum(keepdims=True), [tokens[:0]]
+    for c in subset_sizes(s, most, percent):
+        left = s - c  # a subset's sum is the whole's without that of the few tokens left out
+        if not left:
+            out.append(mix(whole + U(c << 56)))
+            continue
+        for ways in combos(s, left) if comb(s, left) * left <= KEPT_COMBOS else chosen(s, left):
+            out.append(mix(whole - mixed[ways].sum(axis=1) + U(c << 56)))
+    return np.concatenate(out)
 
 
 LONG = T.LongType()
+#: Subsets that are made before they are handed on; one set's are made together.
+EMITTED = 1 << 18
 
 
 def fields(longs: str, binaries: str = "") -> T.StructType:
@@ -206,8 +246,16 @@ def emit_keys(docs: DataFrame, text_col: str, n: int, percent: int, order: Order
     handed = docs.sparkSession.sparkContext.broadcast(order)  # of bounded size
     listed = -(-percent * (most + 1) // 100)  # sets from this size on emit tokens
 
-    def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        order, sets = handed.value, shingle_sets(part.column(2), n)
+    def fn(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets, at = shingle_sets(part.column(2), n), 0
+        costs = np.cumsum([subsets_of(len(s), most, percent) if len(s) <= most else 0 for s in sets])
+        while at < len(sets):  # a batch ends with the set that brings its subsets beyond EMITTED
+            to = 1 + int(np.searchsorted(costs[:-1], (costs[at - 1] if at else 0) + EMITTED))
+            yield rows(part.slice(at, to - at), sets[at:to])
+            at = to
+
+    def rows(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        order = handed.value
         classes = pa.array([class_of(s) for s in sets], pa.binary())
         owners, keys, places = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for s in sets:

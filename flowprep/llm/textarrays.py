@@ -14,6 +14,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+#: Bytes of words that are hashed at a time; no table of powers is longer.
+HASH_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,11 +64,15 @@ class Words:
     first: np.ndarray  # of each text: the number of its first word; one more at the end
 
     def hashes(self, seed: int = 1, base: int = 0x9E3779B97F4A7C55) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, in blocks of bounded memory."""
+        """A 64-bit hash of each word's bytes, in blocks of bounded memory: a word beyond a block is summed up in parts."""
         out, lens, codes = np.empty(len(self.starts), U), self.ends - self.starts, byte_codes(seed)
         at, total = 0, np.cumsum(lens)
         while at < len(lens):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 19), side="right")))
+            if lens[at] > HASH_BLOCK:
+                out[at] = self._long(int(self.starts[at]), int(self.ends[at]), codes, base)
+                at += 1
+                continue
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HASH_BLOCK, side="right")))
             n = lens[at:to]
             place = np.cumsum(n) - n
             inner = np.arange(int(n.sum())) - np.repeat(place, n)
@@ -75,6 +81,13 @@ class Words:
             at = to
         return mix(out)
 
+    def _long(self, start: int, end: int, codes: np.ndarray, base: int) -> np.uint64:
+        table, out = power_table(base, HASH_BLOCK)[:HASH_BLOCK], (end - start) & (1 << 64) - 1
+        for a in range(start, end, HASH_BLOCK):
+            part = codes[self.data[a : min(end, a + HASH_BLOCK)]]
+            out += int((part * table[: len(part)]).sum()) * pow(base, a - start, 1 << 64)
+        return U(out & (1 << 64) - 1)
+
 
 def words_of(texts: pa.Array, gaps: np.ndarray = SPACES, lower: bool = False) -> Words:
     data, at = bytes_of(texts)

@@ -3,10 +3,12 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowprep.llm import common, components, jaccard, lines, passages, quality
+from flowprep.llm import common, components, jaccard, lines, passages, quality, textarrays
 
 TWO = "doc_id long, text string"
 
@@ -267,3 +269,73 @@ def test_tables_that_nothing_reads_go(spark):
     with common.scratch(spark):
         lines.dedup_lines(df, min_docs=2).collect()
     assert set(os.listdir(folder)) - before == left
+
+
+def test_boundary_of_long_sets():
+    import time
+
+    began = time.perf_counter()
+    assert jaccard.boundary({5000: 3}, 2.0, 80) == 0 and jaccard.boundary({10: 3, 5000: 2}, 2.0, 80) == 0
+    assert jaccard.boundary({5: 3, 1_000_000: 2}, 9.0, 80) == 6 and jaccard.boundary({10**6: 5, 30_000: 2, 3: 1}, 9.0, 80) < 10
+    assert jaccard.boundary({7: 10, 4000: 3}, 3.0, 100) >= 7  # no subset of one size alone is needed
+    assert time.perf_counter() - began < 1
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = {rng.randint(1, 40): rng.randint(1, 1000) for _ in range(rng.randint(1, 12))}
+        mean, percent = rng.choice([0.0, 1.0, 1e3, 1e12]), rng.choice([50, 80, 95])
+        cost = lambda x: sum(n * jaccard.prefix_length(s, percent) * (1 + mean) for s, n in sizes.items() if s >= -(-percent * (x + 1) // 100)) + sum(n * jaccard.subsets_of(s, x, percent) for s, n in sizes.items() if s <= x)  # noqa: E731, B023
+        assert cost(jaccard.boundary(sizes, mean, percent)) == min(cost(s * 100 // percent) for s in [0, *sizes])
+
+
+def test_subset_keys_by_complements():
+    from itertools import combinations
+
+    for s, most in ((1, 3), (4, 6), (9, 12), (14, 20)):
+        tokens = np.sort(np.random.default_rng(s).integers(0, 1 << 63, s, np.int64).astype(np.uint64))
+        mixed = jaccard.mix(tokens)
+        want = [jaccard.mix(mixed[list(c)].sum(keepdims=True) + np.uint64(k << 56))[0] for k in jaccard.subset_sizes(s, most, 80) for c in combinations(range(s), k)]
+        assert sorted(jaccard.subset_keys(tokens, most, 80).tolist()) == sorted(int(w) for w in want)
+    assert np.concatenate(list(jaccard.chosen(22, 5))).shape == (26334, 5)
+
+
+@pytest.mark.parametrize("short", [0, 4])
+def test_jaccard_of_long_texts(spark, short):
+    rng = random.Random(short)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(5000)] for _ in range(3)]
+    texts.append([*texts[0][:4900], "other", "end"])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10 + i, f"a few words only {i % 2} and some more") for i in range(short)]
+    if short:
+        rows.append((99, " ".join(str(k) for k in range(30_000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jaccard.jaccard_components(df)) == wanted(brute.components(rows))
+
+
+def test_hashes_of_long_words(monkeypatch):
+    texts = pa.array(["é" * 700 + " ab", "x" * 1000 + "y", "x" * 1000 + "z", "x" * 1000 + "y"])
+    whole = textarrays.words_of(texts).hashes()
+    monkeypatch.setattr(textarrays, "HASH_BLOCK", 64)
+    assert whole.tolist() == textarrays.words_of(texts).hashes().tolist() and len(set(whole.tolist())) == 4
+
+
+def test_scratches_of_two_threads(spark):
+    """Each thread's tables belong to its own scratch."""
+    import threading
+
+    inside, over, rows = threading.Event(), threading.Event(), []
+
+    def other():
+        with common.scratch(spark) as keep:
+            inside.set()
+            over.wait(60)
+            out = common.written(spark.range(3).toDF("a"), "mine")
+            keep(out)
+        rows.append(out.count())
+
+    thread = threading.Thread(target=other)
+    with common.scratch(spark):
+        thread.start()
+        inside.wait(60)
+        common.written(spark.range(2).toDF("a"), "gone")
+        over.set()
+        thread.join()
+    assert rows == [3]
