@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, licences, lines, media, packing, passages, quality, sentencepieces, token_counts
+from . import chat, jaccard, licences, lines, media, packing, passages, quality, sentencepieces, token_counts, views
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         chat.op8_chat_format,
         licences.op9_licences,
         packing.op10_best_fit_packing,
+        views.op11_view_maintenance,
     )
 }
 
-SQL = {"op1_line_dedup": lines.SQL, "op5_substring_dedup": passages.SQL, "op7_jaccard_join": jaccard.SQL, "op8_chat_format": chat.SQL}
+SQL = {"op1_line_dedup": lines.SQL, "op5_substring_dedup": passages.SQL, "op7_jaccard_join": jaccard.SQL, "op8_chat_format": chat.SQL, "op11_view_maintenance": views.SQL}
