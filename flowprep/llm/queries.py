@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, licences, lines, media, packing, passages, quality, sentencepieces, token_counts, views
+from . import chat, jaccard, licences, lines, media, packing, passages, quality, secrets, sentencepieces, token_counts, views
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         licences.op9_licences,
         packing.op10_best_fit_packing,
         views.op11_view_maintenance,
+        secrets.op12_secret_scans,
     )
 }
 
-SQL = {"op1_line_dedup": lines.SQL, "op5_substring_dedup": passages.SQL, "op7_jaccard_join": jaccard.SQL, "op8_chat_format": chat.SQL, "op11_view_maintenance": views.SQL}
+SQL = {"op1_line_dedup": lines.SQL, "op5_substring_dedup": passages.SQL, "op7_jaccard_join": jaccard.SQL, "op8_chat_format": chat.SQL, "op11_view_maintenance": views.SQL, "op12_secret_scans": secrets.SQL}
