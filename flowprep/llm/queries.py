@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, licences, lines, media, packing, passages, quality, secrets, sentencepieces, token_counts, views
+from . import chat, jaccard, licences, lines, media, packing, passages, quality, secrets, sentencepieces, spellings, token_counts, views
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         packing.op10_best_fit_packing,
         views.op11_view_maintenance,
         secrets.op12_secret_scans,
+        spellings.op13_spelling_variants,
     )
 }
 
