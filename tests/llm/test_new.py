@@ -158,8 +158,9 @@ def brute_spellings(rows, least=6, least_n=5, times=5):
 
 def spelling_rows():
     rng = random.Random(5)
-    words = list({"".join(rng.choice("abé") for _ in range(rng.choice([5, 6, 7, 8]))) for _ in range(160)}) + ["aaaaaa", "aaaaaaa", "aaaaaaaa", "z" * 300, "z" * 301, "Unique", "uniquE", "uniqu×"]
-    texts = [" ".join(w.upper() if rng.random() < 0.1 and w.isascii() else w for w in words for _ in range(rng.choice([0, 0, 1, 1, 40]))) for _ in range(6)]
+    words = sorted({"".join(rng.choice("abé") for _ in range(rng.choice([5, 6, 7, 8]))) for _ in range(160)}) + ["aaaaaa", "aaaaaaa", "aaaaaaaa", "z" * 300, "z" * 301, "Unique", "uniquE", "uniqu×"]
+    weights = {w: rng.choice([1, 1, 2, 12, 60]) for w in words}
+    texts = [" ".join(w.upper() if rng.random() < 0.1 and w.isascii() else w for w in words for _ in range(weights[w])) for _ in range(6)]
     return [*enumerate(texts), (None, texts[0]), (3, texts[3]), (7, None), (8, ""), (9, "longer,longer;longer\nlonger longer")]
 
 
