@@ -141,10 +141,11 @@ class Order:
         return self.before[starts[group]], self.before[np.concatenate([starts[1:], [len(self.shared)]])[group]]
 
 
-def near_pairs(searching: list[str], searched: list[str], forward: bool) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(searching: list[str], searched: list[str], forward: bool, among: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Places in both lists of the near words that one edit makes: searching words have one length, searched ones the same or one more.
 
-    Edits are those behind the first half of a searching word, or else those within it.
+    Edits are those behind the first half of a searching word, or else those within it. With among, the searching words are
+    among those searched, so that an interval of one holds nothing new.
     """
     none = np.zeros(0, np.int64)
     if not searching or not searched:
@@ -160,7 +161,7 @@ def near_pairs(searching: list[str], searched: list[str], forward: bool) -> tupl
     for i in range(n // 2, m) if forward else range(n // 2):
         a, b = begin.interval(i)
         low, high = end.interval(m - 1 - i)
-        worth = np.flatnonzero((b - a > (n == m)) & (high - low > (n == m)))  # a word alone finds itself
+        worth = np.flatnonzero((b - a > among) & (high - low > among))
         if not len(worth):
             continue
         q, value = tree.report(a[worth], b[worth], low[worth], high[worth])
@@ -192,7 +193,7 @@ def search(group: pa.Table) -> pa.Table:
         short = np.flatnonzero(here & (size == l) & searching)
         for m in (l, l + 1):
             other = np.flatnonzero(here & (size == m) & searched)
-            a, b = near_pairs(word[short].tolist(), word[other].tolist(), way)
+            a, b = near_pairs(word[short].tolist(), word[other].tolist(), way, m == l and bool(searched[short].all()))
             a, b = short[a], other[b]
             out += [(a, b)] if m == l else [(a, b), (b, a)]
     left, right = (np.concatenate(side) for side in zip(*out, strict=True))
