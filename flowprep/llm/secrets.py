@@ -30,13 +30,14 @@ def either_case(word: str) -> str:
 
 
 KEYWORDS = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
-#: Kinds in order of ties, their patterns, the group that is the value, and the least length of it.
+#: Kinds in order of ties, their patterns, the group that is the value, and the least length of it. Runs of one class of
+#: characters are found whole, so that their least length can stand in the pattern; a short assignment takes its text with it.
 BASE = (
     ("assign", rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: Runs of letters, digits and signs of keys that are long enough to be one.
+#: Runs of letters, digits and signs of keys that are long enough to be one. Every long run of hex digits is in one.
 WIDE = ("live", r"[A-Za-z0-9+/_-]{20,}", 0, 20)
 ORDER = {kind: i for i, (kind, *_) in enumerate((*BASE, WIDE))}
 #: Numbers of a list that are summed up together.
@@ -58,6 +59,13 @@ def running(numbers: Column) -> Column:
     return F.when(F.size(numbers) <= CHUNK, sums(numbers)).otherwise(chunked(numbers))
 
 
+def may_match(text: Column, kind: str) -> Column:
+    """A cheap test that no text with a match of the kind fails."""
+    if kind == "assign":  # most places are passed over by one look at their character
+        return (text.contains(":") | text.contains("=")) & text.rlike(f"(?=[AaPpSsTt])({KEYWORDS})[\"']?\\x20*[:=]")
+    return text.contains("AKIA") if kind == "access" else text.rlike(WIDE[1])
+
+
 def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """An array of (start, rank, end, kind, value_start, value) of a pattern's matches whose value is long enough, from left to right.
 
@@ -73,7 +81,7 @@ def matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Co
         lambda x: F.struct((x["e"] - length(x["m"])).alias("start"), F.lit(ORDER[kind]).alias("rank"), x["e"].alias("end"), F.lit(kind).alias("kind"), (x["e"] - length(x["v"])).alias("value_start"), x["v"].alias("value")),
     )
     kind_of = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value_start:bigint,value:string>>"
-    return F.when(text.rlike(pattern), F.filter(found, lambda x: F.char_length(x["value"]) >= least)).otherwise(F.array()).cast(kind_of)
+    return F.when(may_match(text, kind), F.filter(found, lambda x: F.char_length(x["value"]) >= least)).otherwise(F.array()).cast(kind_of)
 
 
 def joined(spans: Column) -> Column:
@@ -108,6 +116,7 @@ def scan_secrets(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     at = {n: f"c{df.columns.index(n)}" for n in (text_col, id_col, repo_col, owner_col)}
     texts = own.select(F.col(at[id_col]).alias("id"), F.col(at[repo_col]).cast("string").alias("repo"), F.col(at[owner_col]).cast("string").alias("owner"), text_of(F.col(at[text_col])).alias("text"))
     found = texts.select("id", "repo", "owner", *[matches(F.col("text"), *kind).alias(kind[0]) for kind in (*BASE, WIDE)])
+    found = written(found, "matches")  # so that no pattern runs twice
     base = F.concat(*[k for k, *_ in BASE])
     spots = F.array_distinct(F.transform(F.concat(base, F.col("live")), lambda x: F.struct(x["value_start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
     told = F.transform(spots, lambda x: F.struct(x["start"], x["end"], looks_live(x["value"]).alias("live"), *[h.alias(n) for n, h in zip(("h1", "h2"), hashes(x["value"]), strict=True)]))
