@@ -16,6 +16,7 @@ from .functions import columns as C
 from .functions import schema as S
 from .ml import explain, net, trees
 from .operators import dedup, labels, metrics, monitor, prep, profile, ranking, sampling, splits
+from .plans import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,7 +43,8 @@ BENIGN, ATTACK, DROPPED = ["purchase"], ["view", "click"], ["signup"]  # error h
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "event_type", F.lit("\t"))).otherwise(F.col("event_type"))
+    wide = F.when(F.col("event_id") % 7 == 1, F.concat(F.lit("\u00a0"), "event_type", F.lit("\u3000"))).otherwise(F.col("event_type"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), "event_type", F.lit("\t"))).otherwise(wide)
     time = F.when(F.col("event_id") % 29 != 0, F.col("ts"))
     return e.select("event_id", (F.col("user_id") % 6).cast("string").alias("file"), raw.alias("label"), time.alias("ts"), "user_id", "value")
 
@@ -51,15 +53,16 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.decide(flows(spark, sf_dir), "label", labels.decision_table(spark, BENIGN, ATTACK, DROPPED))
 
 
+ENDS = f"^[{C.WHITE}]+|[{C.WHITE}]+$"
 FLOWS = """flows AS (
-    SELECT event_id, CAST(user_id % 6 AS VARCHAR) AS file, CASE WHEN event_id % 3 = 0 THEN ' ' || event_type || chr(9) ELSE event_type END AS label,
+    SELECT event_id, CAST(user_id % 6 AS VARCHAR) AS file, CASE WHEN event_id % 3 = 0 THEN ' ' || event_type || chr(9) WHEN event_id % 7 = 1 THEN chr(160) || event_type || chr(12288) ELSE event_type END AS label,
         CASE WHEN event_id % 29 <> 0 THEN ts END AS ts, user_id, value
     FROM events
 ), decided AS (
-    SELECT *, regexp_replace(label, '^\\s+|\\s+$', '', 'g') AS raw_label,
-        CASE regexp_replace(label, '^\\s+|\\s+$', '', 'g') WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 255 END AS y
+    SELECT *, regexp_replace(label, '@ENDS', '', 'g') AS raw_label,
+        CASE regexp_replace(label, '@ENDS', '', 'g') WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 1 ELSE 255 END AS y
     FROM flows
-)""".replace("\\\\", "\\")
+)""".replace("@ENDS", ENDS)
 
 SPLIT = (
     "WITH "
@@ -231,21 +234,23 @@ def size_estimate(spark, sf_dir):
 
 
 @query(
-    """WITH head AS (SELECT event_id, user_id, value, event_type, event_id - lag(event_id) OVER (ORDER BY event_id) AS d1, user_id - lag(user_id) OVER (ORDER BY event_id) AS d2 FROM events WHERE event_id < 20000),
+    """WITH head AS (SELECT event_id, user_id, value, event_type FROM events WHERE xor(event_id, 5) < 20000),
+    steps AS (SELECT event_id - lag(event_id) OVER (ORDER BY event_id) AS d1, user_id - lag(user_id) OVER (ORDER BY user_id) AS d2 FROM head),
     sums AS (
-        SELECT 'event_id' AS "column", count(event_id) AS n, count(DISTINCT event_id) AS n_distinct, count(DISTINCT d1) AS n_steps, 'i' AS kind FROM head
-        UNION ALL SELECT 'user_id', count(user_id), count(DISTINCT user_id), count(DISTINCT d2), 'i' FROM head
-        UNION ALL SELECT 'value', count(value), count(DISTINCT value), 0, 'f' FROM head
-        UNION ALL SELECT 'event_type', count(event_type), count(DISTINCT event_type), 0, 's' FROM head)
-    SELECT "column", n, n_distinct, n_steps, CASE WHEN n < 1000 OR n <> n_distinct THEN 'ok' WHEN kind = 's' OR (kind = 'i' AND n_steps = 1) THEN 'error' WHEN kind = 'f' THEN 'note' ELSE 'ok' END AS verdict FROM sums"""
+        SELECT 'event_id' AS "column", count(event_id) AS n, count(DISTINCT event_id) AS n_distinct, (SELECT CASE WHEN count(DISTINCT d1) = 1 THEN max(d1) END FROM steps) AS step, 'i' AS kind FROM head
+        UNION ALL SELECT 'user_id', count(user_id), count(DISTINCT user_id), (SELECT CASE WHEN count(DISTINCT d2) = 1 THEN max(d2) END FROM steps), 'i' FROM head
+        UNION ALL SELECT 'value', count(value), count(DISTINCT value), NULL, 'f' FROM head
+        UNION ALL SELECT 'event_type', count(event_type), count(DISTINCT event_type), NULL, 's' FROM head)
+    SELECT "column", n, n_distinct, CASE WHEN n = n_distinct THEN step END AS step, CASE WHEN n < 1000 OR n <> n_distinct THEN 'ok' WHEN kind = 's' OR step IS NOT NULL THEN 'error' WHEN kind = 'f' THEN 'note' ELSE 'ok' END AS verdict FROM sums"""
 )
 def identifier_detection(spark, sf_dir):
-    return profile.identifier_columns(read(spark, sf_dir, "events"), ["event_id", "user_id", "value", "event_type"], "event_id")
+    """Rows stand in another order than their ids, which are a run all the same."""
+    return profile.identifier_columns(read(spark, sf_dir, "events"), ["event_id", "user_id", "value", "event_type"], F.col("event_id").bitwiseXOR(F.lit(5)))
 
 
-@query("WITH " + FLOWS + """, marked AS (SELECT file, strftime(date_trunc('day', e.ts), '%Y-%m-%d') AS day, upper(regexp_replace(CASE WHEN raw_label = 'purchase' THEN ' benign ' ELSE raw_label END, '^\\s+|\\s+$', '', 'g')) IN ('BENIGN', 'NORMAL') AS benign FROM decided d JOIN events e USING (event_id))
+@query("WITH " + FLOWS + """, marked AS (SELECT file, strftime(date_trunc('day', e.ts), '%Y-%m-%d') AS day, upper(regexp_replace(CASE WHEN raw_label = 'purchase' THEN ' benign ' ELSE raw_label END, '@ENDS', '', 'g')) IN ('BENIGN', 'NORMAL') AS benign FROM decided d JOIN events e USING (event_id))
     SELECT 'file' AS level, file AS name, count(*) FILTER (WHERE benign) AS n_benign, count(*) FILTER (WHERE NOT benign) AS n_attack, count(*) FILTER (WHERE benign) = 0 AS no_benign FROM marked GROUP BY file
-    UNION ALL SELECT 'day', day, count(*) FILTER (WHERE benign), count(*) FILTER (WHERE NOT benign), count(*) FILTER (WHERE benign) = 0 FROM marked GROUP BY day""".replace("\\\\", "\\"))
+    UNION ALL SELECT 'day', day, count(*) FILTER (WHERE benign), count(*) FILTER (WHERE NOT benign), count(*) FILTER (WHERE benign) = 0 FROM marked GROUP BY day""".replace("@ENDS", ENDS))
 def benign_map(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     label = F.when(F.col("event_type") == "purchase", " benign ").otherwise(F.col("event_type"))
@@ -282,7 +287,14 @@ def file_offsets(spark, sf_dir):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS is_first FROM documents")
 def dedup_first_occurrence(spark, sf_dir):
-    return dedup.first_occurrences(read(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id", "is_first")
+    return dedup.first_occurrences(read(spark, sf_dir, "documents"), ["text"], ["doc_id"], ["doc_id"])
+
+
+@query("SELECT text, count(*) AS n, 1::BIGINT AS n_first FROM documents GROUP BY text")
+def dedup_ties(spark, sf_dir):
+    """Without an order that tells rows apart, one of each group of twins is first all the same."""
+    first = dedup.first_occurrences(read(spark, sf_dir, "documents").withColumn("same", F.lit(1)), ["text"], ["same"], ["text"])
+    return first.groupBy("text").agg(F.count("*").alias("n"), F.count_if("is_first").alias("n_first"))
 
 
 @query("SELECT CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct, CAST(sum(c) - count(*) AS BIGINT) AS n_duplicates, max(c) AS largest_group FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)")
@@ -300,7 +312,7 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedpri
 )
 def dedup_then_scope(spark, sf_dir):
     """Duplicates go before scope is looked at: an out-of-scope row can be the first of its twins."""
-    first = dedup.first_occurrences(read(spark, sf_dir, "lineitem"), _TWINS, _ORDER).where("is_first")
+    first = dedup.first_occurrences(read(spark, sf_dir, "lineitem"), _TWINS, _ORDER, ["l_returnflag"]).where("is_first")
     return first.where("l_returnflag <> 'N'").groupBy("l_returnflag").agg(F.count("*").alias("n_kept"))
 
 
@@ -419,6 +431,20 @@ def subsample_keep_benign(spark, sf_dir):
     return _thinned(spark, sf_dir).select("event_id", "split")
 
 
+PREPARED = (
+    _THINNED.replace(", ranked AS (", ", firsts AS (SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY value ORDER BY file, event_id) = 1), ranked AS (", 1)
+    .replace("FROM decided WHERE", "FROM firsts WHERE")
+    .replace("md5('3|' || event_id), event_id", "md5('0|' || file || '|' || event_id), file || '|' || event_id")
+)
+ROLES = prepare.Roles("label", "file", "event_id", "ts", ["user_id", "ts"], BENIGN, ATTACK, DROPPED)
+
+
+@query(PREPARED + " SELECT file, event_id, raw_label, y, split FROM thinned")
+def prepared_split(spark, sf_dir):
+    """The split as the preparation writes it: of the rows in scope that no earlier one repeats, thinned."""
+    return prepare.indexed(flows(spark, sf_dir), ROLES, 1.5).cut("raw_label", "y", "split").select("file", "event_id", "raw_label", "y", "split")
+
+
 @query(_THINNED + " " + SUMMARY.format("thinned"))
 def split_summary(spark, sf_dir):
     return splits.summary(_thinned(spark, sf_dir))
@@ -729,12 +755,22 @@ def trial_summary(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT avg(o_totalprice) AS m, sum(o_totalprice * o_totalprice) - count(*) * avg(o_totalprice) * avg(o_totalprice) AS t FROM orders)
-    SELECT 'o_orderstatus' AS parameter, round(sum(n * (gm - m) * (gm - m)) / any_value(t), 6) AS importance FROM (SELECT o_orderstatus, count(*) AS n, avg(o_totalprice) AS gm FROM orders GROUP BY 1), a
-    UNION ALL SELECT 'o_orderpriority', round(sum(n * (gm - m) * (gm - m)) / any_value(t), 6) FROM (SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) AS gm FROM orders GROUP BY 1), a"""
+    """WITH t AS (SELECT o_orderstatus, o_orderpriority, o_orderkey, o_totalprice * o_totalprice AS area, o_totalprice AS v FROM orders),
+    q AS (SELECT list_distinct(quantile_cont(o_orderkey::DOUBLE, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS keys, list_distinct(quantile_cont(area, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS areas FROM t),
+    cells AS (
+        SELECT 'o_orderstatus' AS parameter, o_orderstatus AS cell, v FROM t
+        UNION ALL SELECT 'o_orderpriority', o_orderpriority, v FROM t
+        UNION ALL SELECT 'o_orderkey', len(list_filter(keys, lambda e: o_orderkey > e))::VARCHAR, v FROM t, q
+        UNION ALL SELECT 'area', len(list_filter(areas, lambda e: area > e))::VARCHAR, v FROM t, q),
+    g AS (SELECT parameter, cell, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM cells GROUP BY 1, 2),
+    m AS (SELECT parameter, sum(n * m) / sum(n) AS mean FROM g GROUP BY 1),
+    s AS (SELECT parameter, sum(n)::DOUBLE AS n, count(*) AS k, sum(n * (m - mean) * (m - mean)) AS b, sum(n * s) AS w FROM g JOIN m USING (parameter) GROUP BY 1)
+    SELECT parameter, round(greatest((b - (k - 1) * w / (n - k)) / (b + w), 0), 5) AS importance FROM s"""
 )
 def parameter_importance(spark, sf_dir):
-    return monitor.parameter_importance(read(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice").withColumn("importance", F.round("importance", 6))
+    """Two parameters of few values, one of a value for each trial that tells nothing, one whose square the value is."""
+    o = read(spark, sf_dir, "orders").withColumn("area", F.col("o_totalprice") * F.col("o_totalprice"))
+    return monitor.parameter_importance(o, ["o_orderstatus", "o_orderpriority", "o_orderkey", "area"], "o_totalprice").withColumn("importance", F.round("importance", 5))
 
 
 @query(

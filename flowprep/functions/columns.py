@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,9 +29,21 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(d) & ~is_infinite(d), d)
 
 
+#: The characters that count as white space at a text's ends, blanks of all widths and separators too.
+WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def stripped(x: Column | str) -> Column:
-    """Text without white space at its ends (trim() takes blanks only)."""
-    return F.regexp_replace(col(x).cast("string"), r"^\s+|\s+$", "")
+    """Text without any Unicode white space at its ends (trim() takes blanks only)."""
+    return F.regexp_replace(col(x).cast("string"), f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def own_name(taken: Iterable[str], name: str) -> str:
+    """The name for a column of an operator's own: one that no column has, whatever its case."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def order_key(seed: int | str, *keys: Column | str) -> Column:

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import materialised
+from ..functions.columns import own_name
+
 
 def digest(columns: Sequence[str]) -> list[Column]:
     """Two 64-bit hashes of a row's columns. Nulls are equal to each other and to nothing else, as are NaNs; 0.0 equals -0.0."""
@@ -18,14 +21,20 @@ def digest(columns: Sequence[str]) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts).alias(f"__h{seed}") for seed in (1, 2)]
 
 
-def first_occurrences(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """df with is_first: whether a row is the first of its twins. Nulls are equal, as are NaNs.
+def first_occurrences(df: DataFrame, columns: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns to keep (all, if none are named) with is_first: whether a row is the first of its twins. Nulls are equal, as are NaNs.
 
-    The first of each group is a partial minimum, so a group of any size is one row for each task before the shuffle.
+    Rows that tie in the order stand as they are read: rows are numbered in a table written once, so exactly one of each group
+    is first. Digests stand for the columns, so only what is kept, the order and the digests are written. The first of each
+    group is a partial minimum, so a group of any size is one row for each task before the shuffle.
     """
-    marked = df.select("*", *digest(columns))
-    first = marked.groupBy("__h1", "__h2").agg(F.min(F.struct(*order)).alias("__first"))
-    return marked.join(first, ["__h1", "__h2"]).withColumn("is_first", F.struct(*[F.col(o) for o in order]).eqNullSafe(F.col("__first"))).select(*df.columns, "is_first")
+    kept = list(df.columns if keep is None else keep)
+    needed = list(dict.fromkeys([*kept, *order]))
+    row, first = own_name(needed, "row_number"), own_name(needed, "first_row")
+    held = materialised(df.select(*[F.col(f"`{c}`") for c in needed], *digest(columns), F.monotonically_increasing_id().alias(row)), "twins")
+    place = F.struct(*[F.col(f"`{o}`") for o in order], F.col(row).alias("row_of_first"))
+    firsts = held.groupBy("__h1", "__h2").agg(F.min(place)["row_of_first"].alias(first))
+    return held.join(firsts, ["__h1", "__h2"]).select(*[F.col(f"`{c}`") for c in kept], (F.col(row) == F.col(first)).alias("is_first"))
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import ratio
+from ..functions.columns import finite, ratio
+from .quantiles import quantiles
 from .ranks import with_previous
 
 
@@ -63,15 +65,34 @@ def trial_summary(trials: DataFrame, state: str = "state", value: str = "value",
     return trials.agg(F.count_if(done).alias("n_complete"), best.alias("b")).select("n_complete", F.col(f"b.{number}").alias("best_number"), F.col(f"b.{value}").alias("best_value"))
 
 
-def parameter_importance(trials: DataFrame, parameters: Sequence[str], value: str = "value") -> DataFrame:
-    """(parameter, importance): the share of the value's variance that lies between a parameter's values (the correlation ratio)."""
-    parts = []
+def parameter_importance(trials: DataFrame, parameters: Sequence[str], value: str = "value", bins: int = 8) -> DataFrame:
+    """(parameter, importance): each parameter's main effect on the value, as a share of the value's variance.
+
+    A functional analysis of variance on cells: text and booleans by their values, numbers by `bins` ranges between exact quantiles
+    (so logarithmic ones need no scale of their own). The variance between k cells is lowered by what k - 1 of them show by
+    chance, (k - 1) times the mean variance within cells, so a parameter of pure noise gets about 0, however many values it has.
+    Null is a cell of its own; trials without a value don't count; without variance or with a cell for each trial it is 0.
+    """
+    kinds = {f.name: f.dataType for f in trials.schema}
+    done = trials.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    numbers = {p: finite(p) for p in parameters if isinstance(kinds[p], T.NumericType)}
+    cuts = quantiles(done, numbers, [i / bins for i in range(1, bins)]) if numbers else {}
+    cells = []
     for p in parameters:
-        groups = trials.groupBy(F.col(p).cast("string").alias("g")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.sum(F.col(value) * F.col(value)).alias("q"))
-        n, mean = F.sum("n"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
-        between = F.sum(F.col("n") * F.col("m") * F.col("m")) - n * mean * mean
-        parts.append(groups.agg(F.round(F.coalesce(ratio(between, F.sum("q") - n * mean * mean), F.lit(0.0)), 9).alias("importance")).select(F.lit(p).alias("parameter"), "importance"))
-    return reduce(DataFrame.unionByName, parts)
+        if p in numbers:
+            edges = sorted({e for e in cuts[p] if e is not None})
+            cell = F.when(numbers[p].isNotNull(), sum((F.when(numbers[p] > e, 1).otherwise(0) for e in edges), F.lit(0)).cast("string"))
+        else:
+            cell = F.col(f"`{p}`").cast("string")
+        cells.append(F.struct(F.lit(p).alias("parameter"), cell.alias("cell")))
+    long = done.select(F.inline(F.array(*cells)), F.col(value).cast("double").alias("v"))  # one scan for all parameters
+    groups = long.groupBy("parameter", "cell").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    n, k, mean = F.sum("n"), F.count("*"), F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    between, within = F.sum(F.col("n") * F.col("m") * F.col("m")) - n * mean * mean, F.sum(F.col("n") * F.col("s"))
+    sums = groups.groupBy("parameter").agg(n.alias("n"), k.alias("k"), F.greatest(between, F.lit(0.0)).alias("b"), within.alias("w"))
+    share = (F.col("b") - (F.col("k") - 1) * ratio(F.col("w"), F.col("n") - F.col("k"))) / F.nullif(F.col("b") + F.col("w"), F.lit(0.0))
+    every = trials.sparkSession.createDataFrame([(p,) for p in parameters], "parameter string")
+    return every.join(sums, "parameter", "left").select("parameter", F.round(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), 9).alias("importance"))
 
 
 def extrapolated(measured: DataFrame, rows: int, benign: int, session_s: float) -> DataFrame:

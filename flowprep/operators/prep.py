@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions.columns import finite
 from .quantiles import quantiles as quantiles_of
+from .ranks import RANK, SIZE, with_ranks
 
 
 def fit(df: DataFrame, columns: Sequence[str], most_missing: float = 0.5) -> DataFrame:
@@ -84,27 +85,30 @@ def quantile_normal(value: Column, grid: Sequence[float]) -> Column:
 
 
 def write_shards(df: DataFrame, path: str, rows: int, most: int, split: str = "split") -> int:
-    """Parquet files of about `rows` rows by split, as many as are returned; ValueError if a split needs more than `most`.
+    """Parquet files of exactly `rows` rows by split, the last one of each with what is left; how many are returned.
 
-    A split's rows are dealt to its files by a hash, and each file is one task's; what the files hold is checked afterwards.
+    ValueError, before anything is written, if a split needs more than `most`. Rows get numbers within their split where they
+    are (one sum for each task and split), each run of `rows` numbers is one task's and one file, rows that are alike
+    too; what the files hold is checked afterwards.
     """
-    sizes = {r[split]: (r["n"], r["files"]) for r in df.groupBy(split).agg(F.count("*").alias("n"), F.ceil(F.count("*") / rows).alias("files")).collect()}  # one row a split
-    over = [s for s, (_, files) in sizes.items() if files > most]
+    sizes = {r[split]: r["n"] for r in df.groupBy(split).agg(F.count("*").alias("n")).collect()}  # one row a split
+    files = {s: -(-n // rows) for s, n in sizes.items()}
+    over = [s for s, n in files.items() if n > most]
     if over:
         raise ValueError(f"splits {over} need more than {most} shards")
-    wanted = sum(files for _, files in sizes.values())
     if not sizes:
         df.write.mode("overwrite").partitionBy(split).parquet(path)
         return 0
     first, at = {}, 0  # a split's files are numbered from here on
-    for s, (_, files) in sizes.items():
-        first[s], at = at, at + files
-    case = F.coalesce(*[F.when(F.col(split).eqNullSafe(F.lit(s)), F.lit(first[s]) + F.pmod(F.xxhash64(*df.columns), F.lit(sizes[s][1]))) for s in sizes]).cast("int")
-    df.repartitionById(wanted, case).write.mode("overwrite").partitionBy(split).parquet(path)
+    for s, n in files.items():
+        first[s], at = at, at + n
+    ranked = with_ranks(df, [split], [])
+    shard = F.coalesce(*[F.when(F.col(split).eqNullSafe(F.lit(s)), F.lit(first[s])) for s in sizes]) + F.floor((F.col(RANK) - 1) / rows)
+    ranked.repartitionById(at, shard.cast("int")).drop(RANK, SIZE).write.mode("overwrite").partitionBy(split).parquet(path)
     held = {r[split]: r["n"] for r in df.sparkSession.read.parquet(path).groupBy(split).agg(F.count("*").alias("n")).collect()}
-    if held != {s: n for s, (n, _) in sizes.items()}:
+    if held != sizes:
         raise ValueError(f"the shards hold {held}, not {sizes}")
-    return wanted
+    return at
 
 
 def read_split(spark, path: str, split: str | int, columns: Sequence[str], rows: int | None = None, labels: tuple[str, Mapping[int, int]] | None = None) -> DataFrame:

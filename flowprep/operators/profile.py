@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
 from ..functions.columns import col, finite, is_infinite
 from .labels import is_benign
 from .ranks import with_previous
@@ -37,11 +41,29 @@ def shown_columns(profile: DataFrame) -> DataFrame:
 
 
 def distinct_capped(df: DataFrame, columns: Sequence[str], cap: int) -> DataFrame:
-    """(column, n_distinct, shown): exact counts up to cap, else "capped_at_<cap>". One scan serves all columns: their distinct
-    values are shuffled groups."""
-    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]))
-    seen = df.select(values.alias("x")).select("x.*").where("v is not null").distinct().groupBy("column").agg(F.count("*").alias("n"))
-    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(seen, "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
+    """(column, n_distinct, shown): exact counts up to cap, else "capped_at_<cap>".
+
+    One scan serves all columns. A task hands on at most cap + 1 values of a column, since more settle its answer: what is
+    shuffled is bounded by the cap, not by the distinct values.
+    """
+    names = list(columns)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[set[str]] = [set() for _ in names]
+        for batch in batches:
+            for have, values in zip(found, batch.columns, strict=True):
+                if len(have) <= cap:
+                    have.update(v for v in pc.unique(values).to_pylist() if v is not None)
+        for i, have in enumerate(found):
+            few = list(itertools.islice(have, cap + 1))
+            for at in range(0, len(few), 1 << 14):
+                part = few[at : at + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(part), pa.int32()), pa.array(part, pa.string())], names=["i", "v"])
+
+    ship(df.sparkSession)
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+    counts = texts.mapInArrow(seen, "i int, v string").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, column string").join(counts, "i", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
     shown = F.when(F.col("n") > cap, F.lit(f"capped_at_{cap}")).otherwise(F.col("n").cast("string"))
     return every.select("column", F.least("n", F.lit(cap)).alias("n_distinct"), shown.alias("shown"))
 
@@ -56,24 +78,39 @@ def size_estimate(df: DataFrame, numeric: int, bytes_each: int = 4) -> DataFrame
 
 
 def identifier_columns(df: DataFrame, columns: Sequence[str], position: Column | str, first: int = 20_000, least: int = 1_000) -> DataFrame:
-    """(column, n, n_distinct, n_steps, verdict): among the `first` rows, unique text or evenly stepped whole numbers are identifiers
-    ("error"), unique other numbers "note", the rest "ok". Fewer than `least` rows are not judged. One sort serves all columns."""
+    """(column, n, n_distinct, step, verdict): among the `first` rows, unique text or evenly stepped whole numbers are identifiers
+    ("error"), unique other numbers "note", the rest "ok". Fewer than `least` rows are not judged.
+
+    Whether numbers are evenly stepped doesn't depend on their order: n different numbers are a run if their range is n - 1 steps
+    and all lie a whole number of steps above the least. step is that of a run, else null.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
-    head = df.select(*columns, col(position).alias("__at")).where(F.col("__at") < first)
-    order = Window.orderBy("__at")  # at most `first` rows
-    whole = [c for c in columns if isinstance(kinds[c], T.IntegralType)]
-    head = head.withColumns({f"__d_{c}": F.col(c) - F.lag(c).over(order) for c in whole})
+    whole = {c for c in columns if isinstance(kinds[c], T.IntegralType)}
+    head = df.where(col(position) < first).select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(f"c{i}").alias(f"n{i}"), F.count_distinct(f"c{i}").alias(f"d{i}")]
+        if c in whole:
+            low, high = F.min(f"c{i}").cast("decimal(38,0)"), F.max(f"c{i}").cast("decimal(38,0)")
+            aggs += [low.alias(f"low{i}"), (high - low).alias(f"range{i}")]
+    sums = head.agg(*aggs)  # one row
+    for i, c in enumerate(columns):
+        if c in whole:
+            gaps = F.nullif(F.col(f"d{i}") - 1, F.lit(0)).cast("decimal(38,0)")
+            fits = (F.col(f"n{i}") == F.col(f"d{i}")) & (F.col(f"range{i}") % gaps == 0)
+            sums = sums.withColumn(f"step{i}", F.when(fits, (F.col(f"range{i}") / gaps).cast("long")))
+    both = head.join(F.broadcast(sums))
+    off = [F.count_if((F.col(f"c{i}") - F.col(f"low{i}")) % F.col(f"step{i}") != 0).alias(f"off{i}") for i, c in enumerate(columns) if c in whole]
+    held = [F.first(n).alias(n) for n in sums.columns if not n.startswith(("low", "range"))]
+    one = both.agg(*held, *off)
     parts = []
-    for c in columns:
-        steps = F.count_distinct(f"__d_{c}") if c in whole else F.lit(0).cast("long")
-        one = head.agg(F.count(c).alias("n"), F.count_distinct(c).alias("n_distinct"), steps.alias("n_steps"))
-        unique = (F.col("n") == F.col("n_distinct")) & (F.col("n") >= least)
-        verdict = "error" if isinstance(kinds[c], T.StringType) else "note"
-        parts.append(one.select(F.lit(c).alias("column"), "n", "n_distinct", "n_steps", F.when(unique & (F.col("n_steps") == 1), "error").when(unique, verdict if c not in whole else "ok").otherwise("ok").alias("verdict")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for i, c in enumerate(columns):
+        step = F.when(F.col(f"off{i}") == 0, F.col(f"step{i}")) if c in whole else F.lit(None).cast("long")
+        unique = (F.col(f"n{i}") == F.col(f"d{i}")) & (F.col(f"n{i}") >= least)
+        run = step.isNotNull() if c in whole else F.lit(isinstance(kinds[c], T.StringType))
+        said = F.when(unique & run, "error").when(unique & ~run & F.lit(c not in whole), "note").otherwise("ok")
+        parts.append(F.struct(F.lit(c).alias("column"), F.coalesce(f"n{i}", F.lit(0)).alias("n"), F.coalesce(f"d{i}", F.lit(0)).alias("n_distinct"), step.alias("step"), F.coalesce(said, F.lit("ok")).alias("verdict")))
+    return one.select(F.inline(F.array(*parts)))
 
 
 def benign_map(df: DataFrame, file: Column | str, day: Column | str, label: Column | str) -> DataFrame:

@@ -9,19 +9,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import materialised
+from ..functions.columns import own_name
+
 RANK, SIZE = "__rank", "__n"
 
 
 def with_ranks(df: DataFrame, stream: Sequence[str], order: Sequence[Column], block: Column | None = None) -> DataFrame:
     """df with __rank (from 1) among its stream in an order, and __n, the stream's size.
 
-    With a block (an expression that never falls along the order; nulls come first), rows are ranked within their block
-    and the blocks' sizes are summed up along the stream: the windows hold a block's rows, then a row for each block.
-    Without one, a stream's rows are sorted by one task.
+    Rows are dealt to partitions by ranges of (stream, order) between sampled splitters, sorted there and written once with
+    their places. A place holds the partition and the row's number in it, so a row's rank is its distance from the first row
+    of its stream in the partition, and what the stream has in partitions before: a sum over a row for each partition and
+    stream. No window and no task holds more rows than a range does, also if all rows are of one instant, or alike: rows
+    that tie are numbered as they are read. Without an order, rows stay where they are and only the sums are shuffled.
+
+    With a block (an expression that never falls along the order; nulls come first) nothing is written: rows are ranked
+    within their block by a window, so blocks must be known to be small.
     """
-    if block is None:
-        w = Window.partitionBy(*stream)
-        return df.withColumns({RANK: F.row_number().over(w.orderBy(*order)).cast("long"), SIZE: F.count("*").over(w)})
+    if block is not None:
+        return _ranks_in_blocks(df, stream, order, block)
+    kept, keys = df.columns, [F.col(f"`{s}`").asc_nulls_first() for s in stream]
+    tie, place = own_name(kept, "tie"), own_name(kept, "place")
+    if order:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        by = [*keys, *order, F.col(tie)]
+        sorted_ = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *by).sortWithinPartitions(*by).drop(tie)
+    else:
+        sorted_ = df.sortWithinPartitions(*keys) if keys else df
+    held = materialised(sorted_.withColumn(place, F.monotonically_increasing_id()), "ranks")
+    part = F.shiftrightunsigned(place, 33)  # the partition's number: a row's number takes the low 33 bits
+    own = [F.col(f"`{s}`").alias(f"s{i}") for i, s in enumerate(stream)]
+    sums = held.groupBy(*own, part.alias("part")).agg(F.count("*").alias("c"), F.min(place).alias("first"))
+    along = Window.partitionBy(*[f"s{i}" for i in range(len(stream))])
+    before = F.coalesce(F.sum("c").over(along.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[f"s{i}" for i in range(len(stream))], "part", (before - F.col("first") + 1).alias("shift"), F.sum("c").over(along).alias("size"))
+    rows = held.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *own, F.col(place).alias("at"))
+    same = reduce(lambda a, b: a & b, [rows[f"s{i}"].eqNullSafe(sums[f"s{i}"]) for i in range(len(stream))], F.shiftrightunsigned(rows["at"], 33) == sums["part"])
+    return rows.join(sums, same).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], (F.col("at") + F.col("shift")).alias(RANK), F.col("size").alias(SIZE))
+
+
+def _ranks_in_blocks(df: DataFrame, stream: Sequence[str], order: Sequence[Column], block: Column) -> DataFrame:
     kept = df.columns
     blocked = df.withColumn("__blk", block)
     along = Window.partitionBy(*stream)

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import half_even, order_key, ratio
-from .ranks import RANK, SIZE, digest_block, with_ranks
+from ..functions.columns import half_even, order_key, own_name, ratio
+from .ranks import RANK, SIZE, with_ranks
 from .splits import THINNED, TRAIN, VAL
 
 
 def shuffled(df: DataFrame, stream: Sequence[str], key: str, seed: int | str) -> DataFrame:
     """df with ranks in each stream's reproducible shuffle."""
-    return with_ranks(df.withColumn("__m", order_key(seed, key)), stream, [F.col("__m"), F.col(key)], digest_block(F.col("__m"))).drop("__m")
+    mixed = own_name(df.columns, "mixed")
+    return with_ranks(df.withColumn(mixed, order_key(seed, key)), stream, [F.col(mixed), F.col(key)]).drop(mixed)
 
 
 def thin_attacks(df: DataFrame, stream: Sequence[str], key: str, seed: int, per_benign: float, splits: Sequence[int] = (TRAIN, VAL), y: str = "y") -> DataFrame:
@@ -41,7 +42,7 @@ def stratified_sample(df: DataFrame, label: str, key: str, seed: int, size: int)
 
 def plain_sample(df: DataFrame, key: str, seed: int, size: int) -> DataFrame:
     """`size` rows, whatever their class."""
-    return df.withColumn("__m", order_key(seed, key)).orderBy("__m", key).limit(size).drop("__m")
+    return df.orderBy(order_key(seed, key), key).limit(size)
 
 
 def batches(df: DataFrame, key: str, seed: int, epoch: int, size: int) -> DataFrame:

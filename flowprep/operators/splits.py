@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, half_even, order_key, ratio, uniform
-from .ranks import RANK, SIZE, digest_block, time_block, with_ranks
+from ..functions.columns import col, half_even, order_key, own_name, ratio, uniform
+from .ranks import RANK, SIZE, with_ranks
 
 # The codes and the shares.
 TRAIN, VAL, TEST, LEFT_OUT, THINNED = 0, 1, 2, -1, -2
@@ -31,7 +31,7 @@ def cut(rank: Column, n: Column, train: float, val: float, each: bool) -> Column
 
 
 def by_rank(df: DataFrame, stream: Sequence[str], time: str, position: str, train: float, val: float, each: bool) -> DataFrame:
-    ranked = with_ranks(df, stream, [F.col(time).asc_nulls_first(), F.col(position)], time_block(df, time, position))
+    ranked = with_ranks(df, stream, [F.col(time).asc_nulls_first(), F.col(position)])
     return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, each)).drop(RANK, SIZE)
 
 
@@ -46,16 +46,17 @@ def temporal_within_file(df: DataFrame, file: str, time: str, position: str, tra
 
 def by_capture_day(df: DataFrame, day: str, test_day: str, stream: Sequence[str], order: Sequence[str], train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
     """The test day is the test split; the other days are cut into train and validation."""
-    ranked = with_ranks(df.withColumn("__test", F.col(day) == test_day), [*stream, "__test"], [F.col(o).asc_nulls_first() for o in order], time_block(df, order[0]))
+    test = own_name(df.columns, "is_test")
+    ranked = with_ranks(df.withColumn(test, F.col(day) == test_day), [*stream, test], [F.col(o).asc_nulls_first() for o in order])
     first = half_even(F.col(SIZE) * F.lit(train / (train + val)))
-    return ranked.withColumn("split", F.when(F.col("__test"), TEST).when(F.col(RANK) <= first, TRAIN).otherwise(VAL)).drop(RANK, SIZE, "__test")
+    return ranked.withColumn("split", F.when(F.col(test), TEST).when(F.col(RANK) <= first, TRAIN).otherwise(VAL)).drop(RANK, SIZE, test)
 
 
 def random_cut(df: DataFrame, key: str, seed: int, train: float = SHARES[0], val: float = SHARES[1]) -> DataFrame:
     """An exact cut of a reproducible permutation of all rows."""
-    mixed = df.withColumn("__m", order_key(seed, key))
-    ranked = with_ranks(mixed, [], [F.col("__m"), F.col(key)], digest_block(F.col("__m")))
-    return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, False)).drop("__m", RANK, SIZE)
+    mixed = own_name(df.columns, "mixed")
+    ranked = with_ranks(df.withColumn(mixed, order_key(seed, key)), [], [F.col(mixed), F.col(key)])
+    return ranked.withColumn("split", cut(F.col(RANK), F.col(SIZE), train, val, False)).drop(mixed, RANK, SIZE)
 
 
 def assign_groups(sizes: Sequence[tuple[str, int]], train: float = SHARES[0], val: float = SHARES[1]) -> dict[str, int]:

@@ -10,7 +10,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import bucketed
 from ..functions import schema as S
+from ..functions.columns import own_name
 from ..operators import dedup, labels, prep, profile, sampling, splits
 
 # The phases of a run, in order.
@@ -76,6 +78,10 @@ class Stages:
             self.seconds[name] = time.perf_counter() - began
 
 
+#: Unknown labels that a report names.
+SHOWN = 100
+
+
 def audit(df: DataFrame, roles: Roles) -> list[str]:
     """What forbids going on; an empty list is a pass."""
     decisions = labels.decision_table(df.sparkSession, roles.benign, roles.attack, roles.dropped)
@@ -84,37 +90,80 @@ def audit(df: DataFrame, roles: Roles) -> list[str]:
     except KeyError:
         return profile.audit_failures(1, 1, 1, [], [], label_found=False)
     counts = labels.binary_counts(labels.decide(df, label, decisions)).first()
-    unknown = [r["raw_label"] for r in labels.unknown_labels(df, label, decisions).limit(100).collect()]  # a report shows a hundred
-    return profile.audit_failures(sum(counts), counts["n_benign"], counts["n_attack"], unknown, [])
+    every = labels.unknown_labels(df, label, decisions)
+    shown = [r["raw_label"] for r in every.limit(SHOWN + 1).collect()]  # of more, a report shows these and their number
+    more = [f"and more, {every.count()} in all"] if len(shown) > SHOWN else []
+    return profile.audit_failures(sum(counts), counts["n_benign"], counts["n_attack"], shown[:SHOWN] + more, [])
 
 
-def split_rows(df: DataFrame, roles: Roles, per_benign: float | None, seed: int = 0) -> DataFrame:
-    """df with raw_label, y and split. Duplicates go before scope: an out-of-scope row can be the first of its twins."""
+#: Columns of the index that stand for what tells rows apart.
+TWINS = ("twin_1", "twin_2")
+
+
+def split_index(df: DataFrame, roles: Roles, per_benign: float | None, seed: int = 0) -> DataFrame:
+    """(file, position, raw_label, y, split, twin_1, twin_2) of every row in scope that is the first of its twins.
+
+    Only keys, order and digests are carried through dedup, ranks and thinning, never whole rows. Duplicates go before scope: an
+    out-of-scope row can be the first of its twins.
+    """
     decided = labels.decide(df, roles.label, labels.decision_table(df.sparkSession, roles.benign, roles.attack, roles.dropped))
     told = S.hash_columns(df.columns, [roles.label, roles.file, roles.position, *roles.metadata])
-    marked = dedup.first_occurrences(decided, told, [roles.file, roles.position])
-    kept = labels.in_scope(marked.where("is_first"))
     order = roles.time if roles.time else roles.position
-    cut = splits.temporal_stratified(kept, roles.file, "raw_label", order, roles.position)
-    if per_benign is None:
-        return cut.drop("is_first")
-    cut = cut.withColumn("__key", F.concat_ws("|", roles.file, F.col(roles.position).cast("string")))
-    return sampling.thin_attacks(cut, [roles.file, "raw_label"], "__key", seed, per_benign).drop("__key", "is_first")
+    narrow = decided.select(*dict.fromkeys([roles.file, roles.position, order]), "raw_label", "y", *[h.alias(n) for h, n in zip(dedup.digest(told), TWINS, strict=True)])
+    first = dedup.first_occurrences(narrow, TWINS, [roles.file, roles.position]).where("is_first")
+    cut = splits.temporal_stratified(labels.in_scope(first), roles.file, "raw_label", order, roles.position)
+    if per_benign is not None:
+        key = own_name(cut.columns, "row_key")
+        cut = cut.withColumn(key, F.concat_ws("|", roles.file, F.col(roles.position).cast("string")))
+        cut = sampling.thin_attacks(cut, [roles.file, "raw_label"], key, seed, per_benign)
+    return cut.select(roles.file, roles.position, "raw_label", "y", "split", *TWINS)
+
+
+@dataclass
+class Indexed:
+    """Rows and their split index, both dealt to the same buckets by (file, position): they meet without a shuffle."""
+
+    rows: DataFrame
+    index: DataFrame
+    keys: tuple[str, str]
+
+    def cut(self, *columns: str) -> DataFrame:
+        """The rows that have a split (with raw_label, y and split); of the index, only what is asked for is read."""
+        return self.rows.join(self.index.select(*self.keys, *(columns or ("raw_label", "y", "split"))), list(self.keys))
+
+
+def indexed(df: DataFrame, roles: Roles, per_benign: float | None, seed: int = 0, buckets: int | None = None) -> Indexed:
+    """The split of a dataset, decided once and written as a table beside the rows; ValueError if a position is not unique in its file."""
+    keys = (roles.file, roles.position)
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(df, keys, n, "rows")
+    index = bucketed(split_index(rows, roles, per_benign, seed), keys, n, "index")
+    if not index.groupBy(*keys).count().where("count > 1").isEmpty() or not rows.where(F.col(roles.position).isNotNull()).groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"{roles.position} doesn't tell the rows of a {roles.file} apart")
+    return Indexed(rows, index, keys)
+
+
+def split_rows(df: DataFrame, roles: Roles, per_benign: float | None, seed: int = 0) -> DataFrame:
+    """df with raw_label, y and split, without duplicates and rows out of scope."""
+    return indexed(df, roles, per_benign, seed).cut()
 
 
 def prepare(df: DataFrame, roles: Roles, per_benign: float | None = 30.0, most_missing: float = 0.5, seed: int = 0) -> Prepared:
-    """Split, fitted on train alone, transformed in one job; ValueError if the audit fails."""
+    """Split once, fitted on train alone, transformed in one job; ValueError if the audit fails.
+
+    The split is a table: fitting, the rows, the summary and the leakage audit read it, none of them decides it again.
+    """
     stages = Stages()
     problems = stages.run("audit", lambda: audit(df, roles))
     if problems:
         raise ValueError("; ".join(problems))
-    cut = split_rows(df, roles, per_benign, seed)
+    split = stages.run("split", lambda: indexed(df, roles, per_benign, seed))
+    cut = split.cut()
     excluded = [roles.label, roles.file, roles.position, "raw_label", "y", "split", *roles.metadata, *([roles.time] if roles.time else [])]
     features, _, _ = S.feature_columns(cut.schema, excluded)
     parameters = stages.run("fit", lambda: prep.fit(cut.where(F.col("split") == splits.TRAIN), features, most_missing).collect())  # a row a feature
     scaled = prep.standardised(cut.where("split >= 0"), features, parameters)
-    told = S.hash_columns(df.columns, [roles.label, roles.file, roles.position, *roles.metadata])
-    return Prepared(scaled, parameters, [p["column"] for p in parameters if p["verdict"] == "kept"], splits.summary(cut), dedup.leakage(cut, told), stages.seconds)
+    return Prepared(scaled, parameters, [p["column"] for p in parameters if p["verdict"] == "kept"], splits.summary(split.index), dedup.leakage(split.index, TWINS), stages.seconds)
 
 
 def validate(prepared: Prepared, least_benign: int, columns: Iterable[str] = ()) -> list[tuple[str, str, str]]:
