@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cluster import ship
-from ..functions.columns import order_key
+from ..functions.columns import order_key, own_name
 from ..operators import metrics, ranks
 
 
@@ -52,37 +52,77 @@ def with_attributions(df: DataFrame, key: str, features: str, width: int, attrib
     return src.mapInArrow(run, T.StructType([src.schema["key"], T.StructField("feature", T.IntegerType()), T.StructField("value", T.DoubleType())])).withColumnRenamed("key", key)
 
 
+def donors(n: np.ndarray, size: int, key: int) -> np.ndarray:
+    """A permutation of 0 to size - 1 at the places n: four Feistel rounds over the next even number of bits, again for what falls outside."""
+    half = np.uint64(max(1, (max(size - 1, 1).bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, left = n.astype(np.uint64), np.arange(len(n))
+    with np.errstate(over="ignore"):
+        while len(left):
+            a, b = out[left] >> half, out[left] & mask
+            for turn in range(4):
+                x = b + np.uint64((key * 4 + turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                a, b = b, a ^ ((x ^ (x >> np.uint64(31))) & mask)
+            out[left] = a << half | b
+            left = left[out[left] >= size]
+    return out.astype(np.int64)
+
+
+def with_donors(df: DataFrame, key: str, repeats: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(n, columns): df with numbers from 0 in a reproducible order; and (n, r, donor): the row that each row meets in each repeat."""
+    mixed = own_name(df.columns, "mixed")
+    placed = ranks.with_ranks(df.withColumn(mixed, order_key(seed, key)), [], [F.col(mixed), F.col(key)]).drop(mixed)
+    placed = placed.withColumn(ranks.RANK, F.col(ranks.RANK) - 1).withColumnRenamed(ranks.RANK, "n").withColumnRenamed(ranks.SIZE, "size")
+    ship(df.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def dealt(n: pa.Array, size: pa.Array) -> pa.Array:
+        if not len(n):
+            return pa.array([], pa.list_(pa.int64()))
+        at, rows = n.to_numpy(zero_copy_only=False), size[0].as_py()
+        each_ = np.stack([donors(at, rows, seed * 1000 + r) for r in range(repeats)], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, each_.size + 1, repeats), pa.int32()), pa.array(each_.ravel()))
+
+    return placed.drop("size"), placed.select("n", F.posexplode(dealt("n", "size")).alias("r", "donor"))
+
+
 def permutation_importance(df: DataFrame, key: str, features: str, label: str, width: int, score: Callable[[np.ndarray], np.ndarray], chosen: list[int], repeats: int = 5, seed: int = 0, threshold: float = 0.5) -> DataFrame:
-    """(feature, mean_drop, std_drop) of macro F1 when a feature's values are dealt anew among the rows; largest drops first.
+    """(feature, mean_drop, std_drop, baseline_macro_f1, repeats): how macro F1 drops when a feature's values are dealt anew among the
+    rows; largest drops first.
 
-    A shuffle is a join of ranks: each row takes the value of the row that ranks the same in a reproducible shuffle, one
-    for each feature and repeat. The values dealt to a row meet in one row, so all shuffles are scored in one pass.
+    In each repeat every row meets one other row, by a keyed permutation of row numbers, and each feature in turn takes that row's
+    value: a join of `repeats` rows for each row scores all features.
     """
     base = df.select(F.col(key).alias("key"), F.transform(features, lambda x: x.cast("double")).alias("x"), F.col(label).cast("int").alias("y"))
-    block = lambda digest: F.substring(digest, 1, 1)  # noqa: E731  even parts of a shuffle
-    placed = ranks.with_ranks(base.withColumn("h", order_key(seed, "key")), [], [F.col("h"), F.col("key")], block(F.col("h"))).select(F.col(ranks.RANK).alias("n"), "x", "y")
-    numbers = lambda values: F.explode(F.array(*map(F.lit, values)))
-    long = base.withColumn("f", numbers(chosen)).withColumn("r", numbers(range(repeats)))
-    long = long.select("f", "r", "key", F.col("x")[F.col("f")].alias("v"), order_key(seed, "f", "r", "key").alias("h"))
-    dealt = ranks.with_ranks(long, ["f", "r"], [F.col("h"), F.col("key")], block(F.col("h"))).groupBy(F.col(ranks.RANK).alias("n")).agg(F.collect_list(F.struct("f", "r", "v")).alias("dealt"))
-    met = placed.join(dealt, "n").select("x", "y", "dealt")
+    placed, dealt = with_donors(base, "key", repeats, seed)
+    pairs = dealt.join(placed.select("n", "x", "y"), "n").select("donor", "r", "x", "y")
+    met = pairs.join(placed.select(F.col("n").alias("donor"), F.col("x").alias("other")), "donor").select("r", "x", "other", "y")
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows, y = matrix(b.column(0), width), b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            f, r, v = (c.to_numpy(zero_copy_only=False) for c in b.column(2).flatten().flatten())
-            by = np.lexsort((r, f)).reshape(-1, len(rows))  # a shuffle in each line; rows stay in their order
-            found = [(0, -1, rows, None), *((int(f[i[0]]), int(r[i[0]]), rows, v[i].astype(float)) for i in by)]
+            r, y = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False).astype(float)
+            rows, other = matrix(b.column(1), width), matrix(b.column(2), width)
             out = []
-            for feature, turn, x, values in found:
-                if values is not None:
-                    x = x.copy()
-                    x[:, feature] = values
-                said = ~(score(x) < threshold)
-                out.append((feature, turn, *(int(((y == 1 if t else (y != 1) & ~np.isnan(y)) & (said == bool(p))).sum()) for t, p in ((0, 0), (0, 1), (1, 0), (1, 1)))))
+
+            def count(feature: int, turn: int, of: np.ndarray, x: np.ndarray) -> None:
+                said, t = ~(each(len(x), score(x)) < threshold), y[of]
+                out.append((feature, turn, *(int(((t == 1 if a else (t != 1) & ~np.isnan(t)) & (said == bool(p))).sum()) for a, p in ((0, 0), (0, 1), (1, 0), (1, 1)))))
+
+            for turn in np.unique(r).tolist():
+                of = np.flatnonzero(r == turn)
+                x = rows[of]
+                if turn == 0:  # each row is met once in each repeat: in the first one as it is
+                    count(0, -1, of, x)
+                for feature in chosen:
+                    held = x[:, feature].copy()
+                    x[:, feature] = other[of, feature]
+                    count(feature, turn, of, x)
+                    x[:, feature] = held
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
     names = ["feature", "r", "tn", "fp", "fn", "tp"]
@@ -90,6 +130,6 @@ def permutation_importance(df: DataFrame, key: str, features: str, label: str, w
     # r is -1 for the rows as they are
     scored = metrics.metrics(counted.groupBy("feature", "r").agg(*[F.sum(n).alias(n) for n in names[2:]]))
     everything = Window.partitionBy()  # a row for each shuffle
-    drops = scored.withColumn("drop", F.max(F.when(F.col("r") < 0, F.col("macro_f1"))).over(everything) - F.col("macro_f1")).where("r >= 0")
-    out = drops.groupBy(F.col("feature").cast("int").alias("feature")).agg(F.round(F.avg("drop"), 9).alias("mean_drop"), F.round(F.stddev_pop("drop"), 9).alias("std_drop"))
+    drops = scored.withColumn("baseline", F.max(F.when(F.col("r") < 0, F.col("macro_f1"))).over(everything)).where("r >= 0").withColumn("drop", F.col("baseline") - F.col("macro_f1"))
+    out = drops.groupBy(F.col("feature").cast("int").alias("feature")).agg(F.round(F.avg("drop"), 9).alias("mean_drop"), F.round(F.stddev_pop("drop"), 9).alias("std_drop"), F.round(F.max("baseline"), 9).alias("baseline_macro_f1"), F.count("*").alias("repeats"))
     return out.orderBy(F.desc("mean_drop"), "feature")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions.columns import finite
+from .quantiles import first_pass, sizes_of
 from .quantiles import quantiles as quantiles_of
 from .ranks import RANK, SIZE, with_ranks
 
@@ -18,21 +19,21 @@ from .ranks import RANK, SIZE, with_ranks
 def fit(df: DataFrame, columns: Sequence[str], most_missing: float = 0.5) -> DataFrame:
     """(column, missing_ratio, median, mean, std, variance, verdict) over df; the moments are of the values after imputation.
 
-    One pass sums up all columns, bounded passes find the medians; the moments after imputation follow from the sums of
+    One scan sums up all columns, a second finds their medians; the moments after imputation follow from the sums of
     the present values and the median. A row a column reaches the driver.
     """
     values = {c: finite(c) for c in columns}
-    aggs = [F.count("*").alias("n")]
+    aggs = [F.count("*").alias("rows")]
     for i, x in enumerate(values.values()):
-        aggs += [F.count(x).alias(f"k{i}"), F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    sums = df.agg(*aggs).first()
-    sizes = {c: (sums[f"k{i}"], sums[f"lo{i}"], sums[f"hi{i}"]) for i, c in enumerate(columns)}
-    medians = quantiles_of(df, values, [0.5], sizes)
+        aggs += [F.avg(x).alias(f"a{i}"), F.var_pop(x).alias(f"v{i}")]
+    sums = df.agg(*aggs, *first_pass(values)).first()
+    sizes = sizes_of(values, sums)
+    medians = quantiles_of(df, values, [0.5], sums)
     rows = []
     for i, c in enumerate(columns):
         median = medians[c][0] or 0.0
         k, low, high = sizes[c]
-        p = k / sums["n"] if sums["n"] else 0.0
+        p = k / sums["rows"] if sums["rows"] else 0.0
         present, spread = (median, 0.0) if not k else (sums[f"a{i}"], sums[f"v{i}"])
         flat = not k or low == high and (p == 1 or low == median)
         variance = 0.0 if flat else p * spread + p * (1 - p) * (present - median) ** 2

@@ -1,10 +1,12 @@
 """Operators that must hold for any skew: ranks, shards, twins, capped counts, the split as a table."""
 
 import glob
+import hashlib
 import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from flowprep.cluster import shared_dir
 from flowprep.functions import columns as C
 from flowprep.functions import schema as S
-from flowprep.operators import dedup, monitor, prep, profile, ranks
+from flowprep.ml import explain
+from flowprep.operators import dedup, monitor, prep, profile, quantiles, ranks
 from flowprep.plans import prepare
 
 
@@ -144,3 +147,61 @@ def test_positions_must_tell_rows_apart(spark):
 def test_an_audit_says_how_many_labels_are_unknown(spark):
     df = captured(spark, 300).withColumn("label", F.concat(F.lit("l"), F.col("position").cast("string")))
     assert any("150 in all" in p for p in prepare.audit(df, ROLES))
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 1000, 4097])
+def test_donors_are_a_permutation(size):
+    at = np.arange(size)
+    seen = {tuple(explain.donors(at, size, key).tolist()) for key in range(4)}
+    assert all(sorted(p) == list(range(size)) for p in seen) and (size < 64 or len(seen) == 4)
+
+
+def test_importance_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.2 * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i long, x array<double>, y int").repartition(3)
+    score = lambda m: 1 / (1 + np.exp(-(m[:, 0] + 0.2 * m[:, 1])))
+    got = {r["feature"]: r for r in explain.permutation_importance(df, "i", "x", "y", 3, score, [0, 1, 2], 3, seed=2).collect()}
+    order = sorted(range(300), key=lambda i: (hashlib.md5(f"2|{i}".encode()).hexdigest(), i))
+
+    def f1(m):
+        said, out = score(m) >= 0.5, []
+        for c in (0, 1):
+            hit = int(((y == c) & (said == c)).sum())
+            out.append(2 * hit / (int((y == c).sum()) + int((said == c).sum())))
+        return sum(out) / 2
+
+    for f in range(3):
+        drops = []
+        for r in range(3):
+            m = x.copy()
+            m[order, f] = x[np.array(order)[explain.donors(np.arange(300), 300, 2000 + r)], f]
+            drops.append(f1(x) - f1(m))
+        assert math.isclose(got[f]["mean_drop"], sum(drops) / 3, abs_tol=1e-8) and math.isclose(got[f]["std_drop"], float(np.std(drops)), abs_tol=1e-8)
+        assert math.isclose(got[f]["baseline_macro_f1"], f1(x), abs_tol=1e-8) and got[f]["repeats"] == 3
+    assert got[2]["mean_drop"] == 0 < got[1]["mean_drop"] < got[0]["mean_drop"]
+
+
+def test_few_quantiles_take_two_scans(spark, monkeypatch):
+    """Exact whatever the sketch says: with a margin too small for it, what it misses is found by passes."""
+    rng = np.random.default_rng(5)
+    cols = {"a": rng.normal(size=20_000), "b": rng.integers(0, 4, 20_000).astype(float), "c": np.full(20_000, -1.5), "d": np.exp(rng.normal(size=20_000) * 20)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in cols.values()), strict=True)), ", ".join(f"{c} double" for c in cols)).repartition(5)
+    shares = [0.0, 0.05, 0.5, 0.951, 1.0]
+    passes = []
+    real = quantiles.order_statistics
+    monkeypatch.setattr(quantiles, "order_statistics", lambda *a: passes.append(1) or real(*a))
+
+    def check():
+        got = quantiles.quantiles(df, {c: F.col(c) for c in cols}, shares)
+        for c, v in cols.items():
+            v = np.sort(v)
+            places = [quantiles.ranks_of(p, len(v)) for p in shares]
+            assert got[c] == [v[i] + (v[j] - v[i]) * part if part else v[i] for i, j, part in places], c
+
+    check()
+    assert not passes
+    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
+    check()
+    assert passes
