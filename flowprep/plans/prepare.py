@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..cluster import bucketed
 from ..functions import schema as S
 from ..functions.columns import own_name
-from ..operators import dedup, labels, prep, profile, sampling, splits
+from ..operators import dedup, labels, profile, sampling, scalers, splits
 
 # The phases of a run, in order.
 PHASES = ("prepare", "shap", "bo", "final_train", "evaluate", "done")
@@ -41,6 +41,7 @@ class Prepared:
     summary: DataFrame
     leaked: DataFrame
     timings: dict[str, float] = field(default_factory=dict)
+    scaler: scalers.Scaler | None = None
 
 
 def next_phase(phase: str) -> str:
@@ -148,8 +149,8 @@ def split_rows(df: DataFrame, roles: Roles, per_benign: float | None, seed: int
     return indexed(df, roles, per_benign, seed).cut()
 
 
-def prepare(df: DataFrame, roles: Roles, per_benign: float | None = 30.0, most_missing: float = 0.5, seed: int = 0) -> Prepared:
-    """Split once, fitted on train alone, transformed in one job; ValueError if the audit fails.
+def prepare(df: DataFrame, roles: Roles, per_benign: float | None = 30.0, most_missing: float = 0.5, seed: int = 0, scaler: str = "standard") -> Prepared:
+    """Split once, a scaler (by name) fitted on train alone, transformed in one job; ValueError if the audit fails.
 
     The split is a table: fitting, the rows, the summary and the leakage audit read it, none of them decides it again.
     """
@@ -161,9 +162,9 @@ def prepare(df: DataFrame, roles: Roles, per_benign: float | None = 30.0, most_m
     cut = split.cut()
     excluded = [roles.label, roles.file, roles.position, "raw_label", "y", "split", *roles.metadata, *([roles.time] if roles.time else [])]
     features, _, _ = S.feature_columns(cut.schema, excluded)
-    parameters = stages.run("fit", lambda: prep.fit(cut.where(F.col("split") == splits.TRAIN), features, most_missing).collect())  # a row a feature
-    scaled = prep.standardised(cut.where("split >= 0"), features, parameters)
-    return Prepared(scaled, parameters, [p["column"] for p in parameters if p["verdict"] == "kept"], splits.summary(split.index), dedup.leakage(split.index, TWINS), stages.seconds)
+    fitted = stages.run("fit", lambda: scalers.fit_scaler(cut.where(F.col("split") == splits.TRAIN), features, scaler, most_missing))
+    scaled = fitted.apply(cut.where("split >= 0"), features)
+    return Prepared(scaled, fitted.parameters, fitted.kept, splits.summary(split.index), dedup.leakage(split.index, TWINS), stages.seconds, fitted)
 
 
 def validate(prepared: Prepared, least_benign: int, columns: Iterable[str] = ()) -> list[tuple[str, str, str]]:

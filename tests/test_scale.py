@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from flowprep.cluster import shared_dir
 from flowprep.functions import columns as C
 from flowprep.functions import schema as S
 from flowprep.ml import explain
-from flowprep.operators import dedup, monitor, prep, profile, quantiles, ranks
+from flowprep.operators import dedup, monitor, prep, profile, quantiles, ranks, scalers
 from flowprep.plans import prepare
 
 
@@ -205,3 +206,34 @@ def test_few_quantiles_take_two_scans(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "MARGIN", 0.0)
     check()
     assert passes
+
+
+@pytest.mark.parametrize("kind", ["standard", "quantile"])
+def test_scalers_are_kept_and_read_back(spark, tmp_path, kind):
+    rng = np.random.default_rng(7)
+    a, b = np.exp(rng.normal(size=2000)), rng.integers(0, 3, 2000).astype(float)
+    rows = [(float(x) if i % 10 else None, float(y), None, 4.0) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "a double, b double, gone double, flat double")
+    names = ["a", "b", "gone", "flat"]
+    fitted = scalers.fit_scaler(df, names, kind, steps=99)
+    assert fitted.kept == ["a", "b"]
+    fitted.write(spark, str(tmp_path / kind))
+    back = scalers.read_scaler(spark, str(tmp_path / kind))
+    first, again = (np.array([tuple(r) for r in s.apply(df, names).collect()]) for s in (fitted, back))
+    assert back.features == names and back.kind == kind and np.array_equal(first, again) and first.shape == (2000, 2)
+    with pytest.raises(ValueError, match="fitted on"):
+        back.apply(df, names[::-1])
+    if kind == "quantile":
+        filled = np.array([np.median(np.delete(a, slice(None, None, 10))) if i % 10 == 0 else v for i, v in enumerate(a)])
+        grid = np.quantile(filled, np.linspace(0, 1, 100))
+        place = (np.interp(filled, grid, np.linspace(0, 1, 100)) + 1 - np.interp(-filled, -grid[::-1], np.linspace(0, 1, 100))) / 2
+        want = [NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in place]
+        assert np.allclose(first[:, 0], want, atol=1e-9)
+
+
+def test_a_scaler_has_a_name(spark, tmp_path):
+    with pytest.raises(ValueError, match="no scaler"):
+        scalers.fit_scaler(captured(spark), ["x"], "other")
+    ready = prepare.prepare(captured(spark).drop("y2"), ROLES, 3.0, scaler="quantile")
+    low, high = ready.rows.agg(F.min("x"), F.max("x")).first()
+    assert ready.scaler.kind == "quantile" and ready.features == ["x"] and -5.2 < low < -2 and 2 < high < 5.2
