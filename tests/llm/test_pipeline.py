@@ -83,3 +83,32 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def made(spark, tmp_path, rows, labels):
+    rows = [(i, t, "en", "src", None if t is None else len(t), 1.5, t) for i, t in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, c0 string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    clean = [(i, text(rng.randint(60, 150))) for i in range(40)]
+    long, alone = text(20_000), text(90)
+    odd = [(100, None), (101, ""), (102, "too short"), (103, clean[3][1]), (7, clean[7][1]), (None, alone), (104, long), (105, "## $$ %% ||" * 60)]
+    labels = [(i, 1, 0) for i in range(40)] + [(105, 0, 0)]
+    out = corpus_pipeline.run(spark, made(spark, tmp_path, clean + odd, labels)).collect()
+    ids = {r["doc_id"] for r in out}
+    assert {*range(40), None, 104} == ids
+    pieces = lambda i: [(r["start"], r["length"]) for r in out if r["doc_id"] == i]
+    assert len(pieces(7)) == 2 and len(set(pieces(7))) == 1 and len(pieces(8)) == 1  # repeated rows stay together
+    cuts = sorted(pieces(104))
+    assert len(cuts) > 20 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(cuts)) and max(n for _, n in cuts) == 1024
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, made(spark, tmp_path, [], [])).count() == 0
