@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from ..functions.columns import stripped
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> list[str]:
@@ -122,7 +123,7 @@ def file_summary(spark: SparkSession, root: str, pattern: str = "*.parquet", lab
     files = footers(spark, discover(spark, root, pattern))
     groups = spark.createDataFrame([(f.path, f.row_groups) for f in files], "path string, row_groups int")
     df = spark.read.parquet(*[f.path for f in files])
-    value = F.trim(F.col(f"`{label}`").cast("string")) if label else F.lit(None).cast("string")
+    value = stripped(F.col(f"`{label}`")) if label else F.lit(None).cast("string")
     path = F.col("_metadata.file_path")
     counts = df.groupBy(_below(root).alias("file"), path.alias("path"), value.alias("value")).agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"))
     pairs = F.filter(F.collect_list(F.struct("value", "n")), lambda p: p["value"].isNotNull())
