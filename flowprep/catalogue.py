@@ -17,6 +17,7 @@ from .functions import schema as S
 from .ml import explain, net, trees
 from .operators import dedup, labels, metrics, monitor, prep, profile, ranking, sampling, splits
 from .plans import prepare
+from .sources import datasets, footers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,6 +96,12 @@ def scan_projected(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1997-01-01'").select("l_orderkey", "l_quantity", "l_shipdate")
 
 
+@query("SELECT count(*) AS n_rows, count(*) - count(l_orderkey) AS nulls, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem")
+def footer_bounds(spark, sf_dir):
+    """Rows and bounds of a column from footers alone."""
+    return footers.bounds(footers.footer_table(spark, datasets.discover(spark, f"{sf_dir}/lineitem.parquet")), "l_orderkey", "long")
+
+
 @query("SELECT count(*) AS n_rows FROM lineitem")
 def scan_rowcount(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n_rows"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions.columns import stripped
+from .footers import footer_table
 
 
 def _files(spark: SparkSession, root: str, pattern: str) -> list[str]:
@@ -69,19 +70,10 @@ class Footer:
 
 
 def footers(spark: SparkSession, files: Sequence[str]) -> list[Footer]:
-    """The footers of files in their order; a pool of threads of the driver's JVM reads them, no job is run."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    statuses = jvm.java.util.ArrayList()
-    for f in files:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        statuses.add(path.getFileSystem(conf).getFileStatus(path))
-    read = jvm.org.apache.parquet.hadoop.ParquetFileReader.readAllFootersInParallel(conf, statuses)
-    found = {}
-    for f in read:
-        said = f.getParquetMetadata()
-        path = f.getFile().toString()
-        found[path] = Footer(path, tuple(c.getName() for c in said.getFileMetaData().getSchema().getFields()), said.getBlocks().size())
-    return [found[statuses.get(i).getPath().toString()] for i in range(len(files))]
+    """The footers of files in their order, read by executors: a row a file, as the list of files is the driver's too."""
+    table = footer_table(spark, files).groupBy("path", "columns").agg(F.count("row_group").alias("n"))
+    found = {r["path"]: Footer(r["path"], tuple(r["columns"]), r["n"]) for r in table.collect()}
+    return [found[f] for f in files]
 
 
 def _below(root: str) -> Column:

@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from flowprep.sources import datasets, links
+from flowprep.sources import datasets, footers, links
 
 
 @pytest.fixture
@@ -92,3 +92,20 @@ def test_bundles(tmp_path):
             out.addfile(info, io.BytesIO(b""))
         with pytest.raises(links.Unusable):
             links.unpack(path, str(tmp_path / "out2"))
+
+
+def test_footers_are_a_table(spark, shards, tmp_path):
+    """Executors read footers, not rows; stores that Arrow doesn't know are the driver's."""
+    files = datasets.discover(spark, str(shards / "set"))
+    table = footers.footer_table(spark, files)
+    assert "Scan parquet" not in table._jdf.queryExecution().executedPlan().toString()
+    rows = table.collect()
+    assert len(rows) == 4 and sum(r["n_rows"] for r in rows) == 90 and all(r["columns"] == ["id", "Label"] and r["bytes"] > 0 for r in rows)
+    assert footers.bounds(table, "id", "long").first() == (90, 0, 0, 89) and footers.bounds(table, "Label", "string").first()[2:] == (" a ", "b")
+    spark.range(3).withColumn("x", F.lit(1)).coalesce(1).write.parquet(str(shards / "set" / "odd"))
+    spark.range(0).coalesce(1).write.parquet(str(shards / "set" / "none"))
+    more = footers.footer_table(spark, datasets.discover(spark, str(shards / "set")))
+    assert sorted((r["columns"], r["n_files"], r["n_rows"]) for r in footers.schemas(more).collect()) == [(["id"], 1, 0), (["id", "Label"], 4, 90), (["id", "x"], 1, 3)]
+    driver = {(r[0], r[2], r[3]) for r in footers.read_by_driver(spark, files)}
+    assert driver == {(r["path"], r["row_group"], r["n_rows"]) for r in rows}
+    assert footers.footer_table(spark, []).count() == 0
