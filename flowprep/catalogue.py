@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import schema as S
 from .ml import explain, net, trees
-from .operators import dedup, labels, metrics, monitor, prep, profile, ranking, sampling, splits
+from .operators import dedup, figures, labels, metrics, monitor, prep, profile, ranking, sampling, splits
 from .plans import prepare
 from .sources import datasets, footers
 
@@ -636,6 +636,20 @@ def metric_deltas(spark, sf_dir):
     return metrics.metric_deltas(metric_rows(spark, sf_dir), _PUBLISHED)
 
 
+# The data of figures.
+
+
+@query(SQL["metric_deltas"].replace("    SELECT metric, round(value, 6)", "    , d AS (SELECT metric, round(value, 6)") + """)
+    SELECT metric, value AS ours, headline AS paper_headline, body AS paper_body, least(value, headline, body) AS low, greatest(value, headline, body) AS high FROM d WHERE value IS NOT NULL AND coalesce(headline, body) IS NOT NULL""")
+def figure_comparison(spark, sf_dir):
+    return figures.comparison(metric_deltas(spark, sf_dir))
+
+
+@query(PREPARED + " SELECT name AS split, count(y) FILTER (WHERE y = 0) AS benign, count(y) FILTER (WHERE y = 1) AS attack FROM (VALUES (0, 'train'), (1, 'val'), (2, 'test')) v(code, name) LEFT JOIN thinned ON split = code GROUP BY name")
+def figure_class_distribution(spark, sf_dir):
+    return figures.class_distribution(prepare.indexed(flows(spark, sf_dir), ROLES, 1.5).index)
+
+
 @query("SELECT round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(4096 / (quantile_cont(value, 0.5) / 1000), 3) AS rows_per_s FROM events")
 def latency_percentiles(spark, sf_dir):
     return metrics.latency(read(spark, sf_dir, "events"), "value", 4096)
@@ -724,6 +738,11 @@ def session_boundaries(spark, sf_dir):
     return monitor.session_boundaries(_history(spark, sf_dir))
 
 
+@query(f"WITH {_HISTORY} SELECT epoch, n AS value, max(n) OVER (ORDER BY epoch) AS best_so_far, coalesce(session_id <> lag(session_id) OVER (ORDER BY epoch), false) AS resumed FROM h")
+def figure_training_curve(spark, sf_dir):
+    return figures.training_curve(_history(spark, sf_dir), "n")
+
+
 @query(f"WITH {_HISTORY} SELECT epoch, n, session_id, max(n) OVER (ORDER BY epoch) AS best_so_far, coalesce(n > max(n) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new_best FROM h")
 def running_best(spark, sf_dir):
     return monitor.running_best(_history(spark, sf_dir), "n", "epoch")
