@@ -160,15 +160,15 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[tuple[str, Column]],
     return arrow_map(src, run, schema)
 
 
-def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty), and makes one batch or several."""
+def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]) -> DataFrame:
+    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty), and makes one batch, several, or none."""
     src, k = _inputs(df, text_col, inputs), len(inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_blocks(batch, k):
                 out = fn(part)
-                for one in [out] if isinstance(out, pa.RecordBatch) else out:
+                for one in [out] if isinstance(out, pa.RecordBatch) else out or ():
                     yield from (one.slice(i, 1 << 17) for i in range(0, one.num_rows, 1 << 17))
 
     return arrow_map(src, run, schema)
