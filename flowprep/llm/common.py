@@ -5,8 +5,9 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from contextvars import ContextVar
+from threading import Lock
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,39 @@ def _store(spark: SparkSession, path: str):
 _open: ContextVar[tuple[list[str], ...]] = ContextVar("open scratches", default=())
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: Sessions whose Arrow batches are bounded now: how many writes ask for it, and the setting before.
+_bounded: dict[int, list] = {}
+_bounding = Lock()
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, most: int):
+    """Jobs of this session send Arrow batches of about so many bytes, or one row, to Python functions in the meantime. Results
+    don't depend on it; writes of several threads share the bound until the last of them ends."""
+    with _bounding:
+        held = _bounded.setdefault(id(spark), [0, spark.conf.get(BATCH_SETTING)])
+        held[0] += 1
+        spark.conf.set(BATCH_SETTING, str(most))
+    try:
+        yield
+    finally:
+        with _bounding:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(BATCH_SETTING, _bounded.pop(id(spark))[1])
+
+
+def written(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """df as a table in the shared folder: later jobs read files instead of recomputing, and survive lost executors.
 
     It goes when the application ends at the latest, and with the scratch() it was written in if nothing reads it then.
+    batch_bytes: for wide rows that go through Python functions, of which 10,000 may be too much at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowprep/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with batches_of(spark, batch_bytes) if batch_bytes else nullcontext():
+        df.write.parquet(path)
     fs, p = _store(spark, path)
     fs.deleteOnExit(p)
     if _open.get():

@@ -216,6 +216,8 @@ def subset_keys(tokens: np.ndarray, most: int, percent: int) -> np.ndarray:
 
 
 LONG = T.LongType()
+#: Bytes of texts, sketches or sets that a batch brings to a function.
+BATCH_BYTES = 4 << 20
 #: Subsets that are made before they are handed on; one set's are made together.
 EMITTED = 1 << 18
 
@@ -435,13 +437,13 @@ def left_pairs(open_: DataFrame, sketches: DataFrame, percent: int, nearest: boo
 
 def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: float, ordered: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
     """(id, row, c, n) of every document, and (node, root) of every class that is linked."""
-    counts = written(count_keys(docs, text_col, n, counted).groupBy("k").agg(F.count("*").alias("m")).where("m > 1 or k < 0"), "counts")
+    counts = written(count_keys(docs, text_col, n, counted).groupBy("k").agg(F.count("*").alias("m")).where("m > 1 or k < 0"), "counts", BATCH_BYTES)
     sizes = {-r["k"]: r["m"] for r in counts.where("k < 0").collect()}  # a row for each size that a set has
     shared = counts.where("k >= 0")
     frequent = shared.where("m > 2").orderBy(F.desc("m"), "k").limit(ordered).toArrow()
     most = boundary(sizes, shared.agg(F.avg("m")).first()[0] or 0.0, percent)
     order = Order(counted, KeyFilter.of(shared, "k"), frequent["k"].to_numpy(), frequent["m"].to_numpy())
-    scan = written(emit_keys(docs, text_col, n, percent, order, most), "keys")
+    scan = written(emit_keys(docs, text_col, n, percent, order, most), "keys", BATCH_BYTES)
     members = scan.where("kind = 0").select("id", "row", "c", "n")
     rows = scan.where("kind = 1").select("k", "c", F.col("n").alias("s"), "place")
     real = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
@@ -469,11 +471,11 @@ def link_roots(docs: DataFrame, text_col: str, n: int, percent: int, counted: fl
             near = likely(pairs, known, percent)
         else:
             near = left_pairs(written(open_, "open"), known, percent, turn <= rounds)
-        near = written(near, "near")
+        near = written(near, "near", BATCH_BYTES)
         if near.isEmpty():
             continue
         wanted = written(near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(known.select("c", "id", "row"), "c"), "wanted")
-        found = written(verified(near, sets_of_classes(docs, text_col, n, wanted), percent), "found")
+        found = written(verified(near, sets_of_classes(docs, text_col, n, wanted), percent), "found", BATCH_BYTES)
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.union(found)

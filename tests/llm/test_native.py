@@ -339,3 +339,17 @@ def test_scratches_of_two_threads(spark):
         over.set()
         thread.join()
     assert rows == [3]
+
+
+def test_batches_are_bounded_while_a_table_is_written(spark):
+    """Also when two writes overlap; the setting comes back."""
+    from flowprep.llm import common
+
+    before = spark.conf.get(common.BATCH_SETTING)
+    wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long")
+    with common.batches_of(spark, 1 << 20):
+        held = common.written(sizes, "sizes", 1 << 18)
+        assert spark.conf.get(common.BATCH_SETTING) != before
+    assert spark.conf.get(common.BATCH_SETTING) == before
+    assert held.agg(F.sum("n"), F.max("n")).first()[0] == 3000 and held.agg(F.max("n")).first()[0] <= 600
