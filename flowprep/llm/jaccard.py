@@ -219,7 +219,7 @@ LONG = T.LongType()
 #: Bytes of texts, sketches or sets that a batch brings to a function.
 BATCH_BYTES = 4 << 20
 #: Subsets that are made before they are handed on; one set's are made together.
-EMITTED = 1 << 18
+EMITTED = 1 << 16
 
 
 def fields(longs: str, binaries: str = "") -> T.StructType:
