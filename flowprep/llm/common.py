@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -163,9 +164,22 @@ def text_blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) ->
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a worker for a minute after its task, with all that it once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def _inputs(df: DataFrame, text_col: str, columns: Sequence[Column]) -> DataFrame:
@@ -186,12 +200,20 @@ def map_texts(df: DataFrame, text_col: str, keep: Sequence[tuple[str, Column]],
     return arrow_map(src, run, schema)
 
 
-def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None]) -> DataFrame:
-    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty), and makes one batch, several, or none."""
-    src, k = _inputs(df, text_col, inputs), len(inputs)
+def flat_map_texts(df: DataFrame, text_col: str, inputs: Sequence[Column], schema: T.StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], only: tuple[KeyFilter, Column] | None = None) -> DataFrame:
+    """Any number of rows for each block: fn gets the inputs and, last, the texts (null: empty), and makes one batch, several, or none.
+
+    only: a filter and the hash that it tests; rows it surely lacks are left out. It is tested by the worker that runs fn, where
+    KeyFilter.split() would take a second one for each task.
+    """
+    src, k = _inputs(df, text_col, [*inputs, *([only[1]] if only else [])]), len(inputs)
+    handed = df.sparkSession.sparkContext.broadcast(only[0]) if only else None  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if handed:
+                held = pa.array(handed.value.has(batch.column(k).to_numpy(zero_copy_only=False)))
+                batch = pa.RecordBatch.from_arrays([*batch.columns[:k], batch.column(k + 1)], names=[*batch.schema.names[:k], "text"]).filter(held)
             for part in text_blocks(batch, k):
                 out = fn(part)
                 for one in [out] if isinstance(out, pa.RecordBatch) else out or ():

@@ -286,13 +286,13 @@ def row_hash() -> Column:
 
 def sets_of_classes(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
     """(c, tokens) of the wanted classes (c, id, row of one document): only documents that may be wanted are read closely."""
-    maybe, _ = KeyFilter.of(wanted.select(row_hash().alias("h")), "h").split(docs, row_hash())
+    only = KeyFilter.of(wanted.select(row_hash().alias("h")), "h"), row_hash()
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(part.column(2), n)
         return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "row", "c", "tokens"])
 
-    found = flat_map_texts(maybe, text_col, [F.col("id"), F.col("row")], fields("id row", "c tokens"), fn)
+    found = flat_map_texts(docs, text_col, [F.col("id"), F.col("row")], fields("id row", "c tokens"), fn, only)
     return found.join(wanted, same(found, wanted, "c", "id", "row")).select(found["c"], "tokens").dropDuplicates(["c"])
 
 
